@@ -14,13 +14,14 @@ def define(name: str, body: str) -> None:
 def sql(body: str) -> str:
     """Prefix ``body`` with the CTEs it mentions, in dependency order."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name, cte in CTES.items():
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 visit(cte)
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(body)
     if not order:

@@ -15,15 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-SERIES = Window.partitionBy("ticker").orderBy("date")
+def series() -> WindowSpec:
+    """The one window all series operators share."""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
-def trailing(n: int, w: WindowSpec = SERIES) -> WindowSpec:
+def trailing(n: int, w: WindowSpec | None = None) -> WindowSpec:
     """Frame of the last ``n`` rows including the current one."""
-    return w.rowsBetween(-(n - 1), 0)
+    return (w or series()).rowsBetween(-(n - 1), 0)
 
 
-def full(n: int, x: Column, value: Column, w: WindowSpec = SERIES) -> Column:
+def full(n: int, x: Column, value: Column, w: WindowSpec | None = None) -> Column:
     """``value`` only when the last ``n`` rows all hold a non-null ``x``, else null."""
     return F.when(F.count(x).over(trailing(n, w)) == n, value)
 
@@ -106,3 +108,12 @@ def sanitize(df: DataFrame) -> DataFrame:
         else:
             out.append(col)
     return df.select(*out)
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate next to every row.
+
+    ``one_row`` must come from an aggregation without keys, so the broadcast side is
+    exactly one row whatever the data size.
+    """
+    return df.join(F.broadcast(one_row))

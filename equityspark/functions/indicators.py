@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import SERIES, full, pct, ratio, trailing
+from .core import series, full, pct, ratio, trailing
 
 EMA_BLOCK = 512
 
@@ -22,7 +22,7 @@ def sma(x: Column, n: int) -> Column:
 
 def rsi(x: Column, n: int = 14) -> Column:
     """Simple-mean RSI; the first difference counts as 0, so row ``n`` is the first value."""
-    change = F.coalesce(x - F.lag(x).over(SERIES), F.lit(0.0))
+    change = F.coalesce(x - F.lag(x).over(series()), F.lit(0.0))
     gain = F.avg(F.greatest(change, F.lit(0.0))).over(trailing(n))
     loss = F.avg(F.greatest(-change, F.lit(0.0))).over(trailing(n))
     value = F.when(loss > 0, 100.0 - 100.0 / (1.0 + ratio(gain, loss))).when(gain > 0, F.lit(100.0))
@@ -37,24 +37,24 @@ def bollinger(x: Column, n: int = 20, k: float = 2.0) -> tuple[Column, Column, C
 
 
 def obv(close: Column, volume: Column) -> Column:
-    step = F.coalesce(F.signum(close - F.lag(close).over(SERIES)) * volume, F.lit(0.0))
-    return F.sum(step).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    step = F.coalesce(F.signum(close - F.lag(close).over(series())) * volume, F.lit(0.0))
+    return F.sum(step).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def lag_return(close: Column, n: int) -> Column:
     """Fractional return against the row ``n`` back, never across tickers."""
-    prev = F.lag(close, n).over(SERIES)
+    prev = F.lag(close, n).over(series())
     return ratio(close - prev, prev)
 
 
 def atr(high: Column, low: Column, close: Column, n: int = 14) -> Column:
-    prev = F.lag(close).over(SERIES)
+    prev = F.lag(close).over(series())
     true_range = F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))
     return full(n, high - low, F.avg(true_range).over(trailing(n)))
 
 
 def log_return(close: Column) -> Column:
-    return F.ln(ratio(close, F.lag(close).over(SERIES)))
+    return F.ln(ratio(close, F.lag(close).over(series())))
 
 
 def rolling_median(x: Column, n: int) -> Column:
@@ -80,7 +80,7 @@ def band_width(upper: Column, middle: Column, lower: Column) -> Column:
 
 def days_to_earnings(cycle: int = 63) -> Column:
     """Quarterly proxy counted from the first row of each ticker."""
-    return (F.lit(cycle) - F.pmod(F.row_number().over(SERIES) - 1, F.lit(cycle))).cast("long")
+    return (F.lit(cycle) - F.pmod(F.row_number().over(series()) - 1, F.lit(cycle))).cast("long")
 
 
 def add_ema(df: DataFrame, col: str, spans: dict[str, int], block: int = EMA_BLOCK) -> DataFrame:
@@ -94,7 +94,7 @@ def add_ema(df: DataFrame, col: str, spans: dict[str, int], block: int = EMA_BLO
     """
     w_block = Window.partitionBy("ticker", "_blk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     w_range = Window.partitionBy("ticker").orderBy("_blk")
-    base = df.withColumn("_pos", F.row_number().over(SERIES) - 1).withColumns(
+    base = df.withColumn("_pos", F.row_number().over(series()) - 1).withColumns(
         {
             "_blk": F.floor(F.col("_pos") / block).cast("int"),
             "_k": (F.col("_pos") % block).cast("int"),
@@ -155,5 +155,5 @@ INDICATOR_COLUMNS = [
 
 def percent_since_start(close: Column) -> Column:
     """Change in percent against the first valid close of the series."""
-    first = F.first(close, ignorenulls=True).over(SERIES.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first(close, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return pct(close, first)

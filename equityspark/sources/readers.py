@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equityspark.functions.core import SERIES
+from equityspark.functions.core import series, attach_row
 
 # Bar intervals and the look-back of each named period in days.
 INTERVALS = ["1m", "2m", "5m", "15m", "30m", "60m", "90m", "1h", "1d", "5d", "1wk", "1mo", "3mo"]
@@ -237,7 +237,7 @@ def within_period(bars: DataFrame, period: str, collector: bool = False) -> Data
     The end date is a one-row aggregate, broadcast because it is one row.
     """
     end = bars.agg(F.max("date").alias("_end"))
-    joined = bars.crossJoin(F.broadcast(end))
+    joined = attach_row(bars, end)
     return joined.where(F.col("date") >= period_start(F.col("_end"), period, collector)).drop("_end")
 
 
@@ -265,5 +265,5 @@ def min_history(df: DataFrame, n: int) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """Row position (0-based) and length of each series."""
     return df.withColumns(
-        {"pos": F.row_number().over(SERIES) - 1, "n_rows": F.count("*").over(Window.partitionBy("ticker"))}
+        {"pos": F.row_number().over(series()) - 1, "n_rows": F.count("*").over(Window.partitionBy("ticker"))}
     )

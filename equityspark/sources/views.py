@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equityspark.functions import indicators as ind
-from equityspark.functions.core import pct
+from equityspark.functions.core import attach_row, pct
 from equityspark.sources.readers import resample_ohlcv
 
 BENCHMARK = "S0000"
@@ -97,7 +97,7 @@ def instrument_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the whole text is the headline text."""
     d = table(spark, sf_dir, "documents")
-    return d.crossJoin(F.broadcast(instrument_count(spark, sf_dir))).select(
+    return attach_row(d, instrument_count(spark, sf_dir)).select(
         F.col("doc_id").alias("article_id"),
         ticker_of(F.pmod(F.col("doc_id"), F.col("n_inst"))).alias("ticker"),
         F.col("text").alias("title"),
@@ -224,7 +224,7 @@ def global_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates as reporting dates of the instrument the customer maps to."""
     o = table(spark, sf_dir, "orders")
-    return o.crossJoin(F.broadcast(instrument_count(spark, sf_dir))).select(
+    return attach_row(o, instrument_count(spark, sf_dir)).select(
         ticker_of(F.pmod(F.col("o_custkey"), F.col("n_inst"))).alias("ticker"),
         F.to_date("o_orderdate").alias("date"),
         F.col("o_totalprice").alias("reported"),
