@@ -147,12 +147,7 @@ def b10(spark, d):
 
 @query("b22_screen_by_name", " UNION ALL ".join(f"SELECT '{n}' AS screen, * FROM ({_sql_screen(s)})" for n, s in screening.SCREENS.items()))
 def b22(spark, d):
-    m = metrics(spark, d)
-    out = None
-    for name in screening.SCREENS:
-        one = screening.run_named(m, name).select(F.lit(name).alias("screen"), F.col("ticker"), F.round("score", 6).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return keep(screening.run_all(metrics(spark, d)), "screen", "ticker", "score")
 
 
 @query("f02_ranked_momentum", f"SELECT ticker, passed, round(score, 6) AS score, round(rsi, 6) AS rsi, round(returns_5d, 6) AS returns_5d FROM (SELECT *, ({' AND '.join(_sql_test(c) for c in screening.SCREENS['momentum'].criteria)}) AS passed, {_sql_score(screening.SCREENS['momentum'].criteria)} AS score FROM metrics)")

@@ -19,7 +19,7 @@ def register(name: str, fn: Query, sql: str | None = None) -> None:
         raise ValueError(f"{name} registered twice")
     QUERIES[name] = fn
     if sql is not None:
-        ORACLE[name] = oracle.sql(sql)
+        ORACLE[name] = sql
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -30,6 +30,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return wrap
 
 
+def oracle_texts() -> dict[str, str]:
+    """Complete SQL per query; view definitions are resolved once everything is loaded."""
+    return {name: oracle.sql(text) for name, text in ORACLE.items()}
+
+
 def _load() -> None:
     from equityspark.catalog import (  # noqa: F401
         q_annotate, q_backtest, q_events, q_features, q_indicators, q_memory, q_models, q_scores, q_screens,

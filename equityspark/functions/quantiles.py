@@ -17,7 +17,8 @@ SKETCH_ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, probs: list[float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """(key, value) rows to one row per key: n and quantiles (linear interpolation).
+    """(key, value) rows to one row per key: n, quantiles (linear interpolation) and
+    ``below``, the number of values strictly less than each quantile.
 
     ``probs`` ascending. The sketch's rank error is below n/accuracy; brackets are 4
     errors wide on both sides, so they hold both order statistics around p*(n-1).
@@ -38,7 +39,6 @@ def exact_quantiles(df: DataFrame, probs: list[float], accuracy: int = SKETCH_AC
     few = F.col("n") < accuracy
     brackets = sketch.select(
         "key",
-        "n",
         *[F.when(few | F.lit(p <= eps), F.col("_min")).otherwise(F.col("_lo")[i]).alias(f"_l{i}") for i, p in enumerate(probs)],
         *[F.when(few | F.lit(p >= 1 - eps), F.col("_max")).otherwise(F.col("_hi")[i]).alias(f"_h{i}") for i, p in enumerate(probs)],
     )
@@ -54,8 +54,11 @@ def exact_quantiles(df: DataFrame, probs: list[float], accuracy: int = SKETCH_AC
     )
     per_class = counted.groupBy("key", "cls").agg(F.sum("c").alias("_size"))
     before = Window.partitionBy("key").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_class.select("key", "cls", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off")).join(
-        sketch.select("key", "n"), "key"
+    offsets = per_class.select(
+        "key",
+        "cls",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"),
+        F.sum("_size").over(Window.partitionBy("key")).alias("n"),
     )
     run = Window.partitionBy("key", "cls").orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("_run", F.sum("c").over(run)).join(F.broadcast(offsets), ["key", "cls"])
@@ -64,15 +67,18 @@ def exact_quantiles(df: DataFrame, probs: list[float], accuracy: int = SKETCH_AC
     picks = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("n") - 1)
-        for name, rank in ((f"_a{i}", F.floor(pos)), (f"_b{i}", F.ceil(pos))):
-            picks.append(F.max(F.when((start <= rank) & (rank < end), F.col("v"))).alias(name))
+        for name, rank in (("a", F.floor(pos)), ("b", F.ceil(pos))):
+            hit = (start <= rank) & (rank < end)
+            picks.append(F.max(F.when(hit, F.struct(F.col("v"), start.alias("s")))).alias(f"_{name}{i}"))
     got = placed.groupBy("key").agg(F.max("n").alias("n"), *picks)
-    quantiles = []
+    quantiles, below = [], []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("n") - 1)
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        quantiles.append(a + (b - a) * (pos - F.floor(pos)))
-    return got.select("key", "n", F.array(*quantiles).alias("quantiles"))
+        q = a["v"] + (b["v"] - a["v"]) * (pos - F.floor(pos))
+        quantiles.append(q)
+        below.append(F.when(q <= a["v"], a["s"]).otherwise(b["s"]))
+    return got.select("key", "n", F.array(*quantiles).alias("quantiles"), F.array(*below).alias("below"))
 
 
 def global_rank(df: DataFrame, order: list[str], out: str, buckets: int = 256) -> DataFrame:

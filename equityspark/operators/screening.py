@@ -117,6 +117,19 @@ def run_named(metrics: DataFrame, name: str, limit: int | None = None) -> DataFr
     return run(metrics, SCREENS[name], limit)
 
 
+def run_all(metrics: DataFrame) -> DataFrame:
+    """Every named screen in one pass: (screen, score) rows of the tickers that pass."""
+    cols = metrics.columns
+    results = []
+    for s in SCREENS.values():
+        tests = [predicate(c, cols) for c in s.criteria]
+        passed = all_of(tests) if s.require_all else any_of(tests)
+        value = score(s.criteria, cols)
+        results.append(F.struct(F.lit(s.name).alias("screen"), F.when(passed & (value >= s.min_score), value).alias("score")))
+    out = metrics.select("ticker", F.explode(F.array(*results)).alias("_s"))
+    return out.select("ticker", "_s.screen", "_s.score").where(F.col("score").isNotNull())
+
+
 def list_screens(spark) -> DataFrame:
     rows = [(s.name, s.require_all, float(s.min_score), len(s.criteria)) for s in SCREENS.values()]
     return spark.createDataFrame(rows, "name string, require_all boolean, min_score double, n_criteria int")
