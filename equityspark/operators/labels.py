@@ -21,23 +21,23 @@ def max_forward_drawdown(close: Column, rows: int = 5) -> Column:
     return F.when(F.lead(close, rows).over(series()).isNotNull(), worst)
 
 
-def forward_labels(bars: DataFrame, periods: tuple[int, ...] = FORWARD_PERIODS) -> DataFrame:
-    """forward_<n>d_return (percent), direction_<n>d and max_drawdown_5d; the tail
-    without a label for the longest period is dropped."""
+def add_forward_labels(df: DataFrame, periods: tuple[int, ...] = FORWARD_PERIODS, drop_tail: bool = True) -> DataFrame:
+    """Adds forward_<n>d_return (percent), direction_<n>d and max_drawdown_5d; the tail
+    without a label for the longest period is dropped unless told otherwise."""
     close = F.col("close")
     cols = {"max_drawdown_5d": max_forward_drawdown(close)}
     for n in periods:
         ret = pct(F.lead(close, n).over(series()), close)
         cols[f"forward_{n}d_return"] = ret
         cols[f"direction_{n}d"] = F.when(ret.isNotNull(), (ret > 0).cast("int"))
+    out = df.withColumns({**cols, "_h": F.lead(close, max(periods)).over(series())})
+    return (out.where(F.col("_h").isNotNull()) if drop_tail else out).drop("_h")
+
+
+def forward_labels(bars: DataFrame, periods: tuple[int, ...] = FORWARD_PERIODS) -> DataFrame:
+    """The label table (ticker, date, labels)."""
     names = [f"forward_{n}d_return" for n in periods] + [f"direction_{n}d" for n in periods] + ["max_drawdown_5d"]
-    horizon = F.lead(close, max(periods)).over(series())
-    return (
-        bars.select("ticker", "date", "close")
-        .withColumns({**cols, "_h": horizon})
-        .where(F.col("_h").isNotNull())
-        .select("ticker", "date", *names)
-    )
+    return add_forward_labels(bars.select("ticker", "date", "close"), periods).select("ticker", "date", *names)
 
 
 def threshold_labels(df: DataFrame, value: str, threshold: float, out: str = "label") -> DataFrame:
