@@ -1 +1,232 @@
-"""Placeholder until filled."""
+"""Feature selection, split, metric, training, calibration and stacking queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from equityspark.catalog import oracle
+from equityspark.catalog.q_features import model_frame
+from equityspark.catalog.registry import query
+from equityspark.catalog.util import keep, r, rounded
+from equityspark.functions import indicators as ind
+from equityspark.functions.core import ratio
+from equityspark.operators import ensemble, features, labels, ml
+from equityspark.session import cut_lineage, scratch_folder
+from equityspark.sources import views
+
+SEL = ["close", "rsi_14", "sma_20", "sma_50", "sma_200", "bb_upper", "volume", "volume_sma_20"]
+
+
+def select_frame(spark, d):
+    close = F.col("close")
+    up, _, _ = ind.bollinger(close)
+    return views.bars(spark, d).withColumns(
+        {"rsi_14": ind.rsi(close), "sma_20": ind.sma(close, 20), "sma_50": ind.sma(close, 50), "sma_200": ind.sma(close, 200),
+         "bb_upper": up, "volume_sma_20": ind.sma(F.col("volume"), 20)}
+    ).select("ticker", "date", *SEL)
+
+
+oracle.define("sel_frame", "SELECT ticker, date, close, rsi_14, sma_20, sma_50, sma_200, sma_20 + 2 * sd_20 AS bb_upper, volume, volume_sma_20 FROM ind_rsi")
+
+
+@query("d26_missing_share", " UNION ALL ".join(f"SELECT '{c}' AS feature, round(1 - count({c}) / count(*), 6) AS missing FROM sel_frame" for c in SEL))
+def d26(spark, d):
+    return keep(ml.missing_share(select_frame(spark, d), SEL), "feature", "missing")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(SEL) for b in SEL[i + 1:]]
+oracle.define("sel_corr", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM sel_frame" for a, b in _PAIRS))
+
+
+@query("d27_correlations", f"SELECT a, b, {r('corr')} FROM sel_corr")
+def d27(spark, d):
+    return keep(ml.correlations(select_frame(spark, d), SEL), "a", "b", "corr")
+
+
+@query("i05b_correlation_prune", "SELECT DISTINCT b AS feature FROM sel_corr WHERE abs(corr) > 0.95")
+def i05b(spark, d):
+    return ml.correlated_features(ml.correlations(select_frame(spark, d), SEL))
+
+
+@query("d28_median_imputation", "SELECT ticker, date, " + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM sel_frame)), 6) AS {c}" for c in ("rsi_14", "sma_50")) + " FROM sel_frame")
+def d28(spark, d):
+    return keep(ml.impute_median(select_frame(spark, d).select("ticker", "date", "rsi_14", "sma_50"), ["rsi_14", "sma_50"]), "ticker", "date", "rsi_14", "sma_50")
+
+
+@query("d29_class_balance", "SELECT count(*) FILTER (direction_5d = 0) AS negatives, count(*) FILTER (direction_5d = 1) AS positives, round(count(*) FILTER (direction_5d = 0) / count(*) FILTER (direction_5d = 1), 6) AS scale_pos_weight FROM fwd_labels")
+def d29(spark, d):
+    return rounded(ml.class_balance(labels.forward_labels(views.bars(spark, d))))
+
+
+oracle.define("scored", """
+  SELECT p.ticker, p.date, p.model, CASE WHEN p.direction = 'bullish' THEN 1 ELSE 0 END AS prediction, p.expected_return, l.direction_5d, l.forward_5d_return
+  FROM predictions p JOIN fwd_labels l ON l.ticker = p.ticker AND l.date = p.date""")
+
+
+def scored(spark, d):
+    p = views.predictions(spark, d).withColumn("prediction", (F.col("direction") == "bullish").cast("int"))
+    return p.join(labels.forward_labels(views.bars(spark, d)), ["ticker", "date"])
+
+
+CM = """avg(CASE WHEN prediction = direction_5d THEN 1.0 ELSE 0.0 END) AS accuracy,
+  coalesce(count(*) FILTER (prediction = 1 AND direction_5d = 1) / nullif(count(*) FILTER (prediction = 1), 0), 0) AS precision,
+  coalesce(count(*) FILTER (prediction = 1 AND direction_5d = 1) / nullif(count(*) FILTER (direction_5d = 1), 0), 0) AS recall,
+  coalesce(2 * count(*) FILTER (prediction = 1 AND direction_5d = 1) / nullif(count(*) FILTER (prediction = 1) + count(*) FILTER (direction_5d = 1), 0), 0) AS f1"""
+
+
+@query("d34_classification_metrics", f"SELECT model, {r('accuracy', 'precision', 'recall', 'f1')} FROM (SELECT model, {CM} FROM scored GROUP BY model)")
+def d34(spark, d):
+    return rounded(ml.classification_metrics(scored(spark, d), "direction_5d", "prediction", ["model"]))
+
+
+@query("d35_regression_metrics", "SELECT model, round(m, 6) AS mse, round(1 - m / v, 6) AS r2, round(a, 6) AS mae FROM (SELECT model, avg(pow(forward_5d_return - expected_return, 2)) AS m, avg(abs(forward_5d_return - expected_return)) AS a, var_pop(forward_5d_return) AS v FROM scored GROUP BY model)")
+def d35(spark, d):
+    return rounded(ml.regression_metrics(scored(spark, d), "forward_5d_return", "expected_return", ["model"]))
+
+
+_FOLD = "unnest(range(3)) AS fold, n - (3 - unnest(range(3))) * (n // 4) AS s, n // 4 AS size"
+oracle.define("date_folds", f"""
+  SELECT date, fold, CASE WHEN rk < s THEN 'train' WHEN rk < s + size THEN 'validation' END AS role FROM (
+    SELECT date, rk, {_FOLD} FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars))) WHERE rk < s + size""")
+
+
+@query("e31_walk_forward", "SELECT b.ticker, b.date, CAST(fold AS INTEGER) AS fold, role FROM bars b JOIN date_folds f ON f.date = b.date")
+def e31(spark, d):
+    return ml.walk_forward(views.bars(spark, d)).select("ticker", "date", "fold", "role")
+
+
+@query("e31_walk_forward_rows", f"""SELECT ticker, date, CAST(fold AS INTEGER) AS fold, CASE WHEN rk < s THEN 'train' ELSE 'validation' END AS role FROM (
+    SELECT ticker, date, rk, {_FOLD} FROM (SELECT ticker, date, row_number() OVER (ORDER BY ticker, date) - 1 AS rk, count(*) OVER () AS n FROM bars)) WHERE rk < s + size""")
+def e31_rows(spark, d):
+    return ml.walk_forward(views.bars(spark, d), compat="rows").select("ticker", "date", "fold", "role")
+
+
+@query("e32_early_stop_split", "SELECT b.ticker, b.date, f.v AS is_validation FROM bars b JOIN (SELECT date, coalesce(sum(c) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 0.8 * (SELECT count(*) FROM bars) AS v FROM (SELECT date, count(*) AS c FROM bars GROUP BY date)) f ON f.date = b.date")
+def e32(spark, d):
+    return ml.early_stop_flag(views.bars(spark, d)).select("ticker", "date", "is_validation")
+
+
+oracle.define("fold_metrics", f"SELECT model, fold, {CM} FROM scored s JOIN date_folds f ON f.date = s.date WHERE role = 'validation' GROUP BY 1, 2")
+
+
+def fold_metrics(spark, d):
+    folds = ml.walk_forward(views.bars(spark, d)).where("role = 'validation'").select("ticker", "date", "fold")
+    return ml.classification_metrics(scored(spark, d).join(folds, ["ticker", "date"]), "direction_5d", "prediction", ["model", "fold"])
+
+
+AVG = "SELECT model, avg(accuracy) AS accuracy, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM fold_metrics GROUP BY model"
+oracle.define("fold_avg", AVG)
+
+
+@query("d36_fold_average", f"SELECT model, {r('accuracy', 'precision', 'recall', 'f1')} FROM fold_avg")
+def d36(spark, d):
+    return rounded(ml.average_folds(fold_metrics(spark, d).drop("fold"), ["model"]))
+
+
+@query("d37_regression_gate", """SELECT n.model, round(n.accuracy, 6) AS accuracy, round(coalesce(b.accuracy, 0.526), 6) AS baseline, n.accuracy >= coalesce(b.accuracy, 0.526) AS passed
+    FROM fold_avg n LEFT JOIN (SELECT model, avg(CASE WHEN prediction = direction_5d THEN 1.0 ELSE 0.0 END) AS accuracy FROM scored WHERE model <> 'trend' GROUP BY model) b ON b.model = n.model""")
+def d37(spark, d):
+    new = ml.average_folds(fold_metrics(spark, d).drop("fold"), ["model"]).select("model", "accuracy")
+    base = ml.classification_metrics(scored(spark, d).where("model <> 'trend'"), "direction_5d", "prediction", ["model"])
+    return keep(ml.regression_gate(new, base), "model", "accuracy", "baseline", "passed")
+
+
+@query("f14_best_model", "SELECT model, round(accuracy, 6) AS accuracy FROM fold_avg ORDER BY accuracy DESC, model LIMIT 1")
+def f14(spark, d):
+    return rounded(ml.best_model(ml.average_folds(fold_metrics(spark, d).drop("fold"), ["model"])))
+
+
+# Trained models: checked by rows only, small settings ------------------------------
+FEATS = ["rsi_14", "macd_hist", "price_to_sma20", "price_to_sma50", "volume_ratio", "news_sentiment_score"]
+SMALL = {"boosted": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 10, "maxDepth": 5}, "boosted_wide": {"maxIter": 5, "maxDepth": 4}}
+FAMILIES = ("boosted", "random_forest")
+
+
+def frame(spark, d):
+    return cut_lineage(model_frame(spark, d))
+
+
+@query("i01_direction_classifier")
+def i01(spark, d):
+    f = frame(spark, d)
+    out = None
+    for family in ml.DEFAULTS:
+        model = ml.train_classifier(f, FEATS, family, SMALL[family])
+        m = ml.classification_metrics(model.transform(ml._vectors(f, FEATS)), ml.LABEL, "prediction").withColumn("model", F.lit(family))
+        out = m if out is None else out.unionByName(m)
+    return rounded(out)
+
+
+@query("i02_return_regressor")
+def i02(spark, d):
+    f = frame(spark, d)
+    model = ml.train_regressor(f, FEATS, "random_forest", SMALL["random_forest"])
+    return rounded(ml.regression_metrics(model.transform(ml._vectors(f, FEATS)), ml.TARGET, "prediction"))
+
+
+@query("i03_walk_forward_validation")
+def i03(spark, d):
+    return rounded(ml.walk_forward_validation(frame(spark, d), FEATS, "random_forest", 3, SMALL["random_forest"]))
+
+
+@query("i04_hyperparameter_search")
+def i04(spark, d):
+    bounds = {"numTrees": (3, 8), "maxDepth": (2, 4), "minInstancesPerNode": (2, 20)}
+    return ml.tune(frame(spark, d), FEATS, "random_forest", n_trials=2, n_splits=2, bounds=bounds)[1]
+
+
+@query("i05_select_features")
+def i05(spark, d):
+    f = select_frame(spark, d).join(labels.forward_labels(views.bars(spark, d)).select("ticker", "date", ml.LABEL), ["ticker", "date"])
+    names = ml.select_features(cut_lineage(f), SEL, top_n=5, rounds=3)
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "rank int, feature string")
+
+
+@query("i06_feature_importances")
+def i06(spark, d):
+    model = ml.train_classifier(frame(spark, d), FEATS, "random_forest", SMALL["random_forest"])
+    return rounded(ml.importance_table(spark, model, FEATS))
+
+
+@query("f13_top_features")
+def f13(spark, d):
+    model = ml.train_classifier(frame(spark, d), FEATS, "random_forest", SMALL["random_forest"])
+    return rounded(spark.createDataFrame(ml.top_importances(model, FEATS, 3), "feature string, importance double"))
+
+
+@query("i07_train_and_save")
+def i07(spark, d):
+    out = scratch_folder(spark, "models")
+    return rounded(ml.train_and_save(frame(spark, d), FEATS, out, FAMILIES, 2, SMALL))
+
+
+def model_predictions(spark, d):
+    f = frame(spark, d)
+    c = ml.train_classifier(f, FEATS, "random_forest", SMALL["random_forest"])
+    g = ml.train_regressor(f, FEATS, "random_forest", SMALL["random_forest"])
+    return ml.predict(f, FEATS, c, g, "random_forest"), f
+
+
+@query("i08_batch_predictions")
+def i08(spark, d):
+    return rounded(model_predictions(spark, d)[0])
+
+
+@query("i09_calibrated_probabilities")
+def i09(spark, d):
+    p, f = model_predictions(spark, d)
+    both = p.join(f.select("ticker", "date", ml.LABEL), ["ticker", "date"])
+    iso = ml.Calibrator("isotonic").fit(both).transform(both, out="isotonic")
+    return rounded(ml.Calibrator("platt").fit(both).transform(iso, out="platt").select("ticker", "date", "p_up", "isotonic", "platt"))
+
+
+@query("i13_stacking")
+def i13(spark, d):
+    f = frame(spark, d)
+    oof = cut_lineage(ml.out_of_fold(f, FEATS, FAMILIES, 3, SMALL))
+    meta = ml.fit_stacking(oof, FAMILIES)
+    long = oof.select("ticker", "date", F.explode(F.array(*[F.struct(F.lit(x).alias("model"), F.col(x).alias("p")) for x in FAMILIES])).alias("m")).select("ticker", "date", "m.*")
+    up = F.col("p") > 0.5
+    preds = long.select("ticker", "date", "model", F.when(up, "bullish").otherwise("bearish").alias("direction"),
+                        (F.greatest("p", 1 - F.col("p")) * 100).alias("confidence"), ((F.col("p") - 0.5) * 10).alias("expected_return"))
+    return rounded(ensemble.stacked(preds, ml.stacking_probability(meta, oof, FAMILIES)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "equityspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,14 +30,32 @@ def build_session(app: str = "equityspark", master: str | None = None, **conf: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only if none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Only a local session (tests) gets a temporary folder; on a cluster a missing setting
+    is an error, because machine-local files do not survive the loss of an executor.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         import tempfile
 
         configured = tempfile.mkdtemp(prefix="equityspark-ckpt-")
-    spark.sparkContext.setCheckpointDir(configured)
+    sc.setCheckpointDir(configured)
     return configured
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and continue from the files."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """Name of a new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
