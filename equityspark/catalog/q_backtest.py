@@ -120,7 +120,7 @@ def c16(spark, d):
     return keep(j, "ticker", "date", "model", "realised")
 
 
-@query("c08_entry_exit", "SELECT ticker, date, round(close, 6) AS entry_price, exit_date, round(exit_price, 6) AS exit_price FROM range_bars WHERE nr >= 100 AND pos >= 50 AND pos < nr - 6")
+@query("c08_entry_exit", "SELECT ticker, date, close AS entry_price, exit_date, exit_price AS exit_price FROM range_bars WHERE nr >= 100 AND pos >= 50 AND pos < nr - 6")
 def c08(spark, d):
     e = backtest.priced_entries(readers.warmup_range(views.bars(spark, d), START, END))
     return keep(e, "ticker", "date", "entry_price", "exit_date", "exit_price")
@@ -194,10 +194,11 @@ def d13(spark, d):
     return keep(backtest.buy_and_hold(views.bars(spark, d), START, END), "ticker", "buy_hold_return")
 
 
-oracle.define("equity", f"""
-  SELECT ticker, date, product(coalesce(f, 1)) OVER (PARTITION BY ticker ORDER BY date) * 100 AS equity FROM (
-    SELECT t.ticker, CAST(g.d AS DATE) AS date, x.f FROM (SELECT DISTINCT ticker FROM trades) t, (SELECT unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS d) g
-    LEFT JOIN (SELECT ticker, exit_date, product(1 + net_return_pct / 100) AS f FROM trades WHERE exit_date <= DATE '{END}' GROUP BY 1, 2) x ON x.ticker = t.ticker AND x.exit_date = CAST(g.d AS DATE))""")
+oracle.define("equity_factors", f"""SELECT ticker, exit_date, product(1 + net_return_pct / 100) AS f FROM trades WHERE exit_date <= DATE '{END}' GROUP BY 1, 2""")
+oracle.define("equity_run", f"""
+  SELECT t.ticker, DATE '{START}' AS date, coalesce(f, 1.0::DOUBLE) AS p FROM (SELECT DISTINCT ticker FROM trades) t LEFT JOIN equity_factors x ON x.ticker = t.ticker AND x.exit_date = DATE '{START}'
+  UNION ALL SELECT e.ticker, e.date + 1, e.p * coalesce(f, 1.0::DOUBLE) FROM equity_run e LEFT JOIN equity_factors x ON x.ticker = e.ticker AND x.exit_date = e.date + 1 WHERE e.date < DATE '{END}'""")
+oracle.define("equity", "SELECT ticker, date, p * 100 AS equity FROM equity_run")
 
 
 @query("e27_equity_curve", f"SELECT ticker, date, {r('equity')} FROM equity")

@@ -43,13 +43,13 @@ def c01(spark, d):
     return keep(features.training_join(*_tables(spark, d)), "ticker", "date", "sector", "direction_5d", *JOINED)
 
 
-@query("c02_sentiment_join", f"SELECT j.ticker, j.date, {r('news_sentiment_score', 'news_macro_sentiment')}, round(j.close, 6) AS close FROM joined j LEFT JOIN news_sent n ON n.ticker = j.ticker AND n.date = j.date")
+@query("c02_sentiment_join", f"SELECT j.ticker, j.date, {r('news_sentiment_score', 'news_macro_sentiment')}, j.close AS close FROM joined j LEFT JOIN news_sent n ON n.ticker = j.ticker AND n.date = j.date")
 def c02(spark, d):
     out = features.training_join(*_tables(spark, d), daily_sentiment(spark, d))
     return keep(out, "ticker", "date", "news_sentiment_score", "news_macro_sentiment", "close")
 
 
-@query("c03_export_join", "SELECT b.ticker, b.date, i.sector, round(b.close, 6) AS close, round(x.rsi_14, 6) AS rsi_14, round(l.forward_5d_return, 6) AS forward_5d_return FROM bars b LEFT JOIN ind_rsi x ON x.ticker = b.ticker AND x.date = b.date LEFT JOIN fwd_labels l ON l.ticker = b.ticker AND l.date = b.date LEFT JOIN instrument i ON i.ticker = b.ticker WHERE l.forward_5d_return IS NOT NULL")
+@query("c03_export_join", "SELECT b.ticker, b.date, i.sector, b.close AS close, round(x.rsi_14, 6) AS rsi_14, round(l.forward_5d_return, 6) AS forward_5d_return FROM bars b LEFT JOIN ind_rsi x ON x.ticker = b.ticker AND x.date = b.date LEFT JOIN fwd_labels l ON l.ticker = b.ticker AND l.date = b.date LEFT JOIN instrument i ON i.ticker = b.ticker WHERE l.forward_5d_return IS NOT NULL")
 def c03(spark, d):
     return keep(features.export_join(*_tables(spark, d)), "ticker", "date", "sector", "close", "rsi_14", "forward_5d_return")
 

@@ -66,8 +66,8 @@ def e08(spark, d):
     return keep(views.bars(spark, d).withColumn("obv", ind.obv(F.col("close"), F.col("volume"))), "ticker", "date", "obv")
 
 
-@query("e09_support_resistance", f"""SELECT ticker, round(min(close), 6) AS support, round(max(close), 6) AS resistance,
-    round(arg_max(close, date), 6) AS current FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars)
+@query("e09_support_resistance", f"""SELECT ticker, min(close) AS support, max(close) AS resistance,
+    arg_max(close, date) AS current FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars)
     WHERE k <= 20 GROUP BY ticker""")
 def e09(spark, d):
     return keep(snapshot.support_resistance(views.bars(spark, d)), "ticker", "support", "resistance", "current")
@@ -263,7 +263,7 @@ def e34(spark, d):
     return keep(snapshot.day_metrics(views.bars(spark, d)), "ticker", "date", "day_change_pct", "prev_change_pct", "volume_vs_avg", "significant")
 
 
-@query("f01_latest_row", f"SELECT ticker, max(date) AS date, {', '.join(f'round(arg_max({c}, date), 6) AS {c}' for c in OHLCV)} FROM bars GROUP BY ticker")
+@query("f01_latest_row", f"SELECT ticker, max(date) AS date, {', '.join(f'arg_max({c}, date) AS {c}' for c in OHLCV)} FROM bars GROUP BY ticker")
 def f01(spark, d):
     return keep(snapshot.latest_bar(views.bars(spark, d)), "ticker", "date", *OHLCV)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from equityspark.catalog.registry import query
-from equityspark.catalog.util import keep, r
+from equityspark.catalog.util import keep, raw_or_round
 from equityspark.operators import features
 from equityspark.plans import snapshot
 from equityspark.sources import views
@@ -20,7 +20,7 @@ def _sql(compat: bool) -> str:
              "price_to_sma20": "coalesce(close / coalesce(sma_20, close) - 1, 0)",
              "price_to_sma50": "coalesce(close / coalesce(sma_50, close) - 1, 0)",
              "volume_ratio": "coalesce(volume / coalesce(volume_sma_20, volume), 0)"}
-    cols = ", ".join(f"round(coalesce({fill.get(c, c)}, 0), 6) AS {c}" for c in COLS)
+    cols = ", ".join(raw_or_round(f"coalesce({fill.get(c, c)}, 0)", c) for c in COLS)
     return f"SELECT ticker, {cols} FROM {_LATEST} WHERE k = 1"
 
 

@@ -140,7 +140,7 @@ def b09(spark, d):
     return keep(screening.run(metrics(spark, d), screening.Screen("custom", CUSTOM, False, 40)), "ticker", "score")
 
 
-@query("b10_quick_filter", "SELECT ticker, round(price, 6) AS price FROM metrics WHERE price > 100 AND volume_ratio > 0.5")
+@query("b10_quick_filter", "SELECT ticker, price AS price FROM metrics WHERE price > 100 AND volume_ratio > 0.5")
 def b10(spark, d):
     return keep(screening.quick_filter(metrics(spark, d), "price > 100 AND volume_ratio > 0.5"), "ticker", "price")
 
@@ -174,7 +174,7 @@ def b24(spark, d):
     return uni.filter_members(u, "all", ["asia", "EUROPE"], uni.members(u, "large_cap"))
 
 
-@query("c10_exclude", "SELECT ticker, date, round(close, 6) AS close FROM bars WHERE ticker NOT IN (SELECT ticker FROM universe WHERE universe = 'large_cap')")
+@query("c10_exclude", "SELECT ticker, date, close AS close FROM bars WHERE ticker NOT IN (SELECT ticker FROM universe WHERE universe = 'large_cap')")
 def c10(spark, d):
     out = uni.members(views.universe(spark, d), "large_cap")
     return keep(views.bars(spark, d).join(out, "ticker", "left_anti"), "ticker", "date", "close")

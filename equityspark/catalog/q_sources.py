@@ -21,8 +21,8 @@ def a01(spark, d):
 
 
 def _resample_sql(start: str) -> str:
-    return f"""SELECT ticker, CAST({start} AS DATE) AS date, round(arg_min(open, date), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low,
-      round(arg_max(close, date), 6) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2"""
+    return f"""SELECT ticker, CAST({start} AS DATE) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low,
+      arg_max(close, date) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2"""
 
 
 @query("a02_daily_bars", f"SELECT ticker, date, {r(*OHLCV)} FROM bars")
@@ -36,14 +36,14 @@ for _name, _interval, _start in (("week", "1wk", "date_trunc('week', date)"), ("
     )
 
 
-@query("a02_hour_bars", """SELECT printf('S%04d', user_id) AS ticker, date_trunc('hour', ts) AS date, round(first(value ORDER BY ts, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low,
-    round(last(value ORDER BY ts, event_id), 6) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
+@query("a02_hour_bars", """SELECT printf('S%04d', user_id) AS ticker, date_trunc('hour', ts) AS date, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
+    last(value ORDER BY ts, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
 def a02_hour(spark, d):
     ticks = views.agent_events(spark, d).select("ticker", "ts", "value", F.lit(1).cast("long").alias("qty"), "event_id")
     return keep(readers.resample_ohlcv(ticks, ["ticker"], "ts", "value", "qty", "event_id", "1h"), "ticker", "date", *OHLCV)
 
 
-@query("a04_source_fallback", """SELECT ticker, date, round(close, 6) AS close, CASE WHEN ticker IN (SELECT ticker FROM heavy GROUP BY ticker HAVING count(*) >= 200) THEN 'primary' ELSE 'secondary' END AS feed FROM (
+@query("a04_source_fallback", """SELECT ticker, date, close AS close, CASE WHEN ticker IN (SELECT ticker FROM heavy GROUP BY ticker HAVING count(*) >= 200) THEN 'primary' ELSE 'secondary' END AS feed FROM (
     SELECT * FROM heavy WHERE ticker IN (SELECT ticker FROM heavy GROUP BY ticker HAVING count(*) >= 200)
     UNION ALL SELECT * FROM bars WHERE ticker NOT IN (SELECT ticker FROM heavy GROUP BY ticker HAVING count(*) >= 200) AND ticker IN (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 200))""")
 def a04(spark, d):
@@ -70,7 +70,7 @@ def a09(spark, d):
     return keep(out, "ticker", "date", "upcoming", "type", "reported")
 
 
-@query("a10_csv_export", """SELECT b.ticker, b.date, round(b.close, 6) AS close, round(l.f5, 6) AS forward_5d_return, i.sector FROM bars b JOIN
+@query("a10_csv_export", """SELECT b.ticker, b.date, b.close AS close, round(l.f5, 6) AS forward_5d_return, i.sector FROM bars b JOIN
     (SELECT ticker, date, (lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) - close) / close * 100 AS f5 FROM bars) l ON l.ticker = b.ticker AND l.date = b.date
     LEFT JOIN instrument i ON i.ticker = b.ticker WHERE f5 IS NOT NULL""")
 def a10(spark, d):
@@ -129,8 +129,8 @@ def d01_sectors(spark, d):
 SUMMARY = ["latest_price", "period_high", "period_low", "price_change", "price_change_percent"]
 
 
-@query("d02_period_summary", """SELECT ticker, count(*) AS data_points, min(date) AS start_date, max(date) AS end_date, round(arg_max(close, date), 6) AS latest_price, CAST(arg_max(volume, date) AS BIGINT) AS latest_volume,
-    round(max(high), 6) AS period_high, round(min(low), 6) AS period_low, round(arg_max(close, date) - arg_min(close, date), 6) AS price_change,
+@query("d02_period_summary", """SELECT ticker, count(*) AS data_points, min(date) AS start_date, max(date) AS end_date, arg_max(close, date) AS latest_price, CAST(arg_max(volume, date) AS BIGINT) AS latest_volume,
+    max(high) AS period_high, min(low) AS period_low, round(arg_max(close, date) - arg_min(close, date), 6) AS price_change,
     round((arg_max(close, date) - arg_min(close, date)) / arg_min(close, date) * 100, 6) AS price_change_percent, CAST(floor(avg(volume)) AS BIGINT) AS average_volume FROM bars GROUP BY ticker""")
 def d02(spark, d):
     s = stock_record.period_summary(views.bars(spark, d))
