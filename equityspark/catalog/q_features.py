@@ -64,7 +64,7 @@ oracle.define("model_frame", "SELECT j.ticker, j.date, " + ", ".join(f"j.{c}" fo
 
 def model_frame(spark, d):
     b = views.bars(spark, d)
-    frame = labels.add_forward_labels(ind.indicator_table(b)).join(daily_sentiment(spark, d), ["ticker", "date"], "left")
+    frame = ind.indicator_table(labels.add_forward_labels(b, drop_tail=False)).where("forward_20d_return IS NOT NULL").join(daily_sentiment(spark, d), ["ticker", "date"], "left")
     return features.model_features(frame)
 
 

@@ -83,6 +83,33 @@ def days_to_earnings(cycle: int = 63) -> Column:
     return (F.lit(cycle) - F.pmod(F.row_number().over(series()) - 1, F.lit(cycle))).cast("long")
 
 
+def _blocked(df: DataFrame, block: int) -> DataFrame:
+    """Position in the series, block number and place inside the block."""
+    pos = F.col("_pos")
+    return df.withColumn("_pos", F.row_number().over(series()) - 1).withColumns(
+        {"_blk": F.floor(pos / block).cast("int"), "_k": (pos % block).cast("int")}
+    )
+
+
+def _ema(x: Column, span: int, block: int) -> Column:
+    """EMA of ``x`` over rows prepared by ``_blocked``."""
+    if span < 2:
+        raise ValueError("span must be at least 2")
+    w_block = Window.partitionBy("ticker", "_blk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    w_range = Window.partitionBy("ticker").orderBy("_blk")
+    alpha = 2.0 / (span + 1.0)
+    q = 1.0 - alpha
+    weighted = F.when(F.col("_pos") == 0, x).otherwise(alpha * x)
+    local = F.sum(weighted * F.pow(F.lit(q), -F.col("_k"))).over(w_block) * F.pow(F.lit(q), F.col("_k"))
+    tail = weighted * F.pow(F.lit(q), F.lit(block - 1) - F.col("_k"))
+    reach = max(1, math.ceil(math.log(1e-17) / (block * math.log(q))))
+    carry = F.lit(0.0)
+    for j in range(1, reach + 1):
+        part = F.sum(tail).over(w_range.rangeBetween(-j, -j))
+        carry = carry + F.coalesce(part, F.lit(0.0)) * (q ** (block * (j - 1)))
+    return local + carry * F.pow(F.lit(q), F.col("_k") + 1)
+
+
 def add_ema(df: DataFrame, col: str, spans: dict[str, int], block: int = EMA_BLOCK) -> DataFrame:
     """Exponential means (``adjust=False``) for several spans, without Python workers.
 
@@ -92,40 +119,21 @@ def add_ema(df: DataFrame, col: str, spans: dict[str, int], block: int = EMA_BLO
     decayed below 1e-17 are not representable in the result and are not generated.
     q^-block stays far from overflow for every span >= 2, however long the series is.
     """
-    w_block = Window.partitionBy("ticker", "_blk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    w_range = Window.partitionBy("ticker").orderBy("_blk")
-    base = df.withColumn("_pos", F.row_number().over(series()) - 1).withColumns(
-        {
-            "_blk": F.floor(F.col("_pos") / block).cast("int"),
-            "_k": (F.col("_pos") % block).cast("int"),
-        }
-    )
-    out = {}
-    for name, span in spans.items():
-        if span < 2:
-            raise ValueError("span must be at least 2")
-        alpha = 2.0 / (span + 1.0)
-        q = 1.0 - alpha
-        x = F.col(col)
-        weighted = F.when(F.col("_pos") == 0, x).otherwise(alpha * x)
-        local = F.sum(weighted * F.pow(F.lit(q), -F.col("_k"))).over(w_block) * F.pow(F.lit(q), F.col("_k"))
-        tail = weighted * F.pow(F.lit(q), F.lit(block - 1) - F.col("_k"))
-        reach = max(1, math.ceil(math.log(1e-17) / (block * math.log(q))))
-        carry = F.lit(0.0)
-        for j in range(1, reach + 1):
-            part = F.sum(tail).over(w_range.rangeBetween(-j, -j))
-            carry = carry + F.coalesce(part, F.lit(0.0)) * (q ** (block * (j - 1)))
-        out[name] = local + carry * F.pow(F.lit(q), F.col("_k") + 1)
-    return base.withColumns(out).drop("_pos", "_blk", "_k")
-
-
-def add_macd(df: DataFrame, col: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Adds ema_<fast>, ema_<slow>, macd, macd_signal and macd_hist."""
+    out = _blocked(df, block).withColumns({name: _ema(F.col(col), span, block) for name, span in spans.items()})
+    return out.drop("_pos", "_blk", "_k")
+
+
+def add_macd(df: DataFrame, col: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, block: int = EMA_BLOCK) -> DataFrame:
+    """Adds ema_<fast>, ema_<slow>, macd, macd_signal and macd_hist.
+
+    Both EMA stages use one block layout, hence one sort.
+    """
     fast_name, slow_name = f"ema_{fast}", f"ema_{slow}"
-    out = add_ema(df, col, {fast_name: fast, slow_name: slow})
+    x = F.col(col)
+    out = _blocked(df, block).withColumns({fast_name: _ema(x, fast, block), slow_name: _ema(x, slow, block)})
     out = out.withColumn("macd", F.col(fast_name) - F.col(slow_name))
-    out = add_ema(out, "macd", {"macd_signal": signal})
-    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    out = out.withColumn("macd_signal", _ema(F.col("macd"), signal, block))
+    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_pos", "_blk", "_k")
 
 
 def indicator_table(bars: DataFrame) -> DataFrame:

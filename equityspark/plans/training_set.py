@@ -22,7 +22,8 @@ def assemble(
     dropped, then invalid and outlying rows; lag, volatility, strength, calendar and band
     features look at the remaining rows.
     """
-    out = labels.add_forward_labels(ind.indicator_table(bars))
+    out = ind.indicator_table(labels.add_forward_labels(bars, drop_tail=False))
+    out = out.where(F.col(f"forward_{max(labels.FORWARD_PERIODS)}d_return").isNotNull())
     out = out.join(info, "ticker", "left")
     if sentiment is not None:
         out = out.join(sentiment, ["ticker", "date"], "left")
@@ -57,7 +58,7 @@ EXPORT_COLUMNS = ["ticker", "date", "open", "high", "low", "close", "volume", *i
 
 def export_frame(bars: DataFrame, info: DataFrame) -> DataFrame:
     """Rows with a 5-row forward return, one column per name."""
-    out = labels.add_forward_labels(ind.indicator_table(bars), drop_tail=False)
+    out = ind.indicator_table(labels.add_forward_labels(bars, drop_tail=False))
     out = out.join(info.select("ticker", "sector", "industry"), "ticker", "left")
     return out.where(F.col("forward_5d_return").isNotNull()).select(*EXPORT_COLUMNS)
 
