@@ -91,7 +91,8 @@ def normalize_columns(df: DataFrame, rename: dict[str, str] | None = None) -> Da
 
 def normalize_vendor_bars(df: DataFrame, ticker: str | None = None) -> DataFrame:
     """Vendor aggregate rows (o,h,l,c,v and epoch-ms t) to the bar schema."""
-    out = df.withColumnsRenamed({"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "T": "ticker"})
+    names = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "T": "ticker"}
+    out = df.toDF(*[names.get(c, c) for c in df.columns])  # exact case: "t" is the time, "T" the ticker
     if "t" in out.columns:
         out = out.withColumn("date", F.to_date(F.timestamp_millis(F.col("t")))).drop("t")
     out = normalize_columns(out)
