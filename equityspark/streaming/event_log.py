@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from equityspark.functions.core import latest_per
 from equityspark.sources.sinks import upsert
@@ -73,13 +73,13 @@ def progress(events: DataFrame, block: str = "hour") -> DataFrame:
     )
 
 
-def conflicts(recommendations: DataFrame) -> DataFrame:
+def conflicts(recommendations: DataFrame, order: list[str] | tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Tickers whose sources' newest recommendations differ.
 
     Reduced to one row per (ticker, source) before anything is grouped by ticker; the
     map has one entry per source.
     """
-    last = latest_per(recommendations, ["ticker", "source"], F.struct("ts", "event_id"), ["recommendation"])
+    last = latest_per(recommendations, ["ticker", "source"], F.struct(*order), ["recommendation"])
     g = last.groupBy("ticker").agg(
         F.count("*").alias("n_sources"),
         F.count_distinct("recommendation").alias("n_recommendations"),
@@ -135,65 +135,35 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 ho
     )
 
 
-CONFLICT_SCHEMA = "ticker string, recommendations string, ts timestamp"
-
-
-class _ConflictState(StatefulProcessor):
-    """Newest recommendation per source of one ticker; emits when the picture becomes, or
-    changes within, a conflict."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getMapState("latest", "source string", "recommendation string, ts timestamp", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = {k[0]: (v[0], pd.Timestamp(v[1])) for k, v in self.latest.iterator()}
-        found = []
-        for pdf in rows:
-            for source, rec, ts in pdf.sort_values("ts")[["source", "recommendation", "ts"]].itertuples(index=False):
-                known = now.get(source)
-                if known is not None and (ts < known[1] or rec == known[0]):
-                    if known is not None and ts >= known[1]:
-                        now[source] = (rec, ts)
-                    continue
-                now[source] = (rec, ts)
-                recs = {s: r for s, (r, _) in now.items()}
-                if len(set(recs.values())) > 1:
-                    text = ", ".join(f"{s}={r}" for s, r in sorted(recs.items()))
-                    found.append((key[0], text, ts))
-        for source, (rec, ts) in now.items():
-            self.latest.updateValue((source,), (rec, ts.to_pydatetime()))
-        if found:
-            yield pd.DataFrame(found, columns=["ticker", "recommendations", "ts"])
-
-    def close(self) -> None:
-        pass
-
-
-def _run_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch, keep the first and last row of each run of equal recommendations of
-    one (ticker, source): what lies between changes nothing, and a hot ticker shrinks
-    before the shuffle."""
-    for pdf in batches:
-        pdf = pdf.sort_values(["ticker", "source", "ts"], kind="stable")
-        same = (pdf[["ticker", "source", "recommendation"]] == pdf[["ticker", "source", "recommendation"]].shift()).all(axis=1)
-        nxt = (pdf[["ticker", "source", "recommendation"]] == pdf[["ticker", "source", "recommendation"]].shift(-1)).all(axis=1)
-        yield pdf[~(same & nxt)]
-
-
-def conflict_stream(recommendations: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def conflict_stream(recommendations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Conflicts as they arise on a stream of (ticker, source, recommendation, ts).
 
-    Needs the RocksDB state store provider. State is one entry per source and ticker and
-    expires after ``ttl_ms``.
+    State is the newest recommendation per (ticker, source). Each micro-batch is first
+    reduced to that shape with map-side combining, so a hot ticker is a handful of rows
+    before anything is keyed by ticker; then the touched tickers' state is merged in.
+    A ticker whose picture changed and now disagrees is written to ``path/conflicts``.
+    State changes and conflicts of a batch go to their own folders and are overwritten
+    when the batch is retried; a batch only reads the state of earlier batches.
     """
-    slim = recommendations.select("ticker", "source", "recommendation", "ts")
-    combined = slim.mapInPandas(_run_ends, slim.schema)
-    return combined.groupBy("ticker").transformWithStateInPandas(
-        statefulProcessor=_ConflictState(ttl_ms), outputStructType=CONFLICT_SCHEMA, outputMode="Append", timeMode="ProcessingTime"
-    )
+    keys, order = ["ticker", "source"], ["ts"]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = upsert(None, batch.select(*keys, "recommendation", "ts"), keys, order)
+        try:
+            stored = spark.read.parquet(f"{path}/state").where(F.col("batch") < batch_id).drop("batch")
+        except AnalysisException:  # first batch
+            stored = fresh.where(F.lit(False))
+        known = upsert(None, stored.join(fresh.select("ticker").distinct(), "ticker", "left_semi"), keys, order)
+        old = known.select(*keys, F.col("recommendation").alias("_old"), F.col("ts").alias("_seen"))
+        moved = fresh.join(old, keys, "left").where(F.col("_seen").isNull() | (F.col("ts") > F.col("_seen")))
+        changed = moved.where(~F.col("recommendation").eqNullSafe(F.col("_old"))).select("ticker").distinct()
+        merged = upsert(known, fresh, keys, order)
+        found = conflicts(merged.join(changed, "ticker", "left_semi"), order)
+        found.write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
+        moved.select(*keys, "recommendation", "ts").write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+    return each_batch(recommendations, handle, checkpoint)
 
 
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:

@@ -20,8 +20,6 @@ def spark(tmp_path_factory):
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("ckpt")),
-            "spark.sql.streaming.stateStore.providerClass":
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         },
     )
     s.sparkContext.setLogLevel("ERROR")

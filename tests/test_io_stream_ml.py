@@ -91,11 +91,10 @@ def test_conflict_stream_emits_once_per_change(spark, tmp_path):
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = (event_log.conflict_stream(s).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
-         .outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")))
-    q.awaitTermination()
-    got = spark.read.schema(event_log.CONFLICT_SCHEMA).parquet(str(tmp_path / "out")).collect()
-    assert [(r["ticker"], r["recommendations"]) for r in got] == [("X", "s1=buy, s2=sell")]
+    q = event_log.conflict_stream(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert q.awaitTermination(60)
+    got = spark.read.parquet(str(tmp_path / "out" / "conflicts")).collect()
+    assert [(r["ticker"], r["recommendations"]) for r in got] == [("X", {"s1": "buy", "s2": "sell"})]
 
 
 def test_log_stream_windows_and_dead_letters(spark, tmp_path):
