@@ -103,6 +103,8 @@ def _ema(x: Column, span: int, block: int) -> Column:
     local = F.sum(weighted * F.pow(F.lit(q), -F.col("_k"))).over(w_block) * F.pow(F.lit(q), F.col("_k"))
     tail = weighted * F.pow(F.lit(q), F.lit(block - 1) - F.col("_k"))
     reach = max(1, math.ceil(math.log(1e-17) / (block * math.log(q))))
+    if reach > 128:
+        raise ValueError("block too small for this span; pass a larger block")
     carry = F.lit(0.0)
     for j in range(1, reach + 1):
         part = F.sum(tail).over(w_range.rangeBetween(-j, -j))
