@@ -19,6 +19,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -286,7 +287,7 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", data: st
         for b in batches:
             col = b.column(ids)
             flat = np.asarray(col.flatten(), np.int64)
-            border = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(col).fill_null(0), np.int64))])
+            border = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(col).fill_null(0), np.int64))])
             out = pa.array(c.decode(flat, border), pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], out], names=[*rest, data])
 

@@ -16,6 +16,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def blocks(batches, size: int = 4 << 20):
     for b in batches:
         if b.num_rows == 0:
             continue
-        lens = np.asarray(pa.compute.binary_length(b.column("text").cast(pa.large_string())).fill_null(0), np.int64)
+        lens = np.asarray(pc.binary_length(b.column("text").cast(pa.large_string())).fill_null(0), np.int64)
         group = np.cumsum(lens) // size
         edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(lens)]])
         for a, z in zip(edges[:-1], edges[1:], strict=True):

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityspark.llm import bpe, urlfilter
-from equityspark.llm.common import table
+from equityspark.llm import bpe, packing, quality, secrets, urlfilter
+from equityspark.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +46,26 @@ m AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITIO
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""")
 def op2(spark, d):
     return urlfilter.judge(table(spark, d, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_packing")
+def op5(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    parts = written(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), "pieces")
+    return packing.pack(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_secret_scan")
+def op7(spark, d):
+    found = secrets.scan(table(spark, d, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.kind.isin(*secrets.KINDS))
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+@query("op8_quality_rules")
+def op8(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, d, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
