@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityspark.llm import bpe, packing, quality, secrets, substring, urlfilter
+from equityspark.llm import bpe, jaccard, packing, quality, secrets, substring, urlfilter
 from equityspark.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op4(spark, d):
     cut = substring.repeats(table(spark, d, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
     return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_jaccard_join")
+def op10(spark, d):
+    return jaccard.join(table(spark, d, "documents").select("doc_id", "text"))
