@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityspark.llm import bpe, jaccard, packing, quality, secrets, substring, urlfilter
+from equityspark.llm import bpe, jaccard, packing, pii, quality, secrets, substring, urlfilter
 from equityspark.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,11 @@ def op4(spark, d):
 @query("op10_jaccard_join")
 def op10(spark, d):
     return jaccard.join(table(spark, d, "documents").select("doc_id", "text"))
+
+
+PII_KEY = "replace-with-a-secret-key"
+
+
+@query("op6_pii_surrogates")
+def op6(spark, d):
+    return pii.replace(table(spark, d, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "n_pii", "text")
