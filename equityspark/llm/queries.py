@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityspark.llm import bpe, jaccard, packing, pii, quality, secrets, substring, urlfilter
+from equityspark.llm import ann, bpe, jaccard, packing, pii, quality, secrets, substring, urlfilter
 from equityspark.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ PII_KEY = "replace-with-a-secret-key"
 @query("op6_pii_surrogates")
 def op6(spark, d):
     return pii.replace(table(spark, d, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "n_pii", "text")
+
+
+@query("op3_nearest_neighbours")
+def op3(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0))
