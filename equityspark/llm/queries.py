@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityspark.llm import ann, bpe, jaccard, packing, pii, quality, secrets, substring, urlfilter
+from equityspark.llm import ann, bpe, jaccard, packing, pii, ppm, quality, secrets, substring, urlfilter
 from equityspark.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op6(spark, d):
 def op3(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op9_ppm_scores")
+def op9(spark, d):
+    return ppm.score(table(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
