@@ -158,7 +158,7 @@ def _result(b: pa.RecordBatch, c: _Chunk, gone: np.ndarray, rest: list[str], sch
     spans, kept = [], []
     for d in range(b.num_rows):
         a, z = int(c.ptr[d]), int(c.ptr[d + 1])
-        i, j = np.searchsorted(run_end, a, side="right"), np.searchsorted(run_start, z, side="left")
+        i, j = np.searchsorted(run_end, a, side="right"), np.searchsorted(run_start, z, side="left") if z > a else 0
         own = [(max(int(s), a) - a, min(int(e), z) - a) for s, e in zip(run_start[i:j], run_end[i:j], strict=True)]
         spans.append([{"start": s, "end": e} for s, e in own])
         keep = np.flatnonzero(~gone[a:z]) + a
