@@ -169,21 +169,34 @@ _stat("d08_expectancy", "expectancy")
 _stat("d09_trade_sharpe", "trade_sharpe")
 
 
+def _mean(total: str, n: str, digits: int) -> str:
+    """SQL for total / n rounded half away from zero in whole numbers; total in units of 10^-digits."""
+    return f"sign({total}) * floor((2 * abs({total}) + {n})::DOUBLE / (2 * {n})) / {10.0**digits}"
+
+
+def _share(hit: str) -> str:
+    return _mean(f"(1000 * count(*) FILTER ({hit}))", "count(*)", 1)
+
+
+_CENTS = "sum(CAST(round(net_return_pct * 100) AS BIGINT))"
+_TENTHS = "sum(CAST(round(ml_confidence * 10) AS BIGINT))"
+
+
 @query("d10_return_distribution", "SELECT ticker, count(*) FILTER (x < -5) AS big_loss, count(*) FILTER (x >= -5 AND x < 0) AS loss, count(*) FILTER (x >= 0 AND x < 2) AS small_gain, count(*) FILTER (x >= 2 AND x < 5) AS medium_gain, count(*) FILTER (x >= 5) AS big_gain FROM (SELECT ticker, net_return_pct AS x FROM trades) GROUP BY ticker")
 def d10(spark, d):
     return backtest.return_distribution(trades(spark, d))
 
 
-@query("d11_accuracy_by_confidence", """SELECT ticker, bucket, count(*) AS count, round(avg(CAST(prediction_correct AS INTEGER)) * 100, 1) AS accuracy, round(avg(CAST(net_return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate,
-    round(avg(net_return_pct), 2) AS avg_return FROM (SELECT *, CASE WHEN ml_confidence > 70 THEN 'high' WHEN ml_confidence > 60 THEN 'medium' WHEN ml_confidence > 50 THEN 'low' END AS bucket FROM trades) WHERE bucket IS NOT NULL GROUP BY 1, 2""")
+@query("d11_accuracy_by_confidence", f"""SELECT ticker, bucket, count(*) AS count, {_share("prediction_correct")} AS accuracy, {_share("net_return_pct > 0")} AS win_rate,
+    {_mean(_CENTS, "count(*)", 2)} AS avg_return FROM (SELECT *, CASE WHEN ml_confidence > 70 THEN 'high' WHEN ml_confidence > 60 THEN 'medium' WHEN ml_confidence > 50 THEN 'low' END AS bucket FROM trades) WHERE bucket IS NOT NULL GROUP BY 1, 2""")
 def d11(spark, d):
     return backtest.accuracy_by_confidence(trades(spark, d))
 
 
-@query("d12_aggregate", """SELECT (SELECT count(*) FROM instrument) AS total_tickers, count(DISTINCT ticker) AS successful_tickers, count(*) AS total_trades, round(avg(CAST(profitable AS INTEGER)) * 100, 1) AS win_rate,
-    round(avg(net_return_pct), 2) AS avg_return_per_trade, round(sum(net_return_pct), 2) AS total_return, round(avg(CAST(prediction_correct AS INTEGER)) * 100, 1) AS prediction_accuracy,
-    round(avg(ml_confidence), 1) AS avg_confidence, (SELECT ticker FROM tstats ORDER BY round(avg_return_per_trade, 2) DESC, ticker LIMIT 1) AS best_ticker,
-    (SELECT ticker FROM tstats ORDER BY round(avg_return_per_trade, 2), ticker LIMIT 1) AS worst_ticker FROM trades""")
+@query("d12_aggregate", f"""SELECT (SELECT count(*) FROM instrument) AS total_tickers, count(DISTINCT ticker) AS successful_tickers, count(*) AS total_trades, {_share("profitable")} AS win_rate,
+    {_mean(_CENTS, "count(*)", 2)} AS avg_return_per_trade, {_CENTS} / 100.0 AS total_return, {_share("prediction_correct")} AS prediction_accuracy,
+    {_mean(_TENTHS, "count(*)", 1)} AS avg_confidence, (SELECT ticker FROM trades GROUP BY ticker ORDER BY {_mean(_CENTS, "count(*)", 2)} DESC, ticker LIMIT 1) AS best_ticker,
+    (SELECT ticker FROM trades GROUP BY ticker ORDER BY {_mean(_CENTS, "count(*)", 2)}, ticker LIMIT 1) AS worst_ticker FROM trades""")
 def d12(spark, d):
     n = views.instrument(spark, d).agg(F.count("*").alias("total_tickers"))
     return backtest.aggregate_tickers(trades(spark, d), n)
@@ -231,7 +244,7 @@ _equity_metric("d16_max_drawdown", "max_drawdown")
 _equity_metric("d17_calmar", "calmar_ratio")
 
 
-@query("d18_calibration_curve", """SELECT ticker, CAST(bin AS BIGINT) AS bin, round(avg(ml_confidence), 1) AS avg_confidence, round(avg(CAST(prediction_correct AS INTEGER)) * 100, 1) AS actual_win_rate, count(*) AS count FROM (
+@query("d18_calibration_curve", f"""SELECT ticker, CAST(bin AS BIGINT) AS bin, {_mean(_TENTHS, "count(*)", 1)} AS avg_confidence, {_share("prediction_correct")} AS actual_win_rate, count(*) AS count FROM (
     SELECT t.*, greatest(len(list_filter(e, lambda x: x < ml_confidence)) - 1, 0) AS bin, len(e) AS ne FROM trades t JOIN (
       SELECT ticker, list_sort(list_distinct(quantile_cont(ml_confidence, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM trades GROUP BY ticker) USING (ticker)) WHERE ne >= 2 GROUP BY 1, 2""")
 def d18(spark, d):
@@ -241,8 +254,8 @@ def d18(spark, d):
 REG = "CASE WHEN vol_20 > med_vol AND dev_50 > med_dev THEN 'trending' ELSE 'ranging' END"
 
 
-@query("d19_by_regime", f"""SELECT t.ticker, {REG} AS regime, count(*) AS count, round(avg(CAST(net_return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(net_return_pct), 2) AS avg_return,
-    round(avg(CAST(prediction_correct AS INTEGER)) * 100, 1) AS prediction_accuracy FROM trades t JOIN regimes g ON g.ticker = t.ticker AND g.date = t.entry_date GROUP BY 1, 2""")
+@query("d19_by_regime", f"""SELECT t.ticker, {REG} AS regime, count(*) AS count, {_share("net_return_pct > 0")} AS win_rate, {_mean(_CENTS, "count(*)", 2)} AS avg_return,
+    {_share("prediction_correct")} AS prediction_accuracy FROM trades t JOIN regimes g ON g.ticker = t.ticker AND g.date = t.entry_date GROUP BY 1, 2""")
 def d19(spark, d):
     return backtest.by_regime(trades(spark, d), views.bars(spark, d))
 
@@ -266,10 +279,9 @@ def g05(spark, d):
     return keep(trades(spark, d).groupBy("ml_direction").agg(F.count("*").alias("n"), F.sum("net_return_pct").alias("total")), "ml_direction", "n", "total", digits=4)
 
 
-@query("i17_backtest_multi", """SELECT ticker, total_trades, round(win_rate, 1) AS win_rate, round(avg_return_per_trade, 2) AS avg_return_per_trade FROM tstats""")
+@query("i17_backtest_multi", """SELECT ticker, total_trades, round(win_rate, 6) AS win_rate, round(avg_return_per_trade, 6) AS avg_return_per_trade FROM tstats""")
 def i17(spark, d):
-    s = backtest.trade_stats(trades(spark, d))
-    return s.select("ticker", "total_trades", F.round("win_rate", 1).alias("win_rate"), F.round("avg_return_per_trade", 2).alias("avg_return_per_trade"))
+    return keep(backtest.trade_stats(trades(spark, d)), "ticker", "total_trades", "win_rate", "avg_return_per_trade")
 
 
 @query("h27_assessment", """SELECT ticker, CASE WHEN w > 60 THEN '✓ Excellent win rate (>60%) - Strong signal quality' WHEN w > 55 THEN '✓ Good win rate (55-60%) - Signals have edge' WHEN w > 50 THEN '○ Marginal win rate (50-55%) - Slight edge' ELSE '✗ Poor win rate (<50%) - No edge detected' END AS first_remark,

@@ -35,6 +35,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def half_up_mean(total: Column, n: Column, digits: int) -> Column:
+    """total / n for whole ``total`` in units of 10^-digits, rounded half away from zero in
+    whole numbers: the double mean of two-decimal values may fall on either side of a half."""
+    whole = F.floor(F.try_divide((2 * F.abs(total) + n).cast("double"), 2 * n)).cast("double")
+    return F.signum(total.cast("double")) * whole / 10.0**digits
+
+
 def pct(a: Column, b: Column) -> Column:
     """Relative change of a against b in percent."""
     return ratio(a - b, b) * 100.0

@@ -91,6 +91,14 @@ def _blocked(df: DataFrame, block: int) -> DataFrame:
     )
 
 
+def _block_for(span: int, block: int) -> int:
+    """At least ``block`` rows and so many that at most 128 earlier blocks matter.
+
+    A block of a sixth of the span keeps q^-block below e, so it cannot overflow.
+    """
+    return max(block, -(-(span + 1) // 6))
+
+
 def _ema(x: Column, span: int, block: int) -> Column:
     """EMA of ``x`` over rows prepared by ``_blocked``."""
     if span < 2:
@@ -103,8 +111,6 @@ def _ema(x: Column, span: int, block: int) -> Column:
     local = F.sum(weighted * F.pow(F.lit(q), -F.col("_k"))).over(w_block) * F.pow(F.lit(q), F.col("_k"))
     tail = weighted * F.pow(F.lit(q), F.lit(block - 1) - F.col("_k"))
     reach = max(1, math.ceil(math.log(1e-17) / (block * math.log(q))))
-    if reach > 128:
-        raise ValueError("block too small for this span; pass a larger block")
     carry = F.lit(0.0)
     for j in range(1, reach + 1):
         part = F.sum(tail).over(w_range.rangeBetween(-j, -j))
@@ -119,10 +125,13 @@ def add_ema(df: DataFrame, col: str, spans: dict[str, int], block: int = EMA_BLO
     Inside a block a running sum of a*x*q^-k gives the block-local part; what earlier
     blocks leave behind is a few RANGE frames on the block number. Terms that have
     decayed below 1e-17 are not representable in the result and are not generated.
-    q^-block stays far from overflow for every span >= 2, however long the series is.
+    q^-block stays far from overflow for every span >= 2, however long the series is; very
+    long spans get a larger block of their own.
     """
-    out = _blocked(df, block).withColumns({name: _ema(F.col(col), span, block) for name, span in spans.items()})
-    return out.drop("_pos", "_blk", "_k")
+    for size in sorted({_block_for(span, block) for span in spans.values()}):
+        own = {name: span for name, span in spans.items() if _block_for(span, block) == size}
+        df = _blocked(df, size).withColumns({name: _ema(F.col(col), span, size) for name, span in own.items()}).drop("_pos", "_blk", "_k")
+    return df
 
 
 def add_macd(df: DataFrame, col: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, block: int = EMA_BLOCK) -> DataFrame:
@@ -132,6 +141,11 @@ def add_macd(df: DataFrame, col: str = "close", fast: int = 12, slow: int = 26,
     """
     fast_name, slow_name = f"ema_{fast}", f"ema_{slow}"
     x = F.col(col)
+    if len({_block_for(span, block) for span in (fast, slow, signal)}) > 1:
+        out = add_ema(df, col, {fast_name: fast, slow_name: slow}, block).withColumn("macd", F.col(fast_name) - F.col(slow_name))
+        out = add_ema(out, "macd", {"macd_signal": signal}, block)
+        return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    block = _block_for(slow, block)
     out = _blocked(df, block).withColumns({fast_name: _ema(x, fast, block), slow_name: _ema(x, slow, block)})
     out = out.withColumn("macd", F.col(fast_name) - F.col(slow_name))
     out = out.withColumn("macd_signal", _ema(F.col("macd"), signal, block))

@@ -29,7 +29,8 @@ def exact_quantiles(df: DataFrame, probs: list[float], accuracy: int = SKETCH_AC
     number of brackets that start at or below the value; classes are ordered and inside
     a class the bracket values come before the rest, so running counts are exact ranks.
     """
-    df = df.where(F.col("value").isNotNull()).select("key", "value")
+    # NaN is a missing value
+    df = df.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select("key", "value")
     eps = 4.0 / accuracy
     lo = F.percentile_approx("value", [max(0.0, p - eps) for p in probs], accuracy)
     hi = F.percentile_approx("value", [min(1.0, p + eps) for p in probs], accuracy)
@@ -76,7 +77,8 @@ def exact_quantiles(df: DataFrame, probs: list[float], accuracy: int = SKETCH_AC
         pos = F.lit(float(p)) * (F.col("n") - 1)
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
         q = a["v"] + (b["v"] - a["v"]) * (pos - F.floor(pos))
-        quantiles.append(q)
+        found = a.isNotNull() & b.isNotNull()
+        quantiles.append(F.when(found, q).otherwise(F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")))
         below.append(F.when(q <= a["v"], a["s"]).otherwise(b["s"]))
     return got.select("key", "n", F.array(*quantiles).alias("quantiles"), F.array(*below).alias("below"))
 
@@ -98,7 +100,7 @@ def global_rank(df: DataFrame, order: list[str], out: str, buckets: int = 256) -
     tagged = tagged.withColumns(
         {
             "_bucket": F.size(F.filter("_cuts", lambda c: c < first)) * 2 + is_cut.cast("int"),
-            "_sub": F.when(is_cut, second.cast("string")).otherwise(F.lit("")),
+            "_sub": F.when(is_cut, second),  # in its own type and order; null elsewhere
         }
     ).drop("_cuts")
     sizes = tagged.groupBy("_bucket", "_sub").agg(F.count("*").alias("_size"))
@@ -113,7 +115,10 @@ def global_rank(df: DataFrame, order: list[str], out: str, buckets: int = 256) -
     w = Window.partitionBy("_bucket", "_sub").orderBy(*order)
     return (
         tagged.withColumn("_rn", F.row_number().over(w))
-        .join(offsets, ["_bucket", "_sub"])
+        .join(
+            offsets.withColumnsRenamed({"_bucket": "_b", "_sub": "_s"}),
+            (F.col("_bucket") == F.col("_b")) & F.col("_sub").eqNullSafe(F.col("_s")),
+        )
         .withColumn(out, F.col("_rn") + F.col("_off"))
-        .drop("_bucket", "_sub", "_rn", "_off")
+        .drop("_bucket", "_sub", "_b", "_s", "_rn", "_off")
     )

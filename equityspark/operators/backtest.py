@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equityspark.functions.core import pct, ratio, series
+from equityspark.functions.core import half_up_mean, pct, ratio, series
 from equityspark.operators.features import regime_inputs
 from equityspark.sources.readers import numbered, warmup_range
 
@@ -76,6 +76,16 @@ def _r() -> Column:
     return F.col("net_return_pct")
 
 
+def _share(hit: Column) -> Column:
+    """Percentage of hits with one decimal, rounded half up exactly."""
+    return half_up_mean(1000 * F.count_if(hit), F.count("*"), 1)
+
+
+def _cents() -> Column:
+    """Returns have two decimals; their sum is exact in whole hundredths."""
+    return F.sum(F.round(_r() * 100).cast("long"))
+
+
 def trade_stats(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Counts, rates, return statistics, profit factor, expectancy and trade Sharpe per key."""
     r, win = _r(), _r() > 0
@@ -134,9 +144,9 @@ def accuracy_by_confidence(trades: DataFrame) -> DataFrame:
         trades.withColumn("bucket", bucket).where(F.col("bucket").isNotNull()).groupBy("ticker", "bucket")
         .agg(
             F.count("*").alias("count"),
-            F.round(F.avg(F.col("prediction_correct").cast("double")) * 100, 1).alias("accuracy"),
-            F.round(F.avg((_r() > 0).cast("double")) * 100, 1).alias("win_rate"),
-            F.round(F.avg(_r()), 2).alias("avg_return"),
+            _share(F.col("prediction_correct")).alias("accuracy"),
+            _share(_r() > 0).alias("win_rate"),
+            half_up_mean(_cents(), F.count("*"), 2).alias("avg_return"),
         )
     )
 
@@ -235,8 +245,8 @@ def calibration_curve(trades: DataFrame, bins: int = 10) -> DataFrame:
         .withColumn("bin", F.greatest(below - 1, F.lit(0)).cast("long"))
     )
     g = binned.groupBy("ticker", "bin").agg(
-        F.round(F.avg("ml_confidence"), 1).alias("avg_confidence"),
-        F.round(F.avg(F.col("prediction_correct").cast("double")) * 100, 1).alias("actual_win_rate"),
+        half_up_mean(F.sum(F.round(F.col("ml_confidence") * 10).cast("long")), F.count("*"), 1).alias("avg_confidence"),
+        _share(F.col("prediction_correct")).alias("actual_win_rate"),
         F.count("*").alias("count"),
     )
     return g
@@ -247,9 +257,9 @@ def by_regime(trades: DataFrame, bars: DataFrame) -> DataFrame:
     regimes = regime_inputs(bars).select("ticker", F.col("date").alias("entry_date"), "regime")
     return trades.join(regimes, ["ticker", "entry_date"]).groupBy("ticker", "regime").agg(
         F.count("*").alias("count"),
-        F.round(F.avg((_r() > 0).cast("double")) * 100, 1).alias("win_rate"),
-        F.round(F.avg(_r()), 2).alias("avg_return"),
-        F.round(F.avg(F.col("prediction_correct").cast("double")) * 100, 1).alias("prediction_accuracy"),
+        _share(_r() > 0).alias("win_rate"),
+        half_up_mean(_cents(), F.count("*"), 2).alias("avg_return"),
+        _share(F.col("prediction_correct")).alias("prediction_accuracy"),
     )
 
 
@@ -262,20 +272,20 @@ def aggregate_tickers(trades: DataFrame, n_tickers: DataFrame) -> DataFrame:
     per = trades.groupBy("ticker").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("profitable")).alias("wins"),
-        F.sum(_r()).alias("ret"),
+        _cents().alias("ret"),
         F.count_if(F.col("prediction_correct")).alias("hits"),
-        F.sum("ml_confidence").alias("conf"),
-        F.round(F.avg(_r()), 2).alias("avg"),
+        F.sum(F.round(F.col("ml_confidence") * 10).cast("long")).alias("conf"),
+        half_up_mean(_cents(), F.count("*"), 2).alias("avg"),
     )
     c = F.col
     total = per.agg(
         F.count("*").alias("successful_tickers"),
         F.sum("n").alias("total_trades"),
-        F.round(F.sum("wins") / F.sum("n") * 100, 1).alias("win_rate"),
-        F.round(F.sum("ret") / F.sum("n"), 2).alias("avg_return_per_trade"),
-        F.round(F.sum("ret"), 2).alias("total_return"),
-        F.round(F.sum("hits") / F.sum("n") * 100, 1).alias("prediction_accuracy"),
-        F.round(F.sum("conf") / F.sum("n"), 1).alias("avg_confidence"),
+        half_up_mean(1000 * F.sum("wins"), F.sum("n"), 1).alias("win_rate"),
+        half_up_mean(F.sum("ret"), F.sum("n"), 2).alias("avg_return_per_trade"),
+        (F.sum("ret") / 100.0).alias("total_return"),
+        half_up_mean(1000 * F.sum("hits"), F.sum("n"), 1).alias("prediction_accuracy"),
+        half_up_mean(F.sum("conf"), F.sum("n"), 1).alias("avg_confidence"),
         F.min_by("ticker", F.struct(-c("avg"), c("ticker"))).alias("best_ticker"),
         F.min_by("ticker", F.struct(c("avg"), c("ticker"))).alias("worst_ticker"),
     )

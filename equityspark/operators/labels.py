@@ -49,18 +49,21 @@ def tertile_labels(df: DataFrame, value: str, order: list[str], out: str = "tert
     """0/1/2 by the exact one-third and two-third quantiles of the whole column.
 
     When edges collapse (heavy ties) rows are split by rank instead, ties by ``order``.
+    Rows whose value is null or NaN keep a null label either way.
     The quantiles come from a distributed selection, the rank from two-level counting;
     only the four edges (one row) reach the driver, to choose between the two.
     """
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     q = exact_quantiles(df.select(F.lit("v").alias("key"), F.col(value).alias("value")), [0.0, 1 / 3, 2 / 3, 1.0]).first()
     if q is None:
         return df.withColumn(out, F.lit(None).cast("int"))
     edges = q["quantiles"]
     x = F.col(value)
     if len(set(edges)) == 4:
-        return df.withColumn(out, (x > edges[1]).cast("int") + (x > edges[2]).cast("int"))
-    ranked = global_rank(df, [value, *order], "_rank")
+        return df.withColumn(out, F.when(known, (x > edges[1]).cast("int") + (x > edges[2]).cast("int")))
+    ranked = global_rank(df.where(known), [value, *order], "_rank")
     third = q["n"] / 3
-    return ranked.withColumn(
+    labelled = ranked.withColumn(
         out, (F.col("_rank") > third).cast("int") + (F.col("_rank") > 2 * third).cast("int")
     ).drop("_rank")
+    return labelled.unionByName(df.where(F.coalesce(~known, F.lit(True))).withColumn(out, F.lit(None).cast("int")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,16 +55,20 @@ def scratchpad(entries: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return latest_per(entries, keys, F.struct(*order), rest)
 
 
-def session_json(messages: DataFrame, max_messages: int = 1000) -> DataFrame:
-    """Each conversation as JSON documents of up to ``max_messages`` messages.
+def session_json(messages: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Each conversation as JSON lines (conv_id, part, turn, body), at any length.
 
-    A document is one value in one row, so its length must be bounded; turns are unique
-    numbers inside a conversation, and every ``max_messages`` of them start a new page.
+    Part 0 is one line of metadata (number of messages, first and last turn), part 1 one
+    line per scratchpad entry of ``notes`` (conv_id, key, value), part 2 one line per
+    message. Sorted by (part, turn) the lines of a conversation are its session file; no
+    conversation is gathered into one value. Messages repeat their turn if the turn repeats.
     """
-    paged = messages.withColumn("page", F.floor(F.col("turn") / max_messages))
-    msgs = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
-    body = F.to_json(F.struct(F.col("conv_id"), F.col("page"), msgs.alias("messages")))
-    return paged.groupBy("conv_id", "page").agg(body.alias("body"))
+    meta = messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    out = meta.select("conv_id", F.lit(0).alias("part"), F.lit(None).cast("long").alias("turn"), F.to_json(F.struct("conv_id", "messages", "first_turn", "last_turn")).alias("body"))
+    if notes is not None:
+        out = out.unionByName(notes.select("conv_id", F.lit(1).alias("part"), F.lit(None).cast("long").alias("turn"), F.to_json(F.struct("key", "value")).alias("body")))
+    lines = messages.select("conv_id", F.lit(2).alias("part"), F.col("turn").cast("long").alias("turn"), F.to_json(F.struct("turn", "role", "content")).alias("body"))
+    return out.unionByName(lines)
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -92,25 +98,26 @@ def semantic_search(analyses: DataFrame, query: list[float], k: int = 5, ticker:
     return scored.orderBy(F.desc("similarity"), "doc_id").limit(k)
 
 
-def batch_search(analyses: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", max_queries: int = 4096) -> DataFrame:
+def batch_search(analyses: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """Top ``k`` reports for each row of ``queries`` (query_id long, query_vec).
 
-    The query vectors are counted first and refused beyond ``max_queries``; so many
-    vectors are a bounded matrix that every task can hold. Each task multiplies its
+    The queries are taken in blocks of ``block`` vectors, a bounded matrix that every task
+    can hold; any number of blocks is searched, each with one scan. A task multiplies its
     Arrow batches of reports with that matrix and keeps only the running best ``k`` per
     query: no report-query pair ever leaves the task, at most k rows per query do.
     Similarities are rounded to 12 digits so that equal vectors tie and go by doc_id.
     """
-    rows = queries.select("query_id", "query_vec").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries in one batch")
     if metric not in ("cosine", "l2sq"):
         raise ValueError(f"unknown metric {metric!r}")
-    ids = np.array([r["query_id"] for r in rows], dtype="int64")
-    matrix = np.array([r["query_vec"] for r in rows], dtype="float64")
-    if not len(rows):
+    found = None
+    rows = queries.select("query_id", "query_vec").toLocalIterator()
+    while part := list(itertools.islice(rows, block)):
+        ids = np.array([r["query_id"] for r in part], dtype="int64")
+        matrix = np.array([r["query_vec"] for r in part], dtype="float64")
+        best = analyses.select("doc_id", "embedding").mapInPandas(_best_per_query(ids, matrix, k, metric), BEST_SCHEMA)
+        found = best if found is None else found.unionByName(best)
+    if found is None:
         return analyses.sparkSession.createDataFrame([], BEST_SCHEMA).withColumn("rank", F.lit(0))
-    found = analyses.select("doc_id", "embedding").mapInPandas(_best_per_query(ids, matrix, k, metric), BEST_SCHEMA)
     return top_n(found, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k, "rank")
 
 

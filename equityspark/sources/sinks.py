@@ -37,6 +37,7 @@ def replace_tickers(spark: SparkSession, new: DataFrame, path: str, staging: str
     rows go to ``staging`` first because Spark cannot overwrite files it is reading.
     """
     tagged = new.withColumn("ticker_bucket", ticker_bucket(buckets))
+    year = F.year("date") if "date" in new.columns else F.lit(0)
     touched = tagged.select("ticker_bucket").distinct()
     old = spark.read.parquet(path)
     kept = old.join(F.broadcast(touched), "ticker_bucket", "left_semi").join(
@@ -44,7 +45,8 @@ def replace_tickers(spark: SparkSession, new: DataFrame, path: str, staging: str
     )  # ``touched`` has at most ``buckets`` rows
     kept.unionByName(tagged, allowMissingColumns=True).write.mode("overwrite").parquet(staging)
     (
-        spark.read.parquet(staging).repartition("ticker_bucket").write.mode("overwrite")
+        spark.read.parquet(staging).repartition("ticker_bucket", year)
+        .sortWithinPartitions("ticker", *(["date"] if "date" in new.columns else [])).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("ticker_bucket").parquet(path)
     )
 
@@ -89,22 +91,25 @@ def append_analyses(df: DataFrame, path: str) -> None:
 
 
 def delete_by_id(spark: SparkSession, path: str, staging: str, ids: DataFrame, key: str = "doc_id") -> None:
-    """Remove reports by id; only the date folders that hold one of them are rewritten."""
+    """Remove reports by id; only the date folders that hold one of them are rewritten.
+
+    Folders left without a report are deleted one by one, as they are found; their names
+    are streamed to the driver, so there is no limit on their number.
+    """
     stored = spark.read.parquet(path)
     days = stored.join(ids.select(key), key, "left_semi").select("date").distinct()
     kept = stored.join(days, "date", "left_semi").join(ids.select(key), key, "left_anti")
     emptied = days.join(kept.select("date").distinct(), "date", "left_anti")
     kept.write.mode("overwrite").parquet(staging)
-    gone = [r["date"] for r in emptied.limit(10_000).collect()]  # whole days without any report left
+    emptied.write.mode("overwrite").parquet(f"{staging}-emptied")  # decided before the store changes
     spark.read.schema(kept.schema).parquet(staging).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("date").parquet(path)
-    if gone:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for day in gone:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"date={day}"), True)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in spark.read.schema("date date").parquet(f"{staging}-emptied").toLocalIterator():
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"date={row['date']}"), True)
 
 
 def restore_analyses(spark: SparkSession, backup: str, path: str, schema) -> None:

@@ -1,6 +1,7 @@
 """Screens, scores, text rules, ensembles and backtest metrics on hand-made rows."""
 
 import datetime
+import json
 import math
 
 import pytest
@@ -199,16 +200,19 @@ def test_memory_searches(spark):
     for metric in ("cosine", "l2sq"):
         got = {(r["query_id"], r["rank"]): r["doc_id"] for r in memory.batch_search(a, q, 2, metric).collect()}
         assert got == {(1, 1): 8, (1, 2): 7, (2, 1): 1, (2, 2): 2}
-    with pytest.raises(ValueError):
-        memory.batch_search(a, q, 2, max_queries=1)
+    one_by_one = {(r["query_id"], r["rank"]): r["doc_id"] for r in memory.batch_search(a, q, 2, block=1).collect()}
+    assert one_by_one == {(1, 1): 8, (1, 2): 7, (2, 1): 1, (2, 2): 2}
     assert [r["doc_id"] for r in memory.past_analyses(a, 1).orderBy("ticker").collect()] == [7, 8]
 
 
-def test_session_pages_hold_everything(spark):
-    m = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(7)], "conv_id long, turn long, role string, content string")
-    pages = memory.session_json(m, 3)
-    assert pages.count() == 3
-    assert sum(r["body"].count('"content"') for r in pages.collect()) == 7
+def test_session_lines_hold_everything(spark):
+    """One session at any length: metadata, scratchpad and 1,500 messages in order."""
+    m = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(1500)], "conv_id long, turn long, role string, content string").repartition(4)
+    notes = spark.createDataFrame([(1, "plan", "buy")], "conv_id long, key string, value string")
+    lines = [r["body"] for r in memory.session_json(m, notes).orderBy("part", "turn").collect()]
+    assert json.loads(lines[0]) == {"conv_id": 1, "messages": 1500, "first_turn": 0, "last_turn": 1499}
+    assert json.loads(lines[1]) == {"key": "plan", "value": "buy"}
+    assert [json.loads(x)["content"] for x in lines[2:]] == [f"m{t}" for t in range(1500)]
 
 
 def test_progress_and_conflicts(spark):
