@@ -28,11 +28,11 @@ def c06(spark, d):
     return annotate.snap_to_trading_day(e, views.bench(spark, d)).select("global_id", "date", "chart_date")
 
 
-@query("c07_news_around", """SELECT ticker, date, article_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY gap, article_id) AS k
+@query("c07_news_around", """SELECT ticker, date, article_id, CAST(k AS INTEGER) AS rank, n_articles FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY gap, article_id) AS k, count(*) OVER (PARTITION BY ticker, date) AS n_articles
     FROM (SELECT b.ticker, b.date, n.article_id, abs(epoch(n.published) - epoch(CAST(b.date AS TIMESTAMP))) AS gap FROM bars b JOIN news n
       ON n.ticker = b.ticker AND abs(epoch(n.published) - epoch(CAST(b.date AS TIMESTAMP))) <= 3 * 86400)) WHERE k <= 5""")
 def c07(spark, d):
-    return annotate.news_around(views.bars(spark, d), views.news(spark, d)).select("ticker", "date", "article_id", "rank")
+    return annotate.news_around(views.bars(spark, d), views.news(spark, d)).select("ticker", "date", "article_id", "rank", "n_articles")
 
 
 @query("c11_news_on_day", "SELECT n.article_id, n.ticker, b.date, round(b.change_pct, 6) AS change_pct FROM news n JOIN day_change b ON b.ticker = n.ticker AND b.date = CAST(n.published AS DATE)")

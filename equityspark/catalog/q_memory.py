@@ -65,11 +65,6 @@ def g04(spark, d):
     return memory.scratchpad(e, ["ticker"], ["ts", "event_id"]).select("ticker", "recommendation", "source", "ts")
 
 
-@query("a14_session_json")
-def a14(spark, d):
-    return memory.session_json(views.messages(spark, d))
-
-
 def _newest(spark, d):
     return views.analyses(spark, d).orderBy(F.desc("ts"), F.desc("doc_id")).select("embedding").first()["embedding"]
 

@@ -192,11 +192,14 @@ def h34_posts(spark, d):
     || CASE WHEN n > 0 THEN printf('There were %d news articles around this time. ', n) ELSE 'No major news events were detected around this date. ' END
     || CASE WHEN abs(dc) > 3 OR abs(vv) > 50 THEN 'This was a significant trading day.' ELSE '' END AS summary
   FROM (SELECT b.ticker, b.date, (close - open) / open * 100 AS dc, (volume - avg(volume) OVER (PARTITION BY b.ticker)) / avg(volume) OVER (PARTITION BY b.ticker) * 100 AS vv,
-      coalesce(n, 0) AS n FROM bars b LEFT JOIN (SELECT ticker, CAST(published AS DATE) AS date, count(*) AS n FROM news GROUP BY 1, 2) x ON x.ticker = b.ticker AND x.date = b.date)""")
+      coalesce(n, 0) AS n FROM bars b LEFT JOIN (SELECT b.ticker, b.date, count(*) AS n FROM bars b JOIN news n ON n.ticker = b.ticker AND abs(epoch(n.published) - epoch(CAST(b.date AS TIMESTAMP))) <= 3 * 86400 GROUP BY 1, 2) x ON x.ticker = b.ticker AND x.date = b.date)""")
 def h26(spark, d):
     from equityspark.plans import snapshot
 
-    n = views.news(spark, d).groupBy("ticker", F.to_date("published").alias("date")).agg(F.count("*").alias("n"))
+    from equityspark.operators import annotate
+
+    near = annotate.news_around(views.bars(spark, d), views.news(spark, d), n=1)
+    n = near.select("ticker", "date", F.col("n_articles").alias("n"))
     m = snapshot.day_metrics(views.bars(spark, d)).join(n, ["ticker", "date"], "left").fillna({"n": 0})
     return m.select("ticker", "date", text.date_narrative(
         F.col("ticker"), F.col("date"), F.col("day_change_pct"), F.round("volume_vs_avg", 6), F.col("n"), F.col("significant")).alias("summary"))

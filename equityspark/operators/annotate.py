@@ -50,11 +50,15 @@ def news_around(days: DataFrame, news: DataFrame, window_days: int = 3, n: int =
     """
     at = F.col("published")
     spread = F.sequence(F.date_sub(F.to_date(at), window_days), F.date_add(F.to_date(at), window_days))
-    near = news.select("ticker", "article_id", "title", "published", F.explode(spread).alias("date"))
+    near = news.select("ticker", "article_id", "published", F.explode(spread).alias("date"))  # titles stay behind
     gap = F.abs(F.unix_timestamp("published") - F.unix_timestamp(F.col("date").cast("timestamp")))
     near = near.withColumn("gap_seconds", gap).where(F.col("gap_seconds") <= window_days * 86400)
     keys = days.select("ticker", "date").distinct()
-    return top_n(near.join(keys, ["ticker", "date"], "left_semi"), ["ticker", "date"], [F.asc("gap_seconds"), F.asc("article_id")], n, "rank")
+    inside = near.join(keys, ["ticker", "date"], "left_semi")
+    total = inside.groupBy("ticker", "date").agg(F.count("*").alias("n_articles"))
+    top = top_n(inside, ["ticker", "date"], [F.asc("gap_seconds"), F.asc("article_id")], n, "rank")
+    titles = news.select("ticker", "article_id", "title")
+    return top.join(total, ["ticker", "date"]).join(titles, ["ticker", "article_id"])
 
 
 def news_on_trading_days(news: DataFrame, bars: DataFrame) -> DataFrame:
