@@ -79,7 +79,8 @@ def truthy(x: Column) -> Column:
 
 
 def latest_per(df: DataFrame, keys: list[str], order: str | Column, cols: list[str]) -> DataFrame:
-    """Latest row per key by ``max_by``: partial aggregation, no sort of whole groups."""
+    """Latest row per key by ``max_by``: combined on the map side, so a hot key ships one row
+    per task. The plan is a sort aggregate, because the buffered row is not of fixed width."""
     row = F.struct(*[F.col(c) for c in cols])
     return (
         df.groupBy(*keys)

@@ -17,9 +17,9 @@ RETRAIN_AT = 0.2
 
 
 def to_long(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature columns to (key, value) rows; nulls are dropped."""
+    """Feature columns to (key, value) rows; missing values (null or NaN) are dropped."""
     cols = [F.col(f).cast("double").alias(f) for f in features]
-    return df.select(*cols).unpivot([], features, "key", "value").where(F.col("value").isNotNull())
+    return df.select(*cols).unpivot([], features, "key", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def profile(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ SEARCH: dict[str, dict[str, tuple[float, float]]] = {
 # Columns ------------------------------------------------------------------------
 def missing_share(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, missing): share of nulls, all features in one scan."""
-    one = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features])
+    one = df.agg(*[F.avg((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double")).alias(c) for c in features])
     return one.unpivot([], features, "feature", "missing")
 
 
@@ -222,7 +223,9 @@ def best_model(scores: DataFrame) -> DataFrame:
 
 # Models -------------------------------------------------------------------------
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
+    """Feature vector of every row; a missing (null or NaN) feature is 0, so no row is lost."""
+    filled = df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features})
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(filled)
 
 
 def _params(family: str, params: dict | None) -> dict:
@@ -280,6 +283,14 @@ def walk_forward_validation(df: DataFrame, features: list[str], family: str = "b
     return out
 
 
+# What the search falls back to when most trials fail.
+TUNER_FALLBACK = {
+    "boosted": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1},
+    "random_forest": {"numTrees": 100, "maxDepth": 6},
+    "boosted_wide": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1},
+}
+
+
 def tune(
     df: DataFrame, features: list[str], family: str = "boosted", n_trials: int = 50, n_splits: int = 5, seed: int = 42,
     bounds: dict[str, tuple[float, float]] | None = None,
@@ -300,13 +311,14 @@ def tune(
         try:
             folds = walk_forward_validation(df, features, family, n_splits, params)
             value, state = float(folds.agg(F.avg("accuracy")).first()[0]), "COMPLETE"
-        except Exception:  # noqa: BLE001 - a failed trial is a result
-            value, state = None, "FAIL"
-        rows.append((number, json.dumps(params, sort_keys=True), value, state))
-    trials = df.sparkSession.createDataFrame(rows, "trial_number int, params string, value double, state string")
+            error = None
+        except Exception as exc:  # noqa: BLE001 - a failed trial is a result, with its message
+            value, state, error = None, "FAIL", f"{type(exc).__name__}: {exc}"[:500]
+        rows.append((number, json.dumps(params, sort_keys=True), value, state, error))
+    trials = df.sparkSession.createDataFrame(rows, "trial_number int, params string, value double, state string, error string")
     done = [r for r in rows if r[2] is not None]
     if len(done) * 2 < len(rows) or not done:
-        return dict(DEFAULTS[family]), trials
+        return dict(TUNER_FALLBACK[family]), trials
     return json.loads(max(done, key=lambda r: r[2])[1]), trials
 
 
@@ -341,7 +353,10 @@ def train_and_save(
     try:
         baseline = spark.read.json(f"{out_dir}/metadata").select("model", "accuracy")
         baseline = cut_lineage(baseline)
-    except Exception:  # noqa: BLE001 - first run has no metadata
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # the first run has no metadata
         baseline = spark.createDataFrame([], "model string, accuracy double")
     verdicts = cut_lineage(regression_gate(scores.select("model", "accuracy"), baseline))
     passed = [r["model"] for r in verdicts.where("passed").collect()]

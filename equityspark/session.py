@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     is an error, because machine-local files do not survive the loss of an executor.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
+    current, configured = sc.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)
+    in_one_process = re.fullmatch(r"local(\[.*\])?", sc.master) is not None
+    if current and (configured or in_one_process):
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not in_one_process:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         import tempfile
 

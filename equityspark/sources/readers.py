@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +26,20 @@ BAR_SCHEMA = T.StructType(
 )
 
 
-def scan_prices(df: DataFrame, tickers: list[str] | None = None) -> DataFrame:
-    """Rows of the given tickers; the predicate reaches the parquet scan. Sort on write, not here."""
-    return df.where(F.col("ticker").isin(tickers)) if tickers else df
+def scan_prices(df: DataFrame, tickers: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """Rows of the given tickers.
+
+    On a table stored by ``write_by_ticker`` (with the same ``buckets``) the folders of other
+    buckets are not read and the ticker predicate reaches the files, which are sorted by ticker.
+    On a computed ticker column the predicate is evaluated per row.
+    """
+    if not tickers:
+        return df
+    rows = df.where(F.col("ticker").isin(tickers))
+    if "ticker_bucket" in df.columns:
+        own = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in tickers]
+        rows = rows.where(reduce(lambda a, b: a | b, [F.col("ticker_bucket") == b for b in own]))
+    return rows
 
 
 def bucket_start(ts: Column, interval: str) -> Column:

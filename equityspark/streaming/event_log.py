@@ -135,37 +135,69 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 ho
     )
 
 
-def conflict_stream(recommendations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Conflicts as they arise on a stream of (ticker, source, recommendation, ts).
-
-    State is the newest recommendation per (ticker, source). Each micro-batch is first
-    reduced to that shape with map-side combining, so a hot ticker is a handful of rows
-    before anything is keyed by ticker; then the touched tickers' state is merged in.
-    A ticker whose picture changed and now disagrees is written to ``path/conflicts``.
-    State changes and conflicts of a batch go to their own folders and are overwritten
-    when the batch is retried; a batch only reads the state of earlier batches.
+STATE_BUCKETS = 64
+
+
+def conflict_stream(recommendations: DataFrame, path: str, checkpoint: str, compact_every: int = 16) -> StreamingQuery:
+    """Conflicts as they arise on a stream of (ticker, source, recommendation, ts, event_id).
+
+    State is the newest recommendation per (ticker, source), by (ts, event_id). Each
+    micro-batch is first reduced to that shape with map-side combining, so a hot ticker is
+    a handful of rows before anything is keyed by ticker; then the touched tickers' state is
+    merged in. A ticker whose picture changed and now disagrees is written to
+    ``path/conflicts``. State changes and conflicts of a batch go to their own folders and
+    are overwritten when the batch is retried; a batch only reads the state of earlier ones.
+
+    Every ``compact_every`` batches the state is rewritten as a snapshot in bucket folders;
+    later batches read the touched buckets of the newest snapshot and at most that many
+    change folders, and what an older snapshot covers is deleted.
     """
-    keys, order = ["ticker", "source"], ["ts"]
+    keys, order = ["ticker", "source"], ["ts", "event_id"]
+    cols = [*keys, "recommendation", *order]
+    bucket = F.pmod(F.xxhash64("ticker"), F.lit(STATE_BUCKETS)).cast("int")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = upsert(None, batch.select(*keys, "recommendation", "ts"), keys, order)
-        try:
-            stored = spark.read.parquet(f"{path}/state").where(F.col("batch") < batch_id).drop("batch")
-        except AnalysisException:  # first batch
-            stored = fresh.where(F.lit(False))
+        fresh = upsert(None, batch.select(*cols), keys, order)
+        base = (batch_id - 1) // compact_every * compact_every if batch_id else 0  # state before ``base`` is in its snapshot
+        stored = _folders(spark, f"{path}/state", range(base, batch_id), fresh.schema)
+        if base:
+            touched = fresh.select(bucket.alias("bucket")).distinct()  # at most STATE_BUCKETS rows
+            snapshot = spark.read.parquet(f"{path}/snapshot/upto={base}").join(F.broadcast(touched), "bucket", "left_semi")
+            stored = stored.unionByName(snapshot.select(*cols))
         known = upsert(None, stored.join(fresh.select("ticker").distinct(), "ticker", "left_semi"), keys, order)
-        old = known.select(*keys, F.col("recommendation").alias("_old"), F.col("ts").alias("_seen"))
-        moved = fresh.join(old, keys, "left").where(F.col("_seen").isNull() | (F.col("ts") > F.col("_seen")))
+        old = known.select(*keys, F.col("recommendation").alias("_old"), F.struct(*order).alias("_seen"))
+        moved = fresh.join(old, keys, "left").where(F.col("_seen").isNull() | (F.struct(*order) > F.col("_seen")))
         changed = moved.where(~F.col("recommendation").eqNullSafe(F.col("_old"))).select("ticker").distinct()
         merged = upsert(known, fresh, keys, order)
         found = conflicts(merged.join(changed, "ticker", "left_semi"), order)
         found.write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
-        moved.select(*keys, "recommendation", "ts").write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        moved.select(*cols).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            upto = batch_id + 1
+            parts = _folders(spark, f"{path}/state", range(base, upto), fresh.schema)
+            if base:
+                parts = parts.unionByName(spark.read.parquet(f"{path}/snapshot/upto={base}").select(*cols))
+            whole = upsert(None, parts, keys, order).withColumn("bucket", bucket)
+            whole.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/snapshot/upto={upto}")
+            # a retry of this batch still needs ``base``; what lies before it is covered
+            _delete(spark, [f"{path}/snapshot/upto={base - compact_every}", *[f"{path}/state/batch={i}" for i in range(base - compact_every, base)]])
 
     return each_batch(recommendations, handle, checkpoint)
 
 
+def _folders(spark: SparkSession, root: str, batches: range, schema) -> DataFrame:
+    paths = [f"{root}/batch={i}" for i in batches]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
     """Keyed snapshots from a stream: each micro-batch is reduced to its latest row per key
     and written to its own folder, so a retried batch overwrites itself. ``read_snapshots``

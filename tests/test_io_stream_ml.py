@@ -54,6 +54,16 @@ def test_replace_upsert_and_universe_files(spark, tmp_path, make_bars):
     assert back["tickers"] == ["A", "B", "C"] and back["sectors"]["Tech"] == ["A", "B"]
 
 
+def test_stored_prices_are_pruned_by_bucket(spark, tmp_path, make_bars):
+    path = str(tmp_path / "prices")
+    bars = make_bars({f"T{i}": [1.0, 2.0] for i in range(20)})
+    sinks.write_by_ticker(bars, path, 8)
+    got = readers.scan_prices(spark.read.parquet(path), ["T3", "T7"], 8)
+    assert got.groupBy("ticker").count().count() == 2 and got.count() == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ticker_bucket" in plan[plan.index("PartitionFilters"):].split("]")[0] and "In(ticker" in plan
+
+
 def test_report_store(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = [(i, "A", datetime.date(2024, 1, 1 + i % 2), f"s{i}") for i in range(4)]
@@ -83,18 +93,22 @@ def test_preparation_job(spark, tmp_path, make_bars):
 def test_conflict_stream_emits_once_per_change(spark, tmp_path):
     t = datetime.datetime
     rows = [
-        [("X", "s1", "buy", t(2024, 1, 1, 1)), ("Y", "s1", "buy", t(2024, 1, 1, 1))],
-        [("X", "s2", "buy", t(2024, 1, 1, 2)), ("X", "s1", "buy", t(2024, 1, 1, 3))],
-        [("X", "s2", "sell", t(2024, 1, 1, 4)), ("X", "s2", "sell", t(2024, 1, 1, 5))],
+        [("X", "s1", "buy", t(2024, 1, 1, 1), 1), ("Y", "s1", "buy", t(2024, 1, 1, 1), 2)],
+        [("X", "s2", "buy", t(2024, 1, 1, 2), 3), ("X", "s1", "buy", t(2024, 1, 1, 3), 4)],
+        # two at one instant: the larger event id wins, in either file order
+        [("X", "s2", "sell", t(2024, 1, 1, 5), 7), ("X", "s2", "buy", t(2024, 1, 1, 5), 6)],
+        [("Y", "s1", "buy", t(2024, 1, 1, 6), 8)],
+        [("X", "s1", "buy", t(2024, 1, 1, 7), 9), ("X", "s2", "buy", t(2024, 1, 1, 4), 5)],
     ]
-    schema = "ticker string, source string, recommendation string, ts timestamp"
+    schema = "ticker string, source string, recommendation string, ts timestamp, event_id long"
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = event_log.conflict_stream(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = event_log.conflict_stream(s, str(tmp_path / "out"), str(tmp_path / "cp"), compact_every=2)
     assert q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out" / "conflicts")).collect()
     assert [(r["ticker"], r["recommendations"]) for r in got] == [("X", {"s1": "buy", "s2": "sell"})]
+    assert sorted(p.name for p in (tmp_path / "out" / "state").iterdir()) == ["batch=2", "batch=3", "batch=4"]
 
 
 def test_log_stream_windows_and_dead_letters(spark, tmp_path):
@@ -161,7 +175,7 @@ def test_search_records_failures(train_frame):
     best, trials = ml.tune(train_frame, F3, "random_forest", 2, 2, bounds={"numTrees": (2, 4), "maxDepth": (2, 3)})
     assert 2 <= best["numTrees"] <= 4 and trials.where("state = 'COMPLETE'").count() == 2
     best, trials = ml.tune(train_frame, F3, "random_forest", 1, 2, bounds={"maxDepth": (99, 99)})
-    assert best == ml.DEFAULTS["random_forest"] and trials.first()["state"] == "FAIL"
+    assert best == ml.TUNER_FALLBACK["random_forest"] and trials.first()["state"] == "FAIL"
 
 
 @pytest.mark.parametrize("method", ["isotonic", "platt"])

@@ -156,3 +156,34 @@ def test_feature_invariants(make_bars, ps):
         assert r["bb_width"] is None or r["bb_width"] >= 0
         assert 0 <= r["day_of_week"] <= 6 and 1 <= r["month"] <= 12 and 1 <= r["days_to_earnings"] <= 63
         assert not any(isinstance(v, float) and math.isnan(v) for v in r)
+
+
+def test_ema_of_a_very_long_span(spark, make_bars):
+    from equityspark.functions import indicators as ind
+
+    values = [100 + (i * 7919 % 97) for i in range(3000)]
+    got = ind.add_ema(make_bars({"A": values}), "close", {"long": 4000, "short": 3}).orderBy("date").collect()
+    for span, name in ((4000, "long"), (3, "short")):
+        e, a = None, 2 / (span + 1)
+        for v, r in zip(values, got, strict=True):
+            e = v if e is None else e + a * (v - e)
+            assert abs(r[name] - e) < 1e-7
+
+
+def test_tertiles_keep_rows_without_a_value(spark):
+    from equityspark.operators import labels
+
+    rows = [(i, 1.0 if i % 3 else None) for i in range(20)] + [(100 + i, float("nan")) for i in range(3)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(3)
+    got = {r["k"]: r["tertile"] for r in labels.tertile_labels(df, "v", ["k"]).collect()}
+    known = [k for k, v in rows if v == 1.0]
+    assert len(got) == 23 and all(got[k] is None for k, v in rows if v != 1.0)
+    # ties go by the number, not by its text: 2 before 10
+    assert [got[k] for k in known] == sorted(got[k] for k in known) and set(got[k] for k in known) == {0, 1, 2}
+
+
+def test_quantiles_leave_nan_out(spark):
+    from equityspark.functions.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", float("nan"))], "key string, value double")
+    assert exact_quantiles(df, [0.0, 0.5, 1.0]).first()["quantiles"] == [1.0, 2.0, 3.0]
