@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from equityspark.functions import indicators as ind
 from equityspark.operators import features, labels, quality
+from equityspark.session import materialize
 from equityspark.sources import readers, sinks
 
 
@@ -28,7 +29,9 @@ def assemble(
     if sentiment is not None:
         out = out.join(sentiment, ["ticker", "date"], "left")
     out = readers.date_range(out, start, end)
-    out = quality.drop_outliers(quality.valid_bars(out), z_limit)
+    # three later passes read this frame: the z statistics, the rows and the benchmark's rows
+    out = materialize(quality.valid_bars(out), "training")
+    out = quality.drop_outliers(out, z_limit)
     out = features.add_lags(out)
     out = features.add_volatility(out)
     out = features.add_relative_strength(out, benchmark)

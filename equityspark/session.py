@@ -57,6 +57,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialize(df: DataFrame, prefix: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and continue from the files:
+    later passes read only the columns they need."""
+    path = scratch_folder(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
     """Name of a new folder under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
