@@ -71,6 +71,14 @@ def c05(spark, d):
     return keep(features.asof_align(views.bars(spark, d), peer, "close", "peer_close"), "ticker", "date", "peer_close")
 
 
+@query("c05_asof_peers", """SELECT b.ticker, b.date, q.peer, p.close AS close FROM bars b CROSS JOIN (SELECT unnest(['S0000', 'S0002', 'S0004']) AS peer) q
+    ASOF LEFT JOIN bars p ON p.ticker = q.peer AND b.date >= p.date WHERE q.peer IN (SELECT ticker FROM bars)""")
+def c05_peers(spark, d):
+    b = views.bars(spark, d)
+    peers = b.where(F.col("ticker").isin("S0000", "S0002", "S0004")).select(F.col("ticker").alias("peer"), "date", "close")
+    return keep(features.asof_align_peers(b, peers, "close"), "ticker", "date", "peer", "close")
+
+
 @query("e23_peer_percent", """SELECT b.ticker, b.date, round((p.close - f.fc) / f.fc * 100, 6) AS peer_percent FROM bars b ASOF LEFT JOIN (SELECT date, close FROM bench) p ON b.date >= p.date
     LEFT JOIN (SELECT ticker, arg_min(pc, date) AS fc FROM (SELECT b.ticker, b.date, p.close AS pc FROM bars b ASOF JOIN (SELECT date, close FROM bench) p ON b.date >= p.date) GROUP BY 1) f ON f.ticker = b.ticker""")
 def e23_peer(spark, d):

@@ -10,6 +10,7 @@ from equityspark.catalog.util import keep, r, rounded
 from equityspark.functions import indicators as ind
 from equityspark.functions.core import ratio, series
 from equityspark.operators import backtest, drift, ensemble
+from equityspark.session import materialize
 from equityspark.sources import readers, views
 
 START, END = "1997-01-01", "2000-12-31"
@@ -76,6 +77,13 @@ def i14(spark, d):
     return keep(ensemble.dynamic_weighting(views.predictions(spark, d), w), *ENS_COLS)
 
 
+@query("i14_model_weights", """SELECT ticker, date, model, round(coalesce(weight, 1.0) / sum(coalesce(weight, 1.0)) OVER (PARTITION BY ticker, date), 6) AS weight
+    FROM predictions LEFT JOIN model_weights USING (model) WHERE direction IS NOT NULL""")
+def i14_weights(spark, d):
+    w = ensemble.rolling_weights(accuracy(spark, d))
+    return keep(ensemble.normalised_weights(views.predictions(spark, d), w), "ticker", "date", "model", "weight")
+
+
 @query("i15_failed_models", f"""SELECT {ENS_OUT}, n AS n_models, CASE WHEN n = 0 THEN 'All models failed' END AS error FROM (SELECT *, CASE WHEN ea > 0.5 THEN 'bullish' WHEN ea < -0.5 THEN 'bearish' ELSE 'neutral' END AS direction,
     coalesce(ca, 0) AS c, coalesce(ea, 0) AS e FROM (SELECT ticker, date, count(direction) AS n, avg(confidence) FILTER (direction IS NOT NULL) AS ca, avg(expected_return) FILTER (direction IS NOT NULL) AS ea
       FROM (SELECT * REPLACE (CASE WHEN confidence > 55 THEN direction END AS direction) FROM predictions) GROUP BY 1, 2))""")
@@ -308,6 +316,7 @@ def drift_features(spark, d):
     close = F.col("close")
     b = views.bars(spark, d).withColumns({"rsi_14": ind.rsi(close), "s20": ind.sma(close, 20), "lag_return_1d": ind.lag_return(close, 1)})
     b = b.withColumns({"sma_ratio": ratio(close, F.col("s20")), "weekday": F.weekday("date").cast("double")})
+    b = materialize(b.select("date", *FEATURES), "drift")  # read by every pass of the quantile selection
     split = F.col("date") < F.lit(CUT).cast("date")
     return drift.to_long(b.where(split), FEATURES), drift.to_long(b.where(~split), FEATURES)
 

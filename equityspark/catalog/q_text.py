@@ -167,6 +167,17 @@ def f10(spark, d):
     return top.select("ticker", "category", "article_id", "rn")
 
 
+V2_LIMITS = {**{c: 5 for c in text.CATEGORIES_V2}, text.DEFAULT_V2: 8}
+
+
+@query("f10_first_per_category_v2", f"""SELECT ticker, category, article_id, k AS rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ticker, category ORDER BY published DESC, article_id) AS INTEGER) AS k
+    FROM (SELECT *, {_cat_sql(text.CATEGORIES_V2, text.DEFAULT_V2)} AS category FROM news)) WHERE k <= CASE category {' '.join(f"WHEN '{c}' THEN {n}" for c, n in V2_LIMITS.items())} END""")
+def f10_v2(spark, d):
+    category = text.news_category(F.col("title"), text.CATEGORIES_V2, text.DEFAULT_V2)
+    top = text.first_per_category(views.news(spark, d), category, [F.desc("published"), F.asc("article_id")], V2_LIMITS)
+    return top.select("ticker", "category", "article_id", "rn")
+
+
 @query("h32_default_sentiment", """SELECT i.ticker, coalesce(n, 0) AS news_count, CASE WHEN n IS NULL THEN 'neutral' ELSE 'known' END AS direction, CASE WHEN n IS NULL THEN 50.0 ELSE 60.0 END::DOUBLE AS score
     FROM instrument i LEFT JOIN (SELECT ticker, count(*) AS n FROM news WHERE contains(lower(title), 'eauaux') GROUP BY 1) x USING (ticker)""")
 def h32(spark, d):

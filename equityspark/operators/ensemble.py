@@ -7,7 +7,7 @@ one hash aggregation over a handful of models per group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equityspark.functions import rules
@@ -134,6 +134,17 @@ def rolling_weights(accuracy: DataFrame, n: int = 30) -> DataFrame:
     return recent.groupBy("model").agg(F.avg("accuracy").alias("weight"))
 
 
+def normalised_weights(predictions: DataFrame, weights: DataFrame) -> DataFrame:
+    """(ticker, date, model, weight): the shares that dynamic weighting gives the models that answered;
+    unknown models weigh 1, all-zero weights are equal."""
+    known = predictions.where(F.col("direction").isNotNull()).select("ticker", "date", "model")
+    w = Window.partitionBy("ticker", "date")  # as many rows as models
+    raw = known.join(F.broadcast(weights), "model", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))  # one row per model
+    total = F.sum("w").over(w)
+    share = F.when(total == 0, F.try_divide(F.lit(1.0), F.count("*").over(w))).otherwise(F.try_divide(F.col("w"), total))
+    return raw.select("ticker", "date", "model", share.alias("weight"))
+
+
 def dynamic_weighting(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """Means weighted by recent accuracy; unknown models weigh 1, all-zero weights are equal."""
     c = F.col

@@ -110,6 +110,23 @@ def asof_align(main: DataFrame, peer: DataFrame, peer_value: str, out: str) -> D
     return main.join(F.broadcast(calendar), "date")
 
 
+def asof_align_peers(main: DataFrame, peers: DataFrame, value: str) -> DataFrame:
+    """Long form of several peers: (ticker, date, peer, value at or before the date), null before a peer's start.
+
+    ``peers`` has (peer, date, value). The calendar of all dates is completed per peer, so a
+    window holds one row per calendar date.
+    """
+    marks = peers.select("peer", F.to_date("date").alias("date"), F.col(value).alias("_v"))
+    days = main.select(F.to_date("date").alias("date")).distinct()
+    grid = days.join(F.broadcast(marks.select("peer").distinct()))  # one row per calendar date and named peer
+    w = Window.partitionBy("peer").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = (
+        grid.withColumn("_v", F.lit(None).cast("double")).unionByName(marks).groupBy("peer", "date").agg(F.max("_v").alias("_v"))
+        .select("peer", "date", F.last("_v", ignorenulls=True).over(w).alias(value))
+    )
+    return main.select("ticker", "date").join(filled, "date")
+
+
 def fill_sentiment(df: DataFrame) -> DataFrame:
     have = {k: v for k, v in SENTIMENT_DEFAULTS.items() if k in df.columns}
     return df.fillna(have) if have else df
