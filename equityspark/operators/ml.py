@@ -29,6 +29,7 @@ from equityspark.session import cut_lineage
 
 LABEL, TARGET = "direction_5d", "forward_5d_return"
 GATE_FLOOR = 0.526
+GRID = 10_000  # steps of the probability grid for calibration
 
 # Default settings per model family (two boosted-tree families).
 DEFAULTS: dict[str, dict] = {
@@ -379,19 +380,19 @@ class Calibrator:
         self.model: Model | None = None
 
     def fit(self, scored: DataFrame, probability: str = "p_up", label: str = LABEL) -> Calibrator:
-        """Equal probabilities are merged to one weighted point first, so tree ensembles,
-        which give few distinct values, hand little to the solver."""
+        """Probabilities are merged on a grid of ``GRID`` steps to weighted points first, so the
+        solver, which ends on one node, gets at most ``GRID`` + 1 of them per class."""
         counts = class_balance(scored, label).first()
         if counts["negatives"] + counts["positives"] < 100 or not counts["negatives"] or not counts["positives"]:
             self.model = None
             return self
         y = F.col(label).cast("double")
         if self.method == "isotonic":
-            points = scored.groupBy(F.col(probability).alias("x")).agg(F.avg(y).alias("y"), F.count("*").cast("double").alias("w"))
+            points = scored.groupBy(F.round(F.col(probability) * GRID).alias("_g")).agg(F.avg(probability).alias("x"), F.avg(y).alias("y"), F.count("*").cast("double").alias("w"))
             iso = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="_cal")
             self.model = iso.fit(points)
         else:
-            points = scored.groupBy(F.col(probability).alias("x"), y.alias("y")).agg(F.count("*").cast("double").alias("w"))
+            points = scored.groupBy(F.round(F.col(probability) * GRID).alias("_g"), y.alias("y")).agg(F.avg(probability).alias("x"), F.count("*").cast("double").alias("w"))
             lr = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", regParam=0.0, maxIter=1000)
             self.model = lr.fit(VectorAssembler(inputCols=["x"], outputCol="_x").transform(points))
         return self
