@@ -262,7 +262,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     Repeated rows are encoded alike; other columns are kept, a column named like ``ids`` is replaced.
     """
     shared = share(docs.sparkSession, path, pattern)
-    df = docs.drop(ids).withColumnsRenamed({text: "text"}) if text != "text" else docs.drop(ids)
+    df = common.passable(docs.drop(ids).withColumnsRenamed({text: "text"}) if text != "text" else docs.drop(ids))
     rest = df.columns
 
     def run(batches):
@@ -279,7 +279,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "data") -> DataFrame:
     """Replace column ``ids`` by the bytes it stands for (column ``data``, binary); null ids give empty bytes."""
     shared = share(coded.sparkSession, path, pattern)
-    df = coded.drop(data)
+    df = common.passable(coded.drop(data))
     rest = [c for c in df.columns if c != ids]
 
     def run(batches):
@@ -297,7 +297,7 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", data: st
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``ids`` and ``data`` (the decoded ids) in one pass over the texts."""
     shared = share(docs.sparkSession, path, pattern)
-    df = docs.drop("ids", "data")
+    df = common.passable(docs.drop("ids", "data"))
 
     def run(batches):
         c = coder(shared)

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equityspark.session import checkpoint_dir
 
@@ -48,6 +49,21 @@ def written(df: DataFrame, prefix: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _open(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _open(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_open(t.elementType))
+    if isinstance(t, T.MapType):
+        return T.MapType(_open(t.keyType), _open(t.valueType))
+    return t
+
+
+def passable(df: DataFrame) -> DataFrame:
+    """The same columns with nested fields nullable, as the results of Python tasks are declared."""
+    return df.select(*[F.col(f"`{f.name}`").cast(_open(f.dataType)).alias(f.name) for f in df.schema.fields])
+
+
 def parts_for(df: DataFrame, part_bytes: int = 32 << 20) -> int:
     """Partition count: the session's setting, or more when the planner's size estimate asks for more."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -142,7 +142,7 @@ def pack(parts: DataFrame, size: int = 2048, order: tuple[str, ...] = ("doc_id",
     interchangeable. Other columns are kept; columns named like the added ones are replaced.
     """
     spark = parts.sparkSession
-    parts = parts.drop("sequence_id", "offset", "_bucket", "_rank")
+    parts = common.passable(parts.drop("sequence_id", "offset", "_bucket", "_rank"))
     histogram = {r[0]: r[1] for r in parts.groupBy(F.col(length).cast("long")).count().collect()}
     plan = slots(patterns(histogram, size))
     buckets = common.parts_for(parts, 8 << 20)

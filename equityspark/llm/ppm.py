@@ -133,7 +133,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", max_nodes: int = MAX_NODES) -
     """
     spark = docs.sparkSession
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    df = docs.drop(*added, "_chunk")
+    df = common.passable(docs.drop(*added, "_chunk"))
     rest = df.columns
     parts = common.parts_for(df)
     df = df.withColumns({"held_out": _flag(id_col), "_chunk": F.pmod(F.xxhash64(id_col, "text"), F.lit(parts)).cast("int")})

@@ -110,7 +110,7 @@ def scan(docs: DataFrame, reach: int = 400) -> DataFrame:
     no spans; repeated rows are scanned alike. The column ``text`` is scanned and dropped,
     other columns are kept; a column named ``spans`` is replaced.
     """
-    df = docs.drop("spans")
+    df = common.passable(docs.drop("spans"))
     keep = [c for c in df.columns if c != "text"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -91,7 +91,7 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id") -> DataFr
     never the earlier one. Rows that repeat an id are one document for the comparison. Ids
     are integers; other columns are kept, columns named like the added ones are replaced.
     """
-    df = docs.drop("n_words", "spans", "kept", "_id", "_chunk")
+    df = common.passable(docs.drop("n_words", "spans", "kept", "_id", "_chunk"))
     parts = common.parts_for(df)
     rest = df.columns
     df = df.withColumns({"_id": F.col(id_col).cast("long"), "_chunk": F.pmod(F.xxhash64(id_col, "text"), F.lit(parts)).cast("int")})

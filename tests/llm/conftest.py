@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 SYL = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
 
@@ -33,7 +34,7 @@ def corpus():
 def docs(spark, corpus):
     """The corpus with extra columns whose names clash with the operators' own."""
     wide = [(i, t, 1, "x", 2.0, [1], "y") for i, t in corpus]
-    return spark.createDataFrame(wide, "doc_id long, text string, n_words int, kept string, score double, spans array<int>, ids string").repartition(3)
+    return spark.createDataFrame(wide, "doc_id long, text string, n_words int, kept string, score double, spans array<int>, ids string").repartition(3).withColumn("fixed", F.struct(F.lit(1).alias("a"), F.array(F.lit(2)).alias("b")))
 
 
 @pytest.fixture(scope="session")
