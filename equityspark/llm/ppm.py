@@ -8,10 +8,11 @@ symbols that the longer one already ruled out (symbol exclusion). The last resor
 share of the bytes that are left. The sum of the logarithms is the text's code length.
 
 Counts are gathered from every training text: chunks of documents send their distinct words
-and grams once each. Word counts go back to the chunks that asked (vocabularies grow with
-the corpus and are never broadcast). Grams are the model; if the corpus has more than
-``max_nodes`` of them, those with the smallest counts are left out of the trie (a bound of
-the model, not of the counting), so what is sent to the tasks has a proven size.
+and grams once each, and get back what they asked for: the counts of their words and the
+costs of their grams. A gram's cost depends on the gram alone, so it is worked out once, in
+the shard of the two bytes before its last one: a shard holds the contexts of two and more
+bytes whole. Shorter contexts come from the counts of byte pairs, 65,536 at most, the only
+part of the model that every task gets. No gram is left out.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from equityspark.llm import common
 
 ORDER = 4
-MAX_NODES = 2_000_000
+MAX_NODES = 2_000_000  # grams costed at a time
+PAIRS = 1 << 16
 _U = np.uint64
 GATHER = "part int, chunk int, kind int, keys binary, counts binary"
+SHARD = "part int, keys binary, counts binary"
 TOTALS = "kind int, chunk int, keys binary, counts binary, distinct long, total long"
 
 
@@ -44,14 +47,19 @@ def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Counts of all contexts of 0 to ``ORDER`` bytes as sorted arrays, and the cost of any gram."""
+    """Counts of all contexts of 0 to ``ORDER`` bytes as sorted arrays, and the cost of any gram.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    ``keys`` are all learned grams of a shard, ``pairs`` the corpus's counts of byte pairs.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
         self.sym, self.ctx = [], []
+        two = np.flatnonzero(pairs).astype(np.uint64)
         for j in range(ORDER + 1):
             mask = _U((1 << (8 * (j + 1))) - 1)
-            k, inv = np.unique(keys & mask, return_inverse=True)
-            n = np.bincount(inv, counts, len(k)) if len(k) else np.zeros(0)
+            own, times = (keys, counts) if j > 1 else (two, pairs[two.astype(np.int64)])
+            k, inv = np.unique(own & mask, return_inverse=True)
+            n = np.bincount(inv, times, len(k)) if len(k) else np.zeros(0)
             c, at = np.unique(k >> _U(8), return_index=True)
             total = np.add.reduceat(n, at) if len(k) else n
             self.sym.append((k, n))
@@ -147,9 +155,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", max_nodes: int = MAX_NODES) -
             held = np.asarray(b.column("held_out"))
             train_word = ~np.repeat(held, np.diff(ptr))
             words.append(_sums(h, train_word.astype(np.int64)))
-            g = grams(buf, off)[~np.repeat(held, np.diff(off))]
-            k, n = np.unique(g, return_counts=True)
+            g, asked = grams(buf, off), np.repeat(held, np.diff(off))
+            k, n = np.unique(g[~asked], return_counts=True)
             learned.append((k, n.astype(np.int64)))
+            k = np.unique(g[asked])
+            learned.append((k, np.zeros(len(k), np.int64)))
             rows += int((~held).sum())
         chunk = key[0].as_py()
         out = []
@@ -192,22 +202,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", max_nodes: int = MAX_NODES) -
                 if hit.any():
                     yield line(0, chunk, want[hit], n[at[hit]], 0, 0)
 
-    known = common.written(groups.applyInArrow(gather, GATHER).repartition(parts, "part").mapInArrow(total, TOTALS), "counts")
+    asks = common.written(groups.applyInArrow(gather, GATHER), "asks")
+    known = common.written(asks.repartition(parts, "part").mapInArrow(total, TOTALS), "counts")
     head = known.where("kind IN (2, 3)").groupBy("kind").agg(F.sum("distinct").alias("d"), F.sum("total").alias("t")).collect()
     by = {r["kind"]: r for r in head}
     ends = by[2]["t"] if 2 in by else 0
     all_tokens = ends + (by[3]["t"] if 3 in by else 0)
     distinct = (1 if ends else 0) + (by[3]["d"] if 3 in by else 0)
-    model = spark.sparkContext.broadcast(_model(known.where("kind = 1").select("keys", "counts"), max_nodes))
+    costs = _costs(known.where("kind = 1").select("keys", "counts"), parts, max_nodes)
     floor = float(all_tokens) + 0.1 * (distinct + 1)
 
     def judge(key, table, reply):
         if table.num_rows == 0:
             return schema.empty_table()
-        keys, counts = common.unpack(reply, ("keys", "counts"), (np.uint64, np.int64))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        trie = Trie(*model.value)
+        kinds = np.asarray(reply.column("kind"))
+        (keys, counts), (known_grams, cost) = (
+            _ordered(*common.unpack(reply.filter(pa.array(kinds == kind)), ("keys", "counts"), (np.uint64, value))) for kind, value in ((0, np.int64), (1, np.float64)))
         done = []
         for b in common.blocks(table.to_batches(), 2 << 20):
             buf, off, h, ptr = _read(b)
@@ -220,7 +230,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", max_nodes: int = MAX_NODES) -
             add = lambda v, border: np.diff(np.concatenate([[0.0], np.cumsum(v)])[border])
             base = np.array([np.log10((c[a:z] + 0.1) / floor).sum() for a, z in zip(ptr[:-1], ptr[1:], strict=True)]) + np.log10((ends + 0.1) / floor)
             u, inv = np.unique(grams(buf, off), return_inverse=True)
-            own = trie.cost(u)[inv] if len(u) else np.zeros(0)
+            own = cost[np.searchsorted(known_grams, u)][inv] if len(u) else np.zeros(0)
             value = np.array([own[a:z].sum() for a, z in zip(off[:-1], off[1:], strict=True)])
             tokens = np.diff(ptr) + 1
             seen = add((c > 0).astype(float), ptr).round().astype(np.int64) + (1 if ends else 0)
@@ -233,31 +243,75 @@ def score(docs: DataFrame, id_col: str = "doc_id", max_nodes: int = MAX_NODES) -
     more = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     schema = pa.schema([*to_arrow_schema(df.select(*rest).schema), *more])
     ddl = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes if c in rest], "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    replies = known.where("kind = 0").select("chunk", "keys", "counts")
+    replies = known.where("kind = 0").select("kind", "chunk", "keys", "counts").unionByName(_answers(asks.where("kind = 1"), costs, parts))
     return groups.cogroup(replies.groupBy("chunk")).applyInArrow(judge, ddl)
 
 
-def _model(blobs: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and counts of the trie, at most ``max_nodes``: the smallest counts are left out together."""
+def _ordered(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _dealt(part: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(part, kind="stable")
+    part, keys, values = part[order], keys[order], values[order]
+    ids, at = np.unique(part, return_index=True)
+    edges = [*at, len(keys)]
+    cut = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), cut(keys), cut(values)], names=["part", "keys", "counts"])
+
+
+def _costs(blobs: DataFrame, parts: int, at_a_time: int) -> DataFrame:
+    """log10 probability of every gram that a text holds, packed by the part of the gram.
 
-    def levels(batches):
+    Grams are dealt by the two bytes before the last one. ``at_a_time`` bounds memory only.
+    """
+
+    def pairs_of(batches):
         for b in batches:
-            _, n = common.unpack(b, ("keys", "counts"), (np.uint64, np.int64))
-            value, many = np.unique(np.minimum(n, 1 << 20), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(many.astype(np.int64))], names=["n", "many"])
-
-    steps = {r["n"]: r["m"] for r in blobs.mapInArrow(levels, "n long, many long").groupBy("n").agg(F.sum("many").alias("m")).collect()}
-    least, kept = max(steps, default=1) + 1, 0
-    for n in sorted(steps, reverse=True):
-        if kept + steps[n] > max_nodes:
-            break
-        least, kept = n, kept + steps[n]
-
-    def chosen(batches):
+            k, n = common.unpack(b, ("keys", "counts"), (np.uint64, np.int64))
+            pair, n = _sums(k & _U(PAIRS - 1), n)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n)], names=["pair", "n"])
+
+    pairs = np.zeros(PAIRS)
+    for r in blobs.mapInArrow(pairs_of, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
+    sent = blobs.sparkSession.sparkContext.broadcast(pairs)
+
+    def deal(batches):
         for b in batches:
             k, n = common.unpack(b, ("keys", "counts"), (np.uint64, np.int64))
-            ok = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(k[ok].view(np.int64)), pa.array(n[ok])], names=["k", "n"])
+            yield _dealt((common._mix((k >> _U(8)) & _U(PAIRS - 1)) % _U(parts)).astype(np.int64), k, n)
 
-    got = blobs.mapInArrow(chosen, "k long, n long").toArrow()
-    return np.asarray(got["k"]).view(np.uint64), np.asarray(got["n"]).astype(float)
+    def cost(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        k, n = common.unpack(pa.Table.from_batches(got), ("keys", "counts"), (np.uint64, np.int64))
+        del got
+        trie = Trie(k[n > 0], n[n > 0].astype(float), sent.value)
+        for a in range(0, len(k), at_a_time):
+            some = k[a: a + at_a_time]
+            yield _dealt((some % _U(parts)).astype(np.int64), some, trie.cost(some))
+
+    return blobs.mapInArrow(deal, SHARD).repartition(parts, "part").mapInArrow(cost, SHARD)
+
+
+def _answers(asks: DataFrame, costs: DataFrame, parts: int) -> DataFrame:
+    """The cost of each gram to each chunk that asked for it, as rows of kind 1."""
+
+    def answer(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        del got
+        asked = np.asarray(rows.column("chunk")) >= 0
+        k, c = _ordered(*common.unpack(rows.filter(pa.array(~asked)), ("keys", "counts"), (np.uint64, np.float64)))
+        own = rows.filter(pa.array(asked))
+        for chunk, blob in zip(own.column("chunk").to_pylist(), own.column("keys").to_pylist(), strict=True):
+            want = np.frombuffer(blob, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([chunk], pa.int32()), pa.array([blob], pa.binary()), pa.array([c[np.searchsorted(k, want)].tobytes()], pa.binary())], names=["kind", "chunk", "keys", "counts"])
+
+    lines = asks.select("part", "chunk", "keys", F.lit(None).cast("binary").alias("counts")).unionByName(costs.select("part", F.lit(-1).alias("chunk"), "keys", "counts"))
+    return lines.repartition(parts, "part").mapInArrow(answer, "kind int, chunk int, keys binary, counts binary")

@@ -255,6 +255,12 @@ def test_ppm_empty_table_and_bounded_trie(no_docs, docs):
     assert small == ppm.score(docs).where("score < 0").count()
 
 
+def test_ppm_leaves_no_gram_out(docs):
+    """Scores do not depend on how many grams are held at a time."""
+    few, all_ = ([(r.doc_id or 0, r.text or "", round(r.score, 6)) for r in ppm.score(docs, max_nodes=n).collect()] for n in (50, ppm.MAX_NODES))
+    assert sorted(few) == sorted(all_)
+
+
 def test_word_hashes_follow_words():
     import pyarrow as pa
 
