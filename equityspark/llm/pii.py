@@ -7,7 +7,9 @@ entity of the corpus gets one keyed replacement of its type: digits stay digits
 mention's own layout, a card number that passes its check digit still does, a name keeps
 title, gender and script, letters keep their case. Replacements are drawn again, with a
 counter, until they are distinct among themselves and from every entity of the corpus, so
-different people stay different and one person stays one.
+different people stay different and one person stays one. What is still open after
+``SAME_FORMAT`` draws gets one more digit, letter, syllable or octet with each further draw,
+so that the values always outgrow the entities.
 
 Only documents with a mention take part in the joins; the others pass through. Texts are
 keyed by a digest and each text's mentions are looked up once, so a text that a third of
@@ -16,6 +18,8 @@ all rows repeat is looked up once.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ SYLLABLES = {
     "cyrillic": "ба бе би бо ва ве ви во га го да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре".split(),
     "greek": "βα βε βι βο γα γο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε".split(),
 }
+SAME_FORMAT = 12
 ENDINGS = {"latin": ("n", "a"), "cyrillic": ("н", "на"), "greek": ("ς", "α")}
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
@@ -91,17 +96,22 @@ def _double(d: Column) -> Column:
     return F.when(d > 4, d * 2 - 9).otherwise(d * 2)
 
 
-def _card(norm: Column, h: Column) -> Column:
+def _card(norm: Column, h: Column, wider: int = 0) -> Column:
     body, own = F.substr(norm, F.lit(1), F.length(norm) - 1), F.substr(norm, F.length(norm), F.lit(1))
-    drawn = _digits(norm, h, 1)
-    fixed = F.substr(drawn, F.lit(1), F.length(norm) - 1)
+    drawn = _digits(_longer(norm, wider), h, 1)
+    fixed = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
     return F.when(_luhn(body) == own, F.concat(fixed, _luhn(fixed))).otherwise(drawn)
 
 
+def _longer(norm: Column, wider: int) -> Column:
+    return F.concat(norm, F.lit("0" * wider)) if wider else norm
+
+
 def _letters(norm: Column, h: Column) -> Column:
-    """Letters to letters and digits to digits, place by place; other characters stay."""
+    """Letters to letters and digits to digits, place by place; other characters stay, or become letters if there is nothing else."""
+    bare = ~norm.rlike("[A-Za-z0-9]")
     draw = F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: (
-        F.when(F.substr(norm, i, F.lit(1)).rlike("[a-z]"), F.substr(F.lit(common.LOWER), F.pmod(_nibbles(h, i), F.lit(26)) + 1, F.lit(1)))
+        F.when(bare | F.substr(norm, i, F.lit(1)).rlike("[a-z]"), F.substr(F.lit(common.LOWER), F.pmod(_nibbles(h, i), F.lit(26)) + 1, F.lit(1)))
         .when(F.substr(norm, i, F.lit(1)).rlike("[A-Z]"), F.substr(F.lit(common.UPPER), F.pmod(_nibbles(h, i), F.lit(26)) + 1, F.lit(1)))
         .when(F.substr(norm, i, F.lit(1)).rlike("[0-9]"), F.pmod(_nibbles(h, i), F.lit(10)).cast("string"))
         .otherwise(F.substr(norm, i, F.lit(1)))))
@@ -120,7 +130,7 @@ def _ipv4(h: Column) -> Column:
     return F.concat_ws(".", part(1, 223, 1), part(5, 256, 0), part(9, 256, 0), part(13, 254, 1))
 
 
-def _name(norm: Column, h: Column) -> Column:
+def _name(norm: Column, h: Column, wider: int = 0) -> Column:
     """Gender, then as many drawn names of the same script as the entity has."""
     gender, names = F.substr(norm, F.lit(1), F.lit(1)), F.split(F.substr(norm, F.lit(3), F.length(norm)), " ")
     script = F.when(norm.rlike(r":.*\p{IsCyrillic}"), F.lit("cyrillic")).when(norm.rlike(r":.*\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
@@ -128,7 +138,7 @@ def _name(norm: Column, h: Column) -> Column:
     def drawn(s: str) -> Column:
         bank = F.array(*[F.lit(x) for x in SYLLABLES[s]])
         end = F.when(gender == "f", F.lit(ENDINGS[s][1])).otherwise(F.lit(ENDINGS[s][0]))
-        one = lambda w, i: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get(bank, F.pmod(_nibbles(h, i * 5 + k), F.lit(32)))), ""), end)
+        one = lambda w, i: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 + wider)), lambda k: F.get(bank, F.pmod(_nibbles(h, i * 5 + k), F.lit(32)))), ""), end)
         return F.array_join(F.transform(names, one), " ")
 
     value = F.when(script == "cyrillic", drawn("cyrillic")).when(script == "greek", drawn("greek")).otherwise(drawn("latin"))
@@ -137,21 +147,29 @@ def _name(norm: Column, h: Column) -> Column:
 
 def _draw(kind: Column, norm: Column, key: str, round_: int) -> Column:
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, F.lit(round_)), 256)
+    wider = max(0, round_ + 1 - SAME_FORMAT)
+    mail, ip = _email(norm, h), _ipv4(h)
+    if wider:
+        more = F.sequence(F.lit(1), F.lit(wider))
+        mail = F.concat(_letters(F.lit("a" * wider), F.sha2(h, 256)), mail)
+        ip = F.concat_ws(".", ip, F.array_join(F.transform(more, lambda i: F.pmod(_nibbles(F.sha2(h, 256), i), F.lit(256)).cast("string")), "."))
+    long_ = _longer(norm, wider)
     return (
-        F.when(kind == "email", _email(norm, h)).when(kind == "ipv4", _ipv4(h)).when(kind == "name", _name(norm, h))
-        .when(kind == "card", _card(norm, h)).when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _letters(F.substr(norm, F.lit(3), F.length(norm)), h)))
-        .when(kind == "phone", _digits(norm, h, 1)).otherwise(_digits(norm, h, 0)))
+        F.when(kind == "email", mail).when(kind == "ipv4", ip).when(kind == "name", _name(norm, h, wider))
+        .when(kind == "card", _card(norm, h, wider)).when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _letters(F.substr(long_, F.lit(3), F.length(long_)), h)))
+        .when(kind == "phone", _digits(long_, h, 1)).otherwise(_digits(long_, h, 0)))
 
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
+def surrogates(entities: DataFrame, key: str, rounds: int | None = None) -> DataFrame:
     """One distinct replacement for each (kind, norm); none equals an entity of the corpus.
 
     Of several entities that draw the same replacement the first by ``norm`` keeps it, the
-    others draw again; an error is raised if some are left after ``rounds``.
+    others draw again, in a wider format after ``SAME_FORMAT`` draws, until none is left. With
+    ``rounds`` an error is raised instead if some are left after that many.
     """
     known = common.written(entities.select("kind", "norm").distinct(), "entities")
     open_, done = known, None
-    for r in range(rounds):
+    for r in count() if rounds is None else range(rounds):
         tried = open_.withColumn("surrogate", _draw(F.col("kind"), F.col("norm"), key, r))
         free = tried.join(known.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -165,13 +183,14 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
 
 
 def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """The replacement in the mention's layout and letter case."""
+    """The replacement in the mention's layout and letter case; what a wider one has more comes last."""
     chars = F.split(mention, "")
     place = F.aggregate(
         chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda a, c: F.when(c.rlike("[0-9]") | ((kind == "iban") & c.rlike("[A-Z]")),
                             F.struct(F.concat(a["out"], F.substr(surrogate, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")))
-        .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))))["out"]
+        .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))))
+    place = F.concat(place["out"], F.substr(surrogate, place["at"], F.length(surrogate)))
     mail = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(surrogate)
     names = F.initcap(F.substr(surrogate, F.lit(3), F.length(surrogate)))
     title = F.regexp_extract(mention, r"^\S+ ", 0)

@@ -250,6 +250,21 @@ def test_pii_distinct_after_collisions(spark, monkeypatch):
         pii.surrogates(df, "k", rounds=1)
 
 
+def test_pii_full_spaces_are_widened(spark, monkeypatch):
+    """More entities than values of their format, and addresses of punctuation only."""
+    monkeypatch.setattr(pii, "SAME_FORMAT", 2)
+    monkeypatch.setattr(pii, "_ipv4", lambda h: F.concat(F.lit("9.9.9."), F.pmod(pii._nibbles(h, F.lit(1)), F.lit(20)).cast("string")))
+    rows = [("ipv4", f"9.9.9.{i}") for i in range(20)] + [("phone", f"1{i:02d}") for i in range(100)] + [("email", f"{c}@{d}.com") for c in "-_%" for d in ("-", "--")]
+    rows += [("name", "m:smith"), ("card", "4539148803436467")]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
+    assert Counter((r.kind, r.norm) for r in got) == Counter(rows)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows) and not {(r.kind, r.surrogate) for r in got} & set(rows)
+    out = pii.replace(spark.createDataFrame([(1, "a -----@-----.com b")], "doc_id long, text string"), "k").collect()[0]
+    assert out.n_pii == 1 and re.fullmatch(r"a [a-z]{5}@[a-z]{5}\.com b", out.text)
+    one = spark.range(1).select(pii._render(F.lit("phone"), F.lit("+1 23 45"), F.lit("1987654")).alias("x")).collect()[0].x
+    assert one == "+1 98 7654"
+
+
 # ---- pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
