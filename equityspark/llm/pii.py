@@ -5,7 +5,8 @@ security numbers, IPv4 addresses and titled names. Mentions are reduced to entit
 same number in another layout, an address in other letter case are one entity). Every
 entity of the corpus gets one keyed replacement of its type: digits stay digits in the
 mention's own layout, a card number that passes its check digit still does, a name keeps
-title, gender and script, letters keep their case. Replacements are drawn again, with a
+title, gender and script, letters keep their case. Each part of a name is an entity (with
+the gender of the title), so that a full mention and a short one agree. Replacements are drawn again, with a
 counter, until they are distinct among themselves and from every entity of the corpus, so
 different people stay different and one person stays one. What is still open after
 ``SAME_FORMAT`` draws gets one more digit, letter, syllable or octet with each further draw,
@@ -28,13 +29,14 @@ from equityspark.llm import common
 # Titles by gender, and syllables for invented names by script.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "г-жа", "κυρία"]
+NEUTRAL = ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Mx", "д-р", "проф", "δρ"]
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro".split(),
     "cyrillic": "ба бе би бо ва ве ви во га го да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре".split(),
     "greek": "βα βε βι βο γα γο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε".split(),
 }
 SAME_FORMAT = 12
-ENDINGS = {"latin": ("n", "a"), "cyrillic": ("н", "на"), "greek": ("ς", "α")}
+ENDINGS = {"latin": ("n", "a", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ς", "α", "ν")}  # male, female, neither
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)"
@@ -42,10 +44,14 @@ IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])(?!\.\d)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-NAME = r"(?<!\p{L})(?:" + "|".join([*MALE, *FEMALE]) + r")\.? \p{Lu}\p{L}{1,40}(?: \p{Lu}\p{L}{1,40})?"
+TITLE = "(?:" + "|".join([*MALE, *FEMALE, *NEUTRAL]) + r")\.? "
+TAIL = r"(?:['’](?![sS](?!\p{L}))|-)\p{L}[\p{L}\p{M}]*+"  # an apostrophe or hyphen inside a name, no possessive
+WORD = r"(?:[dDlL]['’])?\p{Lu}(?:[\p{L}\p{M}]++(?:" + TAIL + ")*+|(?:" + TAIL + ")++)"
+UNIT = r"(?:(?:\p{Lu}\.)++ )*+" + WORD  # a part with the initials before it
+NAME = r"(?<!\p{L})" + TITLE + "(?:" + TITLE + "){0,4}(?:" + UNIT + r"|(?:\p{Lu}\.)*+\p{Lu}(?!\p{L}))(?: " + UNIT + ")*+"
 KINDS = {"email": EMAIL, "iban": IBAN, "ssn": SSN, "ipv4": IPV4, "phone": PHONE, "card": CARD, "name": NAME}
 PATTERN = "|".join(KINDS.values())
-HINT = r"[@\d]|(?:" + "|".join([*MALE, *FEMALE]) + r")\.? \p{Lu}"  # a text without this has no mention
+HINT = r"[@\d]|" + TITLE + r"(?:[dDlL]['’])?\p{Lu}"  # a text without this has no mention
 
 
 def _kind(m: Column) -> Column:
@@ -61,14 +67,21 @@ def _plain(p: str) -> str:
     return p[p.index(")", p.index("(?<!")) + 1:] if p.startswith("(?<!") else p
 
 
-def _norm(kind: Column, m: Column) -> Column:
-    """What makes two mentions one entity."""
-    gender = F.when(m.rlike("^(?:" + "|".join(FEMALE) + r")\b"), F.lit("f")).otherwise(F.lit("m"))
-    name = F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(m, r"^\S+ ", "")))
+def _title(m: Column) -> Column:
+    return F.regexp_extract(m, "^" + TITLE + "(?:" + TITLE + r"){0,4}(?=(?:[dDlL]['’])?\p{Lu})", 0)
+
+
+def _norms(kind: Column, m: Column) -> Column:
+    """What makes two mentions one entity; a name has one for each of its parts."""
+    title = _title(m)
+    of = lambda titles: title.rlike(r"(?:^| )(?:" + "|".join(titles) + r")\.? ")
+    gender = F.when(of(FEMALE), F.lit("f:")).when(of(MALE), F.lit("m:")).otherwise(F.lit("n:"))
+    bare = F.lower(F.translate(F.substr(m, F.length(title) + 1, F.length(m)), "’", "'"))
     digits = F.regexp_replace(m, r"\D", "")
     return (
-        F.when(kind == "email", F.lower(m)).when(kind == "ipv4", m).when(kind == "name", name)
-        .when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(digits))
+        F.when(kind == "email", F.array(F.lower(m))).when(kind == "ipv4", F.array(m))
+        .when(kind == "name", F.transform(F.split(bare, "[ -]", -1), lambda part: F.concat(gender, part)))
+        .when(kind == "iban", F.array(F.regexp_replace(m, " ", ""))).otherwise(F.array(digits)))
 
 
 def _nibbles(h: Column, i: Column) -> Column:
@@ -137,7 +150,7 @@ def _name(norm: Column, h: Column, wider: int = 0) -> Column:
 
     def drawn(s: str) -> Column:
         bank = F.array(*[F.lit(x) for x in SYLLABLES[s]])
-        end = F.when(gender == "f", F.lit(ENDINGS[s][1])).otherwise(F.lit(ENDINGS[s][0]))
+        end = F.when(gender == "f", F.lit(ENDINGS[s][1])).when(gender == "m", F.lit(ENDINGS[s][0])).otherwise(F.lit(ENDINGS[s][2]))
         one = lambda w, i: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 + wider)), lambda k: F.get(bank, F.pmod(_nibbles(h, i * 5 + k), F.lit(32)))), ""), end)
         return F.array_join(F.transform(names, one), " ")
 
@@ -182,7 +195,7 @@ def surrogates(entities: DataFrame, key: str, rounds: int | None = None) -> Data
     raise RuntimeError("no distinct replacement left for some entities")
 
 
-def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
+def _render(kind: Column, mention: Column, surrogate: Column, parts: Column | None = None) -> Column:
     """The replacement in the mention's layout and letter case; what a wider one has more comes last."""
     chars = F.split(mention, "")
     place = F.aggregate(
@@ -192,10 +205,13 @@ def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
         .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))))
     place = F.concat(place["out"], F.substr(surrogate, place["at"], F.length(surrogate)))
     mail = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(surrogate)
-    names = F.initcap(F.substr(surrogate, F.lit(3), F.length(surrogate)))
-    title = F.regexp_extract(mention, r"^\S+ ", 0)
+    title = _title(mention)
     rest = F.substr(mention, F.length(title) + 1, F.length(mention))
-    name = F.concat(title, F.when(rest == F.upper(rest), F.upper(names)).otherwise(names))
+    loud = (rest == F.upper(rest)) & rest.rlike(r"\p{L}{2}")
+    one = lambda x: F.substr(x, F.lit(3), F.length(x))
+    names = F.transform(F.array(surrogate) if parts is None else parts, lambda x: F.when(loud, F.upper(one(x))).otherwise(F.initcap(one(x))))
+    between = F.regexp_extract_all(rest, F.lit("[ -]"), F.lit(0))
+    name = F.concat(title, F.array_join(F.zip_with(names, between, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
     return F.when(kind == "email", mail).when(kind == "ipv4", surrogate).when(kind == "name", name).otherwise(place)
 
 
@@ -213,9 +229,11 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     some = marked.where(hit).withColumn("_digest", F.sha2(F.col(text), 256))
     lines = some.select("_digest", F.posexplode("_mentions").alias("pos", "mention")).groupBy("_digest", "pos").agg(F.first("mention").alias("mention"))
     lines = lines.withColumn("kind", _kind(F.col("mention")))
-    lines = common.written(lines.withColumn("norm", _norm(F.col("kind"), F.col("mention"))), "mentions")
+    lines = common.written(lines.select("_digest", "pos", "mention", "kind", F.posexplode(_norms(F.col("kind"), F.col("mention"))).alias("part", "norm")), "mentions")
     drawn = surrogates(lines, key)
-    known = lines.join(drawn, ["kind", "norm"]).withColumn("new", _render(F.col("kind"), F.col("mention"), F.col("surrogate")))
+    known = lines.join(drawn, ["kind", "norm"]).groupBy("_digest", "pos").agg(
+        F.first("kind").alias("kind"), F.first("mention").alias("mention"), F.array_sort(F.collect_list(F.struct("part", "surrogate")))["surrogate"].alias("parts"))
+    known = known.withColumn("new", _render(F.col("kind"), F.col("mention"), F.col("parts")[0], F.col("parts")))
     per_text = known.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"))
     parts = F.split(F.col(text), PATTERN, -1)
     fresh = F.array_join(F.zip_with(parts, F.col("_new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

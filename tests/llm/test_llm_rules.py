@@ -265,6 +265,28 @@ def test_pii_full_spaces_are_widened(spark, monkeypatch):
     assert one == "+1 98 7654"
 
 
+def test_pii_whole_names(spark):
+    """All parts of a name are replaced, short and full mentions agree, and the text around stays."""
+    texts = [
+        "Mr John Paul Smith and Mr Smith. The end", "Mrs Anna Smith-Jones; Mrs Jones", "Mr. O'Brien's car, Mr O’Brien", "Prof. Dr. Anna Lee met Dr Lee",
+        "Mr J. R. Smith", "MR x Mr SMITH I", "Mr " + " ".join(["Aa"] * 20_000) + " end", "Herr D'Arcy-Élan z", "Mr X said", "Dr no",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.replace(df, "k").collect()}
+    w = r"[A-Z][a-z]+"
+    john, paul, smith, again = re.fullmatch(f"Mr ({w}) ({w}) ({w}) and Mr ({w})\\. The end", got[0][0]).groups()
+    assert smith == again and len({john, paul, smith, "John", "Paul", "Smith"}) == 6
+    _, jones, short = re.fullmatch(f"Mrs {w} ({w})-({w}); Mrs ({w})", got[1][0]).groups()
+    assert jones == short != "Jones"
+    a, b = re.fullmatch(f"Mr\\. ({w})'s car, Mr ({w})", got[2][0]).groups()
+    assert a == b and "Brien" not in a
+    anna, lee, other = re.fullmatch(f"Prof\\. Dr\\. ({w}) ({w}) met Dr ({w})", got[3][0]).groups()
+    assert lee == other != "Lee" and anna != "Anna"
+    assert re.fullmatch(f"Mr {w} {w} {smith}", got[4][0]) and got[5][0] == f"MR x Mr {smith.upper()} I"
+    assert "Aa" not in got[6][0] and got[6][1] == 1 and got[6][0].endswith(" end")
+    assert re.fullmatch(f"Herr {w}-{w} z", got[7][0]) and re.fullmatch(f"Mr {w} said", got[8][0]) and got[9] == ("Dr no", 0)
+
+
 # ---- pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
