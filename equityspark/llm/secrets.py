@@ -26,7 +26,7 @@ HEX_RUN = re.compile(r"[0-9a-f]{32}")
 WORDS = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 
 # weak parts: reported only when linked
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:client_?id|user(?:name)?|account|access_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{4,}", re.I | re.A)
 
@@ -76,30 +76,35 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 400)
     access = [s for s in base if s[2] == "access"]
     scopes = _scopes(text)
 
-    def near(left: list, right: list) -> list[tuple[int, int]]:
-        """Interval join: pairs of one scope whose starts are at most ``reach`` apart."""
-        if not left or not right:
-            return []
+    def near(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
+        """Interval join: which parts of each side have one of the other in their scope, starts at most ``reach`` apart.
+
+        The partners of a left part are one range of ``right``, kept as a start and an end mark.
+        """
+        hit, marks = np.zeros(len(left), bool), np.zeros(len(right) + 1, np.int64)
         right_at = np.array([r[0] for r in right], np.int64)
-        pairs = []
         for i, x in enumerate(left):
             k = int(np.searchsorted(scopes, x[0], side="right"))
             lo = max(int(scopes[k - 1]), x[0] - reach)
             hi = min(int(scopes[k]) - 1 if k < len(scopes) else len(text), x[0] + reach)
             a, z = np.searchsorted(right_at, [lo, hi + 1])
             if a < z:
-                pairs.append((i, int(a)))
-        return pairs
+                hit[i] = True
+                marks[a] += 1
+                marks[z] -= 1
+        return hit, np.cumsum(marks)[:-1] > 0
+
+    def those(parts: list, hit: np.ndarray) -> list:
+        return [x for x, h in zip(parts, hit, strict=True) if h]
 
     found = set()
-    for left, right in ((secrets, access), (idents, strong), (ends, strong + access), (ends, secrets)):
-        right = sorted(right)
-        for i, j in near(left, right):
-            if left is ends and right == sorted(secrets) and not near([left[i]], idents):
-                continue  # an endpoint and a random string alone say nothing
-            found.add(left[i])
-            if right[j][2].startswith("weak"):
-                found.add(right[j])
+    for left, right in ((secrets, access), (idents, strong), (ends, sorted(strong + access))):
+        found.update(those(left, near(left, right)[0]))
+    # an endpoint and a random string alone say nothing: an identifier completes the group
+    whole = those(ends, near(ends, idents)[0])
+    with_secret, near_end = near(whole, secrets)
+    whole, weak = those(whole, with_secret), those(secrets, near_end)
+    found.update(whole + weak + those(idents, near(whole, idents)[1]))
     return sorted(s for s in found if free(s[0], s[1]))
 
 

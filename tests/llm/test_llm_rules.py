@@ -131,6 +131,18 @@ def test_secret_cases():
         assert sorted([s[2] for s in [*base, *secrets.linked_spans(text, base)]]) == sorted(kinds), text
 
 
+def test_secret_groups_are_reported_whole():
+    """Every weak secret near a complete group, its identifier too, and keys of any length."""
+    one, two, long_ = "Zx9Kq2Lm4Np6Rs8Tv0Wy1Ab3", "Qw7Er5Ty3Ui1Op9As7Df5Gh3", "Zx9Kq2Lm" * 40
+    text = f"https://api.example.com/ client_id=abc {one} then {two}"
+    found = {text[a:z]: k for a, z, k in secrets.linked_spans(text, secrets.base_spans(text))}
+    assert found == {"https://api.example.com/": "weak_endpoint", "client_id=abc": "weak_identifier", one: "weak_secret", two: "weak_secret"}
+    text = f"id {KEY} value {long_}"
+    assert [(text[a:z], k) for a, z, k in secrets.linked_spans(text, secrets.base_spans(text))] == [(long_, "weak_secret")]
+    text = f"https://api.example.com/ and {one}"
+    assert secrets.linked_spans(text, secrets.base_spans(text)) == []
+
+
 def test_secret_base_equals_plain_patterns():
     rng = random.Random(4)
     parts = ["password", "api_key", "apikey", "=", ":", " ", '"', "abcdef0123456789", "AKIA", "ABCD1234", "\n", "é", "token", "x", "ſecret=abcdefghi", "0f" * 16]
