@@ -30,6 +30,30 @@ def sql(body: str) -> str:
     return f"WITH RECURSIVE {with_part} {body}"
 
 
+def over(base: str, *roots: str) -> None:
+    """Define ``<name>_<base>`` for each of ``roots`` and what it needs, with ``base`` in place of ``bars``."""
+    need: set[str] = set()
+
+    def visit(name: str) -> None:
+        if name not in need and name != "bars":
+            need.add(name)
+            for other in CTES:
+                if re.search(rf"\b{other}\b", CTES[name]):
+                    visit(other)
+
+    for root in roots:
+        visit(root)
+    own = {n for n in need if _reaches(n, "bars")}
+    for name in own:
+        body = re.sub(r"\bbars\b", base, CTES[name])
+        define(f"{name}_{base}", re.sub(rf"\b({'|'.join(sorted(own))})\b", rf"\1_{base}", body))
+
+
+def _reaches(name: str, target: str, seen: frozenset = frozenset()) -> bool:
+    return name == target or any(
+        n not in seen and n != name and re.search(rf"\b{n}\b", CTES[name]) and _reaches(n, target, seen | {name}) for n in CTES)
+
+
 define("bars", """
   SELECT printf('S%04d', l_suppkey) AS ticker, CAST(l_shipdate AS DATE) AS date,
     first(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS open,

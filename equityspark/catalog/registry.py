@@ -37,6 +37,6 @@ def oracle_texts() -> dict[str, str]:
 
 def _load() -> None:
     from equityspark.catalog import (  # noqa: F401
-        q_annotate, q_backtest, q_events, q_features, q_indicators, q_memory, q_models, q_scores, q_screens,
+        q_annotate, q_backtest, q_events, q_features, q_indicators, q_long, q_memory, q_models, q_scores, q_screens,
         q_sources, q_stores, q_text,
     )

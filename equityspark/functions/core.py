@@ -9,15 +9,36 @@ are always reduced to bars first by a partial (map-side) aggregation on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+_KEYS: ContextVar[tuple[str, ...]] = ContextVar("series_keys", default=("ticker",))
+
+
+def series_keys() -> tuple[str, ...]:
+    """Columns that make up one series: the ticker, or inside ``keyed_by`` what it names."""
+    return _KEYS.get()
+
+
+@contextmanager
+def keyed_by(*keys: str) -> Iterator[None]:
+    """Series expressions built inside are partitioned by ``keys`` (see ``plans.long_series``)."""
+    token = _KEYS.set(keys)
+    try:
+        yield
+    finally:
+        _KEYS.reset(token)
+
+
 def series() -> WindowSpec:
     """The one window all series operators share."""
-    return Window.partitionBy("ticker").orderBy("date")
+    return Window.partitionBy(*series_keys()).orderBy("date")
 
 
 def trailing(n: int, w: WindowSpec | None = None) -> WindowSpec:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import series, full, pct, ratio, trailing
+from .core import full, pct, ratio, series, series_keys, trailing
 
 EMA_BLOCK = 512
 
@@ -103,8 +103,8 @@ def _ema(x: Column, span: int, block: int) -> Column:
     """EMA of ``x`` over rows prepared by ``_blocked``."""
     if span < 2:
         raise ValueError("span must be at least 2")
-    w_block = Window.partitionBy("ticker", "_blk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    w_range = Window.partitionBy("ticker").orderBy("_blk")
+    w_block = Window.partitionBy(*series_keys(), "_blk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    w_range = Window.partitionBy(*series_keys()).orderBy("_blk")
     alpha = 2.0 / (span + 1.0)
     q = 1.0 - alpha
     weighted = F.when(F.col("_pos") == 0, x).otherwise(alpha * x)
@@ -118,6 +118,11 @@ def _ema(x: Column, span: int, block: int) -> Column:
     return local + carry * F.pow(F.lit(q), F.col("_k") + 1)
 
 
+def ema_memory(*spans: int) -> int:
+    """Rows after which an EMA of an EMA ... of these spans has forgotten a value (below 1e-17 of it)."""
+    return sum(math.ceil(math.log(1e-17) / math.log(1.0 - 2.0 / (span + 1.0))) for span in spans)
+
+
 def add_ema(df: DataFrame, col: str, spans: dict[str, int], block: int = EMA_BLOCK) -> DataFrame:
     """Exponential means (``adjust=False``) for several spans, without Python workers.
 

@@ -264,3 +264,12 @@ def sentiment_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         body.alias("body"),
     )
+
+
+def tick_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five long series: each agent's events as ticks, a fifth of all events in one series."""
+    e = agent_events(spark, sf_dir)
+    v = F.col("value")
+    return e.select(
+        F.col("source_agent").alias("ticker"), F.col("ts").alias("date"), v.alias("open"), (v + 1.0).alias("high"),
+        v.alias("low"), v.alias("close"), (1.0 + F.pmod("event_id", F.lit(7))).alias("volume"))
