@@ -77,9 +77,9 @@ def conflicts(recommendations: DataFrame, order: list[str] | tuple[str, ...] = (
     """Tickers whose sources' newest recommendations differ.
 
     Reduced to one row per (ticker, source) before anything is grouped by ticker; the
-    map has one entry per source.
+    map has one entry per source. Rows without a source say nothing.
     """
-    last = latest_per(recommendations, ["ticker", "source"], F.struct(*order), ["recommendation"])
+    last = latest_per(recommendations.where(F.col("source").isNotNull()), ["ticker", "source"], F.struct(*order), ["recommendation"])
     g = last.groupBy("ticker").agg(
         F.count("*").alias("n_sources"),
         F.count_distinct("recommendation").alias("n_recommendations"),
