@@ -10,6 +10,7 @@ from equityspark.catalog.util import keep, rounded
 from equityspark.operators import drift, ensemble, memory, text
 from equityspark.session import scratch_folder
 from equityspark.sources import readers, sinks, views
+from equityspark.sources.versions import VersionedTable
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 
@@ -182,3 +183,36 @@ def a14_lines(spark, d):
 def l05(spark, d):
     """The strategy chosen by its name gives what the strategy itself gives."""
     return keep(ensemble.combine(views.predictions(spark, d), "voting"), *ENS_COLS, "n_agree", "bullish_pct")
+
+
+# The same changes on versioned tables: deletes are keys, versions are manifests ----------
+@query("a05_versioned_replace", ORACLE["a05_replace_tickers"])
+def a05_versioned(spark, d):
+    bars = views.bars(spark, d).select("ticker", F.year("date").alias("year"), "date", "close")
+    prices = VersionedTable(spark, scratch_folder(spark, "prices"), ["ticker"], "year")
+    prices.append(bars)
+    prices.replace(bars.where(F.col("ticker").like("%3") & (F.col("year") != 1995)).withColumn("close", F.col("close") * 2))
+    return prices.read().select("ticker", "date", "close")
+
+
+@query("a12_versioned_delete", ORACLE["a12_add_delete"])
+def a12_versioned(spark, d):
+    """Reports appended in two versions, deleted by id in a third, folded in by a fourth."""
+    a = views.analyses(spark, d).drop("embedding")
+    reports = VersionedTable(spark, scratch_folder(spark, "reports"), ["doc_id"], "date")
+    reports.append(a.where("doc_id % 2 = 0"))
+    reports.append(a.where("doc_id % 2 = 1"))
+    reports.delete(a.where(f"NOT ({_KEPT})"))
+    reports.compact()
+    return reports.read().select("doc_id", "ticker", "ts", "date", "summary")
+
+
+@query("a17_versioned_restore", ORACLE["a17_restore_backup"])
+def a17_versioned(spark, d):
+    a = views.analyses(spark, d).drop("embedding")
+    backup = scratch_folder(spark, "backup")
+    sinks.export_json(a, backup)
+    reports = VersionedTable(spark, scratch_folder(spark, "reports"), ["doc_id"], "date")
+    reports.append(a.where("doc_id % 3 = 0"))
+    reports.append_new(spark.read.schema(a.schema).json(backup))
+    return reports.read().select("doc_id", "ticker", "ts", "date", "summary")
