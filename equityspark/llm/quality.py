@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equityspark.llm import common
+
 FIT_ROWS = 20_000
 SPACE = r"[\\x20\\x09-\\x0D]+"
 
@@ -138,14 +140,17 @@ def learn(rows: list[dict], features: list[str], min_precision: float = 0.97, mi
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
     """Learn from documents with a ``quality`` label (1 good, 0 bad; null rows are left out).
 
-    ``fit_rows`` bounds the labelled rows used, and so what is broadcast and collected.
+    ``fit_rows`` bounds the labelled rows used, and so what is broadcast and collected. The
+    labelled texts are written first: their statistics alone are computed, not the corpus's.
+    Of rows that repeat an id, and of labels that do, one stays (the smaller text, the worse label).
     """
-    some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
-    seen = counts(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).where(~base_failed())
+    some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "bad").agg(F.min("text").alias("text"))
+    seen = counts(common.written(own, "labelled"))
     named = rates()
-    got = seen.select("doc_id", (F.col("quality") == 0).alias("bad"), *[c.alias(n) for n, c in named.items()])
-    rows = sorted((r.asDict() for r in got.limit(2 * fit_rows).collect()), key=lambda r: (hash((r["doc_id"], 7)), r["doc_id"], r["bad"]))
+    got = seen.select("doc_id", "bad", base_failed().alias("failed"), *[c.alias(n) for n, c in named.items()]).toArrow().to_pylist()
+    rows = sorted((r for r in got if not r.pop("failed")), key=lambda r: (hash((r["doc_id"], 7)), r["doc_id"], r["bad"]))
     return learn(rows, list(named))
 
 
