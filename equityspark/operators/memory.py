@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,61 +96,60 @@ def semantic_search(analyses: DataFrame, query: list[float], k: int = 5, ticker:
     return scored.orderBy(F.desc("similarity"), "doc_id").limit(k)
 
 
-def batch_search(analyses: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", block: int = 4096) -> DataFrame:
+def batch_search(analyses: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", block: int = 4096, chunk: int = 8192) -> DataFrame:
     """Top ``k`` reports for each row of ``queries`` (query_id long, query_vec).
 
-    The queries are taken in blocks of ``block`` vectors, a bounded matrix that every task
-    can hold; any number of blocks is searched, each with one scan. A task multiplies its
-    Arrow batches of reports with that matrix and keeps only the running best ``k`` per
-    query: no report-query pair ever leaves the task, at most k rows per query do.
-    Similarities are rounded to 12 digits so that equal vectors tie and go by doc_id.
+    A blocked product: Spark deals reports into chunks of about ``chunk`` and queries into
+    blocks of about ``block`` rows by hash of their ids, sends every (chunk, block) pair to
+    one group and keeps the best k per query there; a final top-k merges the chunks. Both
+    tables are read a fixed number of times, whatever the number of queries, and none of
+    their rows passes the driver. Ids are unique. Similarities are rounded to 12 digits so that equal
+    vectors tie and go by doc_id; vectors that are null or of other length than the query's
+    have no similarity to it.
     """
     if metric not in ("cosine", "l2sq"):
         raise ValueError(f"unknown metric {metric!r}")
-    found = None
-    rows = queries.select("query_id", "query_vec").toLocalIterator()
-    while part := list(itertools.islice(rows, block)):
-        ids = np.array([r["query_id"] for r in part], dtype="int64")
-        matrix = np.array([r["query_vec"] for r in part], dtype="float64")
-        best = analyses.select("doc_id", "embedding").mapInPandas(_best_per_query(ids, matrix, k, metric), BEST_SCHEMA)
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return analyses.sparkSession.createDataFrame([], BEST_SCHEMA).withColumn("rank", F.lit(0))
-    return top_n(found, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k, "rank")
+    reports = analyses.select("doc_id", "embedding").where(F.col("embedding").isNotNull())
+    asked = queries.select("query_id", "query_vec").where(F.col("query_vec").isNotNull())
+    blocks, chunks = (max(1, -(-df.count() // size)) for df, size in ((asked, block), (reports, chunk)))
 
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))})
 
-BEST_SCHEMA = "query_id long, doc_id long, similarity double"
+    left = dealt(reports, "doc_id", "_chunk", chunks, "_block", blocks).groupBy("_chunk", "_block")
+    right = dealt(asked, "query_id", "_block", blocks, "_chunk", chunks).groupBy("_chunk", "_block")
+    best = left.cogroup(right).applyInPandas(_best_per_query(k, metric), BEST_SCHEMA)
+    return top_n(best, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k, "rank")
 
 
-def _best_per_query(ids, matrix, k: int, metric: str):
-    def run(batches):
-        sims, docs = [], []
-        norms = np.sqrt((matrix**2).sum(axis=1))
-
-        def shrink():
-            """Keep the best k per query of everything seen so far."""
-            s, d = np.concatenate(sims, axis=1), np.concatenate(docs, axis=1)
-            order = np.lexsort((d, -s), axis=1)[:, :k]
-            sims[:], docs[:] = [np.take_along_axis(s, order, 1)], [np.take_along_axis(d, order, 1)]
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype("float64")
-            if metric == "cosine":
-                own = np.sqrt((x**2).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = (matrix @ x.T) / (norms[:, None] * own[None, :])
-                s = np.where(np.isfinite(s), s, -np.inf)
-            else:
-                s = 1.0 - ((matrix**2).sum(1)[:, None] - 2.0 * (matrix @ x.T) + (x**2).sum(1)[None, :])
-            sims.append(np.round(s, 12))
-            docs.append(np.broadcast_to(pdf["doc_id"].to_numpy(), s.shape))
-            shrink()
-        if sims:
-            s, d = sims[0], docs[0]
-            q = np.repeat(ids, s.shape[1])
-            ok = np.isfinite(s.ravel())
-            yield pd.DataFrame({"query_id": q[ok], "doc_id": d.ravel()[ok], "similarity": s.ravel()[ok]})
-
-    return run
+BEST_SCHEMA = "query_id long, doc_id long, similarity double"
+SLICE = 1 << 22  # similarities held at a time
+
+
+def _best_per_query(k: int, metric: str):
+    """Best ``k`` reports of a chunk for every query of a block, a few queries at a time."""
+
+    def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (q @ x.T) / (np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None, :])
+            return np.where(np.isfinite(s), s, -np.inf)
+        return 1.0 - ((q**2).sum(1)[:, None] - 2.0 * (q @ x.T) + (x**2).sum(1)[None, :])
+
+    def best(reports: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        lengths = [frame.map(len).to_numpy(dtype="int64") for frame in (reports["embedding"], asked["query_vec"])] if len(reports) and len(asked) else [np.zeros(0), np.zeros(0)]
+        for n in np.intersect1d(*lengths):
+            x, own = reports[lengths[0] == n], asked[lengths[1] == n]
+            docs, ids = x["doc_id"].to_numpy(dtype="int64"), own["query_id"].to_numpy(dtype="int64")
+            x, q = (np.stack(v.to_numpy()).astype("float64") for v in (x["embedding"], own["query_vec"]))
+            step = max(1, SLICE // len(docs))
+            for a in range(0, len(ids), step):
+                s = np.round(product(q[a: a + step], x), 12)
+                order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :k]
+                s = np.take_along_axis(s, order, 1)
+                out.append(pd.DataFrame({"query_id": np.repeat(ids[a: a + step], s.shape[1]), "doc_id": docs[order].ravel(), "similarity": s.ravel()}))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, "int64"), "doc_id": np.zeros(0, "int64"), "similarity": np.zeros(0)})
+        return found[np.isfinite(found["similarity"])]
+
+    return best

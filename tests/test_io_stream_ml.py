@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from equityspark.operators import backtest, ensemble, ml  # noqa: F401
+from equityspark.operators import backtest, ensemble, memory, ml  # noqa: F401
 from equityspark.plans import training_set
 from equityspark.sources import readers, sinks
 from equityspark.streaming import event_log
@@ -195,3 +195,25 @@ def test_stacking(spark, train_frame):
     oof = ml.out_of_fold(train_frame, F3, fam, 2, TINY)
     prob = ml.stacking_probability(ml.fit_stacking(oof, fam), oof, fam)
     assert prob.where("direction_probability < 0 or direction_probability > 1").count() == 0 and prob.count() == oof.count()
+
+
+@pytest.mark.parametrize("block, chunk", [(1000, 10000), (7, 16)])
+def test_batch_search_in_blocks_equals_brute_force(spark, block, chunk):
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(120, 6))
+    vecs[50:60] = vecs[3]  # ties go by id
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(500, None), (501, [0.0] * 6), (502, [1.0, 2.0])]
+    store = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(5)
+    queries = store.where("doc_id % 3 = 0 OR doc_id > 499").withColumnsRenamed({"doc_id": "query_id", "embedding": "query_vec"})
+    got = {}
+    for r in memory.batch_search(store, queries, 4, "l2sq", block, chunk).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["similarity"]))
+    whole = [(i, np.array(v)) for i, v in rows if v is not None]
+    for q, v in whole:
+        if q % 3 and q < 500:
+            continue
+        near = sorted(((-round(1 - float(((v - x) ** 2).sum()), 9), i) for i, x in whole if len(x) == len(v)))[:4]
+        assert [d for d, _ in got[q]] == [i for _, i in near]
+    assert 500 not in got and [d for d, _ in got[502]] == [502]
+    cos = memory.batch_search(store, queries, 4, "cosine", block, chunk).where("query_id = 501 OR doc_id = 501").count()
+    assert cos == 0 and memory.batch_search(store, queries.limit(0), 4).count() == 0
