@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from equityspark.catalog import oracle
-from equityspark.catalog.registry import query
+from equityspark.catalog.registry import ORACLE, query
 from equityspark.catalog.util import keep, r, rounded
 from equityspark.functions import indicators as ind
 from equityspark.functions.core import ratio, series
 from equityspark.operators import backtest, drift, ensemble
-from equityspark.session import materialize
+from equityspark.session import materialize, scratch_folder
 from equityspark.sources import readers, views
 
 START, END = "1997-01-01", "2000-12-31"
@@ -336,6 +336,8 @@ oracle.define("psi_scores", """
     LEFT JOIN (SELECT key, bin, count(*) AS n FROM drift_bins WHERE NOT base GROUP BY 1, 2) y ON y.key = b.key AND y.bin = b.bin
     JOIN (SELECT key, count(*) FILTER (base) AS te, count(*) FILTER (NOT base) AS ta FROM drift_long GROUP BY key) t ON t.key = b.key) GROUP BY key""")
 oracle.define("drift_bins", "SELECT l.base, l.key, len(list_filter(e[2:-2], lambda x: x <= value)) AS bin FROM drift_long l JOIN drift_edges USING (key)")
+
+
 CLASS = "CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.2 THEN 'minor_shift' ELSE 'major_shift' END"
 
 
@@ -346,6 +348,36 @@ def d20(spark, d):
     return rounded(p.select("key", "n", "mean", "std", "min", "max", *[F.col("percentiles")[i].alias(f"p{i * 10}") for i in range(11)]))
 
 
+def stored_days(spark, d):
+    """Day profiles of the baseline, stored in two appends; the long rows of the baseline and of the newer days."""
+    close = F.col("close")
+    b = views.bars(spark, d).withColumns({"rsi_14": ind.rsi(close), "s20": ind.sma(close, 20), "lag_return_1d": ind.lag_return(close, 1)})
+    b = b.withColumns({"sma_ratio": ratio(close, F.col("s20")), "weekday": F.weekday("date").cast("double")})
+    long = b.select(F.trunc("date", "quarter").alias("day"), "date", *FEATURES).unpivot(["day", "date"], FEATURES, "key", "value")
+    long = materialize(long.where(F.col("value").isNotNull()), "long")
+    path = scratch_folder(spark, "days")
+    base = F.col("date") < F.lit(CUT).cast("date")
+    for early in (F.col("day") < "1996-01-01", F.col("day") >= "1996-01-01"):
+        drift.append_days(long.where(base & early).select("day", "key", "value"), path)
+    return path, long.where(base).select("key", "value"), long.where(~base).select("key", "value")
+
+
+@query("d20_stored_days", ORACLE["d20_baseline_profile"])
+def d20_stored(spark, d):
+    """The same profile from stored day sketches, which bracket the exact percentiles in one pass."""
+    path, base, _ = stored_days(spark, d)
+    p = drift.exact_profile(base, path)
+    return rounded(p.select("key", "n", "mean", "std", "min", "max", *[F.col("percentiles")[i].alias(f"p{i * 10}") for i in range(11)]))
+
+
+@query("d22_merged_days", f"SELECT s.key, n, {CLASS} AS classification FROM psi_scores s JOIN (SELECT key, count(*) AS n FROM drift_long WHERE base GROUP BY key) c ON c.key = s.key")
+def d22_merged(spark, d):
+    """Drift classes against merged day sketches: the baseline's values are not read again."""
+    path, _, now = stored_days(spark, d)
+    classes = drift.check_merged(now, path)
+    return classes.join(drift.merged_profile(spark, path), "key").select("key", "n", "classification")
+
+
 @query("d21_psi", f"SELECT key, {r('psi')} FROM psi_scores")
 def d21(spark, d):
     return keep(drift.psi(*drift_features(spark, d)), "key", "psi")

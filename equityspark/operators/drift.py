@@ -5,11 +5,11 @@ Features travel in long form (key, value): one aggregation serves any number of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equityspark.functions.core import top_n
-from equityspark.functions.quantiles import exact_quantiles
+from equityspark.functions.quantiles import exact_quantiles, known_values, sketch_grid
 
 BUCKETS = 10
 EPSILON = 1e-6
@@ -130,3 +130,61 @@ def check_stored(actual: DataFrame, path: str) -> DataFrame | None:
         store_baseline(actual, path)
         return None
     return _psi(_edges(stored), actual).withColumn("classification", classify(F.col("psi")))
+
+
+# Stored mergeable profiles ---------------------------------------------------------------
+DAY_SKETCH = 4096
+
+
+def day_profiles(long: DataFrame, size: int = DAY_SKETCH) -> DataFrame:
+    """(day, key, value) rows to one mergeable row per (day, key): n, mean, var, min, max and a KLL sketch."""
+    rows = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return rows.groupBy("day", "key").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
+
+
+def append_days(long: DataFrame, path: str, size: int = DAY_SKETCH) -> None:
+    """Store the profiles of new days; a day that is there already is replaced, the others are not read."""
+    day_profiles(long, size).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def merged_profile(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Profile of any range of stored days without their values: n, mean, std, min, max exact, ``percentiles``
+    and ``below`` from the merged sketch (rank error below ``rank_error`` of its size), and the ``sketch``.
+    """
+    days = spark.read.parquet(path)
+    if start is not None:
+        days = days.where(F.col("day") >= F.lit(start).cast("date"))
+    if end is not None:
+        days = days.where(F.col("day") <= F.lit(end).cast("date"))
+    whole = days.groupBy("key").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("mean")).alias("_s"))
+    around = days.join(whole.withColumn("_mean", F.col("_s") / F.col("_n")), "key")
+    off = F.col("mean") - F.col("_mean")
+    g = around.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("n") * (F.col("var") + off * off)).alias("_m2"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    g = g.withColumn("std", F.sqrt(F.col("_m2") / F.col("n"))).drop("_m2")
+    edges = [F.col("min"), *[F.kll_sketch_get_quantile_double("sketch", F.lit(i / buckets)) for i in range(1, buckets)], F.col("max")]
+    g = g.withColumn("_grid", sketch_grid("sketch")).withColumn("percentiles", F.array(*edges))
+    less = F.transform("percentiles", lambda e: F.round(F.size(F.filter("_grid", lambda x: x < e)).cast("double") / F.size("_grid") * F.col("n")).cast("long"))
+    return g.withColumn("below", less).drop("_grid")
+
+
+def check_merged(actual: DataFrame, path: str, start: str | None = None, end: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Drift of ``actual`` against a range of stored days: the baseline's values are never read.
+
+    Shares of the baseline's bins are those of its sketch, so psi is exact up to the sketch's rank error.
+    """
+    stored = merged_profile(actual.sparkSession, path, start, end, buckets)
+    return _psi(_edges(stored), actual).withColumn("classification", classify(F.col("psi")))
+
+
+def exact_profile(long: DataFrame, path: str, start: str | None = None, end: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``profile`` of the values of the stored days in one pass: their merged sketches give the brackets.
+
+    ``long`` must hold just the values that were stored for the range.
+    """
+    stored = merged_profile(long.sparkSession, path, start, end, buckets)
+    q = exact_quantiles(known_values(long), [i / buckets for i in range(buckets + 1)], DAY_SKETCH, stored)
+    return stored.select("key", "mean", "std", "min", "max").join(q.withColumnRenamed("quantiles", "percentiles"), "key")

@@ -5,14 +5,18 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from equityspark.functions import quantiles
 from equityspark.functions.quantiles import exact_quantiles, global_rank
 from equityspark.operators import drift, ml
 
 PROBS = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_quantiles_equal_numpy(spark, accuracy):
+@pytest.mark.parametrize("accuracy, inside_most, error", [(50, 4_000_000, None), (10_000, 4_000_000, None), (64, 40, None), (50, 4_000_000, 1e-4), (200, 100, 1e-3)])
+def test_quantiles_equal_numpy(spark, monkeypatch, accuracy, inside_most, error):
+    """Small sketches, brackets that are narrowed first, and brackets that miss and are widened."""
+    if error is not None:
+        monkeypatch.setattr(quantiles, "rank_error", lambda size: error)
     rng = np.random.default_rng(1)
     data = {
         "normal": rng.normal(size=4000),
@@ -23,7 +27,7 @@ def test_quantiles_equal_numpy(spark, accuracy):
         "flat": np.full(500, 2.5),
     }
     pdf = pd.concat([pd.DataFrame({"key": k, "value": v}) for k, v in data.items()])
-    got = {r["key"]: r for r in exact_quantiles(spark.createDataFrame(pdf).repartition(5), PROBS, accuracy).collect()}
+    got = {r["key"]: r for r in exact_quantiles(spark.createDataFrame(pdf).repartition(5), PROBS, accuracy, inside_most=inside_most).collect()}
     for k, v in data.items():
         assert got[k]["n"] == len(v)
         assert np.allclose(got[k]["quantiles"], np.percentile(v, [p * 100 for p in PROBS]), rtol=1e-12, atol=1e-12), k
@@ -89,3 +93,34 @@ def test_missing_and_imputation(spark):
     df = spark.createDataFrame([(1.0, None), (None, 2.0), (3.0, 4.0), (8.0, 6.0)], "x double, y double")
     assert {r["feature"]: r["missing"] for r in ml.missing_share(df, ["x", "y"]).collect()} == {"x": 0.25, "y": 0.25}
     assert sorted(tuple(r) for r in ml.impute_median(df, ["x", "y"]).collect()) == [(1.0, 4.0), (3.0, 2.0), (3.0, 4.0), (8.0, 6.0)]
+
+
+def test_day_profiles_merge_to_the_whole(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    days = pd.date_range("2024-01-01", periods=12).date
+    pdf = pd.concat([pd.DataFrame({"day": d, "key": k, "value": v}) for d in days for k, v in (
+        ("a", rng.normal(size=900) + 1e6), ("step", rng.integers(0, 4, 700).astype(float)), ("one", np.array([2.0])))])
+    pdf.loc[pdf.index[:3], "value"] = np.nan
+    path = str(tmp_path / "days")
+    long = spark.createDataFrame(pdf)
+    for part in (long.where("day < '2024-01-05'"), long.where("day >= '2024-01-04'")):  # one day twice: replaced, not doubled
+        drift.append_days(part, path, 256)
+    for start, end in ((None, None), ("2024-01-03", "2024-01-08")):
+        own = pdf[pdf["value"].notna()]
+        own = own[(own["day"] >= pd.Timestamp(start or "2000-01-01").date()) & (own["day"] <= pd.Timestamp(end or "2100-01-01").date())]
+        got = {r["key"]: r for r in drift.merged_profile(spark, path, start, end).collect()}
+        for k, v in own.groupby("key")["value"]:
+            r, v = got[k], np.sort(v.to_numpy())
+            assert r["n"] == len(v) and r["min"] == v[0] and r["max"] == v[-1]
+            assert np.isclose(r["mean"], v.mean(), rtol=1e-12) and np.isclose(r["std"], v.std(), rtol=1e-9)
+            eps = (3 * quantiles.rank_error(256) + 2 / quantiles.GRID) * len(v) + 1
+            for i, (p, b) in enumerate(zip(r["percentiles"], r["below"], strict=True)):
+                assert np.searchsorted(v, p, "left") - eps <= i / 10 * len(v) <= np.searchsorted(v, p, "right") + eps
+                assert abs(b - np.searchsorted(v, p, "left")) <= eps
+        exact = {r["key"]: r for r in drift.exact_profile(spark.createDataFrame(own[["key", "value"]]), path, start, end).collect()}
+        for k, v in own.groupby("key")["value"]:
+            assert np.allclose(exact[k]["percentiles"], np.percentile(v, np.arange(0, 101, 10)), rtol=1e-12)
+    same = {r["key"]: r for r in drift.check_merged(spark.createDataFrame(pdf[["key", "value"]]).where("NOT isnan(value)"), path).collect()}
+    assert all(r["classification"] == "stable" and r["psi"] < 0.05 for r in same.values())
+    moved = drift.check_merged(spark.createDataFrame(pd.DataFrame({"key": "step", "value": np.full(500, 3.0)})), path).first()
+    assert moved["classification"] == "major_shift"
