@@ -61,25 +61,62 @@ def bucket_start(ts: Column, interval: str) -> Column:
     return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(minutes * 60)))
 
 
+def packed_order(parts: list[tuple[Column, int]]) -> Column:
+    """One decimal that orders like the whole numbers ``parts`` (column, decimal digits), first part highest.
+
+    A decimal has a fixed place in an aggregation buffer, a struct has not: with it ``min_by``
+    and ``max_by`` run as a hash aggregate. At most 38 digits; a number that does not fit its
+    digits or is negative is an error, never a wrong order.
+    """
+    if sum(d for _, d in parts) > 38 or any(d > 18 for _, d in parts):
+        raise ValueError("at most 38 digits in all and 18 in one part")
+    words: list[tuple[Column, int]] = []
+    for x, digits in parts:
+        x = x.cast("long")
+        fits = F.when((x >= 0) & (x < 10**digits), x).when(x.isNotNull(), F.raise_error(F.lit(f"order key beyond {digits} digits")).cast("long"))
+        if words and words[-1][1] + digits <= 18:
+            high, used = words.pop()
+            words.append((high * 10**digits + fits, used + digits))
+        else:
+            words.append((fits, digits))
+    out = words[0][0].cast("decimal(38,0)")
+    for x, digits in words[1:]:
+        out = (out * F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast("decimal(38,0)") + x.cast("decimal(19,0)")
+        out = out.cast("decimal(38,0)")
+    return out
+
+
+def _order(df: DataFrame, time_col: str, seq: str | list[tuple[str, int]]) -> Column:
+    kinds = dict(df.dtypes)
+    if isinstance(seq, str) and kinds[seq] not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct(F.col(time_col), F.col(seq))
+    day, micros = F.unix_date(F.to_date(time_col)) + 1_000_000, F.unix_micros(F.col(time_col).cast("timestamp"))
+    clock = [(day, 7)] if kinds[time_col] == "date" else [(day, 7), (F.pmod(micros, F.lit(86_400_000_000)), 11)]
+    rest = [(F.col(c), d) for c, d in seq] if isinstance(seq, list) else [(F.col(seq), 18)]
+    return packed_order([*clock, *rest])
+
+
 def resample_ohlcv(
-    df: DataFrame, keys: list[str], time_col: str, price: str, qty: str, seq: str, interval: str = "1d"
+    df: DataFrame, keys: list[str], time_col: str, price: str, qty: str, seq: str | list[tuple[str, int]], interval: str = "1d"
 ) -> DataFrame:
-    """Ticks to OHLCV bars. ``seq`` orders ticks inside a bar and must be unique there
-    (or tie only between identical ticks).
+    """Ticks to OHLCV bars. ``seq`` orders ticks inside an instant and must be unique there (or tie
+    only between identical ticks): a column, or several whole-number columns with their digits.
 
     open/close are ``min_by``/``max_by``: they combine on the map side, so a ticker that
-    holds a third of all ticks still shuffles one row per bar and map task.
+    holds a third of all ticks still shuffles one row per bar and map task. Whole-number
+    sequences are packed with the time into one decimal, which keeps this a hash aggregate;
+    a sequence of another type makes each task sort its ticks first.
     """
-    pre = df.select(*keys, bucket_start(F.col(time_col), interval).alias("_bar"), F.col(time_col), price, qty, seq)
-    order = F.struct(F.col(time_col), F.col(seq))
+    order = _order(df, time_col, seq)
+    pre = df.select(*keys, bucket_start(F.col(time_col), interval).alias("_bar"), F.col(price).alias("_price"), F.col(qty).alias("_qty"), order.alias("_order"))
     return (
         pre.groupBy(*keys, F.col("_bar").alias("date"))
         .agg(
-            F.min_by(price, order).alias("open"),
-            F.max(price).alias("high"),
-            F.min(price).alias("low"),
-            F.max_by(price, order).alias("close"),
-            F.sum(qty).alias("volume"),
+            F.min_by("_price", "_order").alias("open"),
+            F.max("_price").alias("high"),
+            F.min("_price").alias("low"),
+            F.max_by("_price", "_order").alias("close"),
+            F.sum("_qty").alias("volume"),
         )
     )
 

@@ -30,14 +30,18 @@ def trades_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("l_shipdate").alias("date"),
         (100.0 + F.col("l_extendedprice") / F.col("l_quantity") / 10000.0).alias("price"),
         F.col("l_quantity").alias("qty"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("seq"),
+        "l_orderkey", "l_linenumber", "l_partkey",
     )
 
 
+# Digits of what orders the trades of a day.
+TRADE_SEQ = [("l_orderkey", 16), ("l_linenumber", 2), ("l_partkey", 13)]
+
+
 def bars(spark: SparkSession, sf_dir: str, interval: str = "1d") -> DataFrame:
     """Daily (or coarser) OHLCV bars: one partial aggregation on (ticker, date)."""
     raw = trades_raw(spark, sf_dir)
-    out = resample_ohlcv(raw, ["l_suppkey"], "date", "price", "qty", "seq", interval)
+    out = resample_ohlcv(raw, ["l_suppkey"], "date", "price", "qty", TRADE_SEQ, interval)
     return out.select(ticker_of(F.col("l_suppkey")).alias("ticker"), "date", "open", "high", "low", "close", "volume")
 
 
