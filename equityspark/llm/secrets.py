@@ -5,7 +5,9 @@ their own. Weak candidates are not: a bare secret-like string, an endpoint or a
 identifier is common in clean text. They are reported only when complementary parts
 co-occur: candidates of a text are interval-joined within scopes (a scope is a run of
 lines without an empty line between, further cut to ``reach`` characters), and a weak
-secret needs an access identifier or an endpoint with user data in its scope.
+secret needs an access identifier, or an endpoint with an identifier, in its scope. User data
+inside an endpoint (``user:password@``) are its identifier and its secret: such an endpoint is
+a complete group by itself, and one for the random strings around it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ WORDS = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 
 # weak parts: reported only when linked
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:client_?id|user(?:name)?|account|access_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:client_?id|user(?:name)?|account|access_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
+USER = re.compile(r"[a-z0-9+]+://([^\s\"'<>/?#@:]+):([^\s\"'<>/?#@]+)@", re.I | re.A)  # user data of an endpoint
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{4,}", re.I | re.A)
 
 
@@ -56,11 +59,15 @@ def _scopes(text: str) -> np.ndarray:
 def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 400) -> list[tuple[int, int, str]]:
     """Weak candidates with a complementary part in their scope and reach.
 
-    weak_secret: a mixed string of 20 or more characters near an access identifier;
-    weak_identifier, weak_endpoint: the other parts of a group that holds a secret.
+    weak_secret: a mixed string of 20 or more characters near an access identifier or near an
+    endpoint with an identifier, and the password inside an endpoint; weak_identifier,
+    weak_endpoint: the other parts of a group that holds a secret.
     """
     ends = [(m.start(), m.end(), "weak_endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
     idents = [(m.start(), m.end(), "weak_identifier") for m in IDENTIFIER.finditer(text)] if "=" in text or ":" in text else []
+    with_user = [(e, m) for e in ends if (m := USER.match(text, e[0], e[1]))]
+    own, users = [e for e, _ in with_user], [m for _, m in with_user]
+    idents = sorted(idents + [(m.start(1), m.end(1), "weak_identifier") for m in users])
     if not base and not (ends and idents):
         return []
     taken = sorted((s, e) for s, e, _ in base)
@@ -71,7 +78,13 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 400)
         return i == len(t0) or t0[i] >= e
 
     secrets = [(m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text)]
-    secrets = [s for s in secrets if free(s[0], s[1]) and not any(a <= s[0] < b for a, b, _ in ends)]
+    starts = np.array([a for a, _, _ in ends], np.int64)
+
+    def outside(s: int) -> bool:
+        i = int(np.searchsorted(starts, s, side="right"))
+        return i == 0 or ends[i - 1][1] <= s
+
+    secrets = [s for s in secrets if free(s[0], s[1]) and outside(s[0])]
     strong = [s for s in base if s[2] in ("assign", "hex")]
     access = [s for s in base if s[2] == "access"]
     scopes = _scopes(text)
@@ -104,6 +117,8 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 400)
     whole = those(ends, near(ends, idents)[0])
     with_secret, near_end = near(whole, secrets)
     whole, weak = those(whole, with_secret), those(secrets, near_end)
+    whole = sorted({*whole, *own})
+    found.update((m.start(2), m.end(2), "weak_secret") for m in users)
     found.update(whole + weak + those(idents, near(whole, idents)[1]))
     return sorted(s for s in found if free(s[0], s[1]))
 
