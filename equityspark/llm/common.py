@@ -64,6 +64,16 @@ def passable(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(_open(f.dataType)).alias(f.name) for f in df.schema.fields])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many more underscores in front as the columns of ``df`` make necessary."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def parts_for(df: DataFrame, part_bytes: int = 32 << 20) -> int:
     """Partition count: the session's setting, or more when the planner's size estimate asks for more."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equityspark.llm import common
@@ -38,7 +38,8 @@ SYLLABLES = {
 SAME_FORMAT = 12
 ENDINGS = {"latin": ("n", "a", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ς", "α", "ν")}  # male, female, neither
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+LABELS = r"(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})|(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@" + LABELS
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w)(?!\.\d)"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -51,6 +52,8 @@ UNIT = r"(?:(?:\p{Lu}\.)++ )*+" + WORD  # a part with the initials before it
 NAME = r"(?<!\p{L})" + TITLE + "(?:" + TITLE + "){0,4}(?:" + UNIT + r"|(?:\p{Lu}\.)*+\p{Lu}(?!\p{L}))(?: " + UNIT + ")*+"
 KINDS = {"email": EMAIL, "iban": IBAN, "ssn": SSN, "ipv4": IPV4, "phone": PHONE, "card": CARD, "name": NAME}
 PATTERN = "|".join(KINDS.values())
+# a capitalised word as it may stand for a name met before, without a possessive ending
+LONE = r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]++(?:['’](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+|(?<![\p{L}\p{M}])\p{Lu}(?:['’](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*+)++"
 HINT = r"[@\d]|" + TITLE + r"(?:[dDlL]['’])?\p{Lu}"  # a text without this has no mention
 
 
@@ -180,7 +183,11 @@ def surrogates(entities: DataFrame, key: str, rounds: int | None = None) -> Data
     others draw again, in a wider format after ``SAME_FORMAT`` draws, until none is left. With
     ``rounds`` an error is raised instead if some are left after that many.
     """
-    known = common.written(entities.select("kind", "norm").distinct(), "entities")
+    spark = entities.sparkSession
+    # dealt to all tasks by key: a small table would be drawn for in one
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = common.written(entities.select("kind", "norm").distinct().repartition(parts, "kind", "norm"), "entities")
+    folders: list[str] = []
     open_, done = known, None
     for r in count() if rounds is None else range(rounds):
         tried = open_.withColumn("surrogate", _draw(F.col("kind"), F.col("norm"), key, r))
@@ -188,7 +195,9 @@ def surrogates(entities: DataFrame, key: str, rounds: int | None = None) -> Data
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm")).select("kind", "norm", "surrogate")
-        done = common.written(won if done is None else done.unionByName(won), "surrogates")
+        folders.append(common.scratch(spark, "surrogates"))
+        won.write.parquet(folders[-1])
+        done = spark.read.schema(won.schema).parquet(*folders)
         open_ = known.join(done, ["kind", "norm"], "left_anti")
         if not open_.limit(1).count():
             return done
@@ -215,28 +224,61 @@ def _render(kind: Column, mention: Column, surrogate: Column, parts: Column | No
     return F.when(kind == "email", mail).when(kind == "ipv4", surrogate).when(kind == "name", name).otherwise(place)
 
 
+def _gendered(lines: DataFrame) -> DataFrame:
+    """A neutral title takes the gender that the same name part has elsewhere in the text, if it has one."""
+    bare, gender = F.substr("norm", F.lit(3)), F.substr("norm", F.lit(1), F.lit(1))
+    # the parts of one text
+    w = Window.partitionBy("digest", "kind", F.when(F.col("kind") == "name", bare).otherwise(F.col("norm")))
+    both = lines.withColumns({"_m": F.max(gender == "m").over(w), "_f": F.max(gender == "f").over(w)})
+    own = F.when(F.col("_m") & ~F.col("_f"), F.lit("m")).when(F.col("_f") & ~F.col("_m"), F.lit("f")).otherwise(F.lit("n"))
+    norm = F.when((F.col("kind") == "name") & (gender == "n"), F.concat(own, F.lit(":"), bare)).otherwise(F.col("norm"))
+    return both.withColumn("norm", norm).drop("_m", "_f")
+
+
+def _lone(piece: Column, names: Column) -> Column:
+    """(text, hits) of a piece between mentions, its lone names replaced by what the text's name parts became."""
+    words = F.regexp_extract_all(piece, F.lit(LONE), F.lit(0))
+    new = F.transform(words, lambda w: F.element_at(names, F.lower(F.translate(w, "’", "'"))))
+    shown = F.zip_with(words, new, lambda w, n: F.when(n.isNull(), w).when((w == F.upper(w)) & (F.length(w) > 1), F.upper(n)).otherwise(F.initcap(n)))
+    text = F.array_join(F.zip_with(F.split(piece, LONE, -1), shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.struct(text.alias("text"), F.size(F.filter(new, lambda n: n.isNotNull())).alias("hits"))
+
+
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its text replaced and ``n_pii`` (mentions replaced) added.
 
+    In a text with titled names, every capitalised word that equals one of their parts (of
+    two letters or more) is a mention too and becomes what the part became there first.
     Null texts stay null, empty ones empty, both with 0 mentions. Repeated rows and texts
     get the same replacements. A replacement depends on ``key``, the entity and, only after
-    a collision, on the other entities of the corpus. A column named ``n_pii`` is replaced.
+    a collision, on the other entities of the corpus. A column named ``n_pii`` is replaced,
+    all others are kept.
     """
-    df = docs.drop("n_pii", "_mentions", "_digest")
-    mentions = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
-    marked = df.withColumn("_mentions", F.coalesce(mentions, F.array().cast("array<string>")))
-    hit = F.size("_mentions") > 0
-    some = marked.where(hit).withColumn("_digest", F.sha2(F.col(text), 256))
-    lines = some.select("_digest", F.posexplode("_mentions").alias("pos", "mention")).groupBy("_digest", "pos").agg(F.first("mention").alias("mention"))
+    df = docs.drop(*[c for c in docs.columns if c.lower() == "n_pii"])
+    kept = df.columns
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
+    mentions = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    marked = row.withColumn("mentions", F.coalesce(mentions, F.array().cast("array<string>")))
+    hit = F.size("mentions") > 0
+    some = marked.where(hit).withColumn("digest", F.sha2("text", 256))
+    lines = some.select("digest", F.posexplode("mentions").alias("pos", "mention")).groupBy("digest", "pos").agg(F.first("mention").alias("mention"))
     lines = lines.withColumn("kind", _kind(F.col("mention")))
-    lines = common.written(lines.select("_digest", "pos", "mention", "kind", F.posexplode(_norms(F.col("kind"), F.col("mention"))).alias("part", "norm")), "mentions")
-    drawn = surrogates(lines, key)
-    known = lines.join(drawn, ["kind", "norm"]).groupBy("_digest", "pos").agg(
+    lines = lines.select("digest", "pos", "mention", "kind", F.posexplode(_norms(F.col("kind"), F.col("mention"))).alias("part", "norm"))
+    lines = common.written(_gendered(lines), "mentions")
+    drawn = lines.join(surrogates(lines, key), ["kind", "norm"])
+    known = drawn.groupBy("digest", "pos").agg(
         F.first("kind").alias("kind"), F.first("mention").alias("mention"), F.array_sort(F.collect_list(F.struct("part", "surrogate")))["surrogate"].alias("parts"))
     known = known.withColumn("new", _render(F.col("kind"), F.col("mention"), F.col("parts")[0], F.col("parts")))
-    per_text = known.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"))
-    parts = F.split(F.col(text), PATTERN, -1)
-    fresh = F.array_join(F.zip_with(parts, F.col("_new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = some.join(per_text, "_digest").withColumn(text, fresh).withColumn("n_pii", F.size("_mentions").cast("long"))
-    names = [*df.columns, "n_pii"]
-    return marked.where(~hit).withColumn("n_pii", F.lit(0).cast("long")).select(*names).unionByName(changed.select(*names))
+    per_text = known.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("pos", "new")))["new"].alias("new"))
+    bare = drawn.where("kind = 'name'").select("digest", "pos", "part", F.substr("norm", F.lit(3)).alias("bare"), F.substr("surrogate", F.lit(3)).alias("becomes")).where("length(bare) > 1")
+    bare = bare.groupBy("digest", "bare").agg(F.min(F.struct("pos", "part", "becomes"))["becomes"].alias("becomes"))
+    names = bare.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("bare", "becomes"))).alias("names"))
+    pieces = F.split("text", PATTERN, -1)
+    plain = F.transform(pieces, lambda p: F.struct(p.alias("text"), F.lit(0).alias("hits")))
+    done = F.when(F.col("names").isNull(), plain).otherwise(F.transform(pieces, lambda p: _lone(p, F.col("names"))))
+    changed = some.join(per_text.join(names, "digest", "left"), "digest").withColumn("done", done)
+    fresh = F.array_join(F.zip_with(F.col("done.text"), F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    n = F.size("mentions") + F.aggregate("done.hits", F.lit(0), lambda a, x: a + x)
+    changed = changed.select("row", fresh.alias("text"), n.cast("long").alias("n_pii"))
+    out = marked.where(~hit).select("row", "text", F.lit(0).cast("long").alias("n_pii")).unionByName(changed)
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept], "n_pii")

@@ -121,6 +121,9 @@ CASES = {
     f"id {KEY} value Zx9Kq2Lm4Np6Rs8Tv0Wy1Ab3": ["access", "weak_secret"],
     f"id {KEY}\n\n{'word ' * 20}\n\nvalue Zx9Kq2Lm4Np6Rs8Tv0Wy1Ab3": ["access"],
     "see https://example.com/page for more": [],
+    "https://u:pw@db.example.com/x random " + "aB3dE5fG7h" * 4: ["weak_endpoint", "weak_identifier", "weak_secret", "weak_secret"],
+    "postgres://app:s3cret@db/x": ["weak_endpoint", "weak_identifier", "weak_secret"],
+    "see https://example.com/a:b@c for more": [],
     "url https://db.example.com/x user=admin password=hunter2hunter2": ["weak_endpoint", "weak_identifier", "assign"],
 }
 
@@ -143,6 +146,48 @@ def test_secret_groups_are_reported_whole():
     assert secrets.linked_spans(text, secrets.base_spans(text)) == []
 
 
+def brute_linked(text, reach):
+    """Every pair of parts compared, scope by scope."""
+    base = secrets.base_spans(text)
+    edges = [0, *[m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]]
+    scope = lambda at: max(i for i, e in enumerate(edges) if e <= at)
+    near = lambda a, b: scope(a[0]) == scope(b[0]) and abs(a[0] - b[0]) <= reach
+    free = lambda s: not any(s[0] < e and a < s[1] for a, e, _ in base)
+    ends = [(m.start(), m.end(), "weak_endpoint") for m in secrets.ENDPOINT.finditer(text)]
+    idents = [(m.start(), m.end(), "weak_identifier") for m in secrets.IDENTIFIER.finditer(text)]
+    out, own = set(), []
+    for e in ends:
+        if m := re.match(r"(?i)[a-z0-9+]+://([^\s\"'<>/?#@:]+):([^\s\"'<>/?#@]+)@", text[e[0]: e[1]]):
+            own.append(e)
+            idents.append((e[0] + m.start(1), e[0] + m.end(1), "weak_identifier"))
+            out.add((e[0] + m.start(2), e[0] + m.end(2), "weak_secret"))
+    weak = [(m.start(), m.end(), "weak_secret") for m in secrets.WEAK_SECRET.finditer(text)]
+    weak = [w for w in weak if free(w) and not any(a <= w[0] < z for a, z, _ in ends)]
+    strong, access = [b for b in base if b[2] != "access"], [b for b in base if b[2] == "access"]
+    out |= {w for w in weak if any(near(w, a) for a in access)} | {i for i in idents if any(near(i, s) for s in strong)}
+    out |= {e for e in ends if any(near(e, b) for b in base)}
+    for e in ends:
+        whose = [i for i in idents if near(e, i)]
+        theirs = [w for w in weak if near(e, w)]
+        if e in own or (whose and theirs):
+            out |= {e, *whose}
+        if whose and theirs:
+            out |= set(theirs)
+    return sorted(s for s in out if free(s))
+
+
+def test_secret_links_equal_brute_force():
+    rng = random.Random(9)
+    parts = ["https://a.example.com/x", "ftp://bob:pw12@h/", "client_id=abcd", "user: " + "n" * 90, KEY, "password=abcdefghij", "0f" * 20, "word", "Zx9Kq2Lm4Np6Rs8Tv0Wy1Ab3", "Qw7Er5Ty3Ui1Op9As7Df5Gh3", "lorem ipsum dolor"]
+    seen = 0
+    for _ in range(600):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", "\n", "\n\n", "\n \t\n"]) for _ in range(rng.randint(0, 14)))
+        got = secrets.linked_spans(text, secrets.base_spans(text), 60)
+        assert got == brute_linked(text, 60), text
+        seen += len(got)
+    assert seen > 500
+
+
 def test_secret_base_equals_plain_patterns():
     rng = random.Random(4)
     parts = ["password", "api_key", "apikey", "=", ":", " ", '"', "abcdef0123456789", "AKIA", "ABCD1234", "\n", "é", "token", "x", "ſecret=abcdefghi", "0f" * 16]
@@ -341,3 +386,28 @@ def test_queries_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pii_people_stay_one_person_in_a_text(spark, docs, corpus):
+    """Untitled and differently titled mentions, long addresses, clashing column names, very long texts."""
+    long_ = "a" * 70 + "@" + ".".join(["b1"] * 12) + ".example.com"
+    texts = [
+        "Mr John Smith called. Later Smith said hello; John agreed. SMITH's dog, Smithson and smith stay.", "Dr Smith met Mr Smith. Prof Lee and Smith", "Mr Smith and Mrs Smith; Dr Smith",
+        f"write to {long_} now, x@host.com.12 too", "Smith John without title", "Mr Lee " + "word Lee " * 30_000, "Mr O'Brien; O’Brien's and Brien",
+    ]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, _mentions int, _digest int")
+    got = {r.doc_id: r for r in pii.replace(df, "k").collect()}
+    assert set(got[0].asDict()) == {"doc_id", "text", "_mentions", "_digest", "n_pii"}
+    w = "[A-Z][a-z]+"
+    john, smith, a, b, c = re.fullmatch(f"Mr ({w}) ({w}) called\\. Later ({w}) said hello; ({w}) agreed\\. ([A-Z]+)'s dog, Smithson and smith stay\\.", got[0].text).groups()
+    assert a == smith and b == john and c == smith.upper() and got[0].n_pii == 4 and {john, smith} & {"John", "Smith"} == set()
+    d, m, lee, lone = re.fullmatch(f"Dr ({w}) met Mr ({w})\\. Prof ({w}) and ({w})", got[1].text).groups()
+    assert d == m == lone != lee and m.endswith("n")
+    m, f, n = re.fullmatch(f"Mr ({w}) and Mrs ({w}); Dr ({w})", got[2].text).groups()
+    assert m == smith and f.endswith("a") and n.endswith("r")
+    assert "a" * 70 not in got[3].text and "x@host.com" not in got[3].text and got[3].n_pii == 2 and got[3].text.endswith(".12 too")
+    assert got[4].text == texts[4] and got[4].n_pii == 0
+    assert "Lee" not in got[5].text and got[5].n_pii == 30_001
+    assert "Brien" in got[6].text and got[6].text.count("Brien") == 1 and got[6].n_pii == 2
+    same = pii.replace(docs, "k").collect()
+    assert len(same) == len(corpus) and {"fixed", "kept", "score", "n_words"} <= set(same[0].asDict())
