@@ -1,8 +1,9 @@
 """Feature selection, walk-forward training, calibration and stacking on MLlib
 (ids D26-D29, D34-D37, E31, E32, F13, F14, I1-I9, I13).
 
-Models train on all executors through MLlib; the driver only sees metrics, importances
-and parameters (a few values per model).
+Models train on all executors, boosted trees and forests through MLlib, leaf-wise trees
+through ``leafwise``; the driver only sees metrics, importances and parameters (a few values
+per model).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,9 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,24 +29,25 @@ from pyspark.sql import functions as F
 from equityspark.functions import rules
 from equityspark.functions.core import ratio
 from equityspark.functions.quantiles import exact_quantiles
+from equityspark.operators import isotonic, leafwise
 from equityspark.session import cut_lineage
 
 LABEL, TARGET = "direction_5d", "forward_5d_return"
 GATE_FLOOR = 0.526
-GRID = 10_000  # steps of the probability grid for calibration
 
-# Default settings per model family (two boosted-tree families).
+# Default settings per model family (boosted level-wise, boosted leaf-wise, forest).
 DEFAULTS: dict[str, dict] = {
-    "boosted": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8},
-    "boosted_wide": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 20},
+    "boosted": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "validationTol": 0.0},
+    "boosted_wide": {"n_trees": 200, "max_leaves": 31, "max_depth": 6, "learning_rate": 0.1, "min_rows": 20, "patience": 20},
     "random_forest": {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5},
 }
 # Search bounds (low, high) per tunable setting.
 SEARCH: dict[str, dict[str, tuple[float, float]]] = {
     "boosted": {"maxIter": (100, 500), "maxDepth": (3, 8), "stepSize": (0.01, 0.3), "minInstancesPerNode": (1, 10)},
-    "boosted_wide": {"maxIter": (100, 500), "maxDepth": (3, 8), "minInstancesPerNode": (10, 100), "subsamplingRate": (0.5, 1.0)},
+    "boosted_wide": {"max_leaves": (20, 150), "min_rows": (10, 100), "l2": (0.0, 10.0)},
     "random_forest": {"numTrees": (100, 500), "maxDepth": (5, 20), "minInstancesPerNode": (2, 20)},
 }
+ROUNDS = {"boosted": "maxIter", "boosted_wide": "n_trees", "random_forest": "numTrees"}  # what a trial is cut to in an early rung
 
 
 # Columns ------------------------------------------------------------------------
@@ -235,9 +240,82 @@ def _params(family: str, params: dict | None) -> dict:
     return {**DEFAULTS[family], **(params or {})}
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores by key: a small frame is read as one partition, which one task would fit."""
+    keys = [c for c in ("ticker", "date") if c in df.columns]
+    return df.repartition(int(df.sparkSession.sparkContext.defaultParallelism), *keys) if keys else df
+
+
+class LeafwiseModel:
+    """Leaf-wise trees behind the interface of an MLlib model."""
+
+    def __init__(self, model: leafwise.Model):
+        self.model = model
+
+    @property
+    def featureImportances(self):  # noqa: N802 - the name MLlib uses
+        shares = self.model.importances()
+        return Vectors.dense([shares[f] for f in self.model.features])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = leafwise.predict(df, vector_to_array("features"), {"_value": self.model})
+        p = F.col("_value")
+        if self.model.spec.objective == "logistic":
+            out = out.withColumns({"probability": array_to_vector(F.array(1.0 - p, p)), "prediction": (p > 0.5).cast("double")})
+        else:
+            out = out.withColumn("prediction", p)
+        return out.drop("_value")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        m = self.model
+        trees = [{k: v.tolist() for k, v in t.items()} for t in m.trees[: m.best]]
+        body = {"spec": vars(m.spec), "features": m.features, "edges": m.edges.tolist(), "base": m.base, "trees": trees, "gains": m.gains.tolist()}
+        spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LeafwiseModel:
+        body = json.loads(spark.read.text(path).first()[0])
+        trees = [{k: np.array(v) for k, v in t.items()} for t in body["trees"]]
+        return cls(leafwise.Model(leafwise.Spec(**body["spec"]), body["features"], np.array(body["edges"]), body["base"], trees, gains=np.array(body["gains"]), best=len(trees)))
+
+
+def save_model(spark: SparkSession, model: Model | LeafwiseModel, path: str) -> None:
+    model.save(spark, path) if isinstance(model, LeafwiseModel) else model.write().overwrite().save(path)
+
+
+def _fit_leafwise(frames: list[DataFrame], features: list[str], settings: list[dict], target: str, objective: str) -> list[LeafwiseModel]:
+    """One model per frame of (ticker, date, features, target, part), all grown in step; ``part`` is 1 for
+    training rows and 2 for those that stop the growth."""
+    if len(frames) > 1:
+        keys = ["ticker", "date"]
+        wide = frames[0].select(*keys, *features, target, F.col("part").alias("_r0"))
+        for i, f in enumerate(frames[1:], 1):
+            right = f.select(*keys, *[F.col(c).alias(f"_f_{c}") for c in [*features, target]], F.col("part").alias(f"_r{i}"))
+            wide = wide.join(right, keys, "full").withColumns({c: F.coalesce(c, f"_f_{c}") for c in [*features, target]}).drop(*[f"_f_{c}" for c in [*features, target]])
+    else:
+        keys = [c for c in ("ticker", "date") if c in frames[0].columns]
+        wide = frames[0].withColumn("_r0", F.col("part"))
+    roles = [f"_r{i}" for i in range(len(frames))]
+    wide = wide.fillna(0, roles)
+    edges = leafwise.bin_edges(wide, features)
+    specs = [leafwise.Spec(role=i, objective=objective, **s) for i, s in enumerate(settings)]
+    packed = leafwise.blocks(wide, features, target, roles, edges, keys or features, len(specs))
+    return [LeafwiseModel(m) for m in leafwise.train(packed, specs, features, edges, n_roles=len(roles))]
+
+
+def _parts(train: DataFrame) -> DataFrame:
+    """``part`` 1 or 2 (the latest fifth of the rows) for training with early stopping."""
+    if "date" not in train.columns:
+        return train.withColumn("part", F.lit(1))
+    return early_stop_flag(train).withColumn("part", F.when(F.col("is_validation"), 2).otherwise(1)).drop("is_validation")
+
+
 def train_classifier(train: DataFrame, features: list[str], family: str = "boosted", params: dict | None = None, label: str = LABEL) -> Model:
-    """Direction classifier; classes are weighted, boosted trees stop early on the last fifth."""
+    """Direction classifier; boosted trees stop early on the last fifth, forest and level-wise trees weight the classes."""
     settings = _params(family, params)
+    if family == "boosted_wide":
+        return _fit_leafwise([_parts(train)], features, [settings], label, "logistic")[0]
+    train = _spread(train)
     counts = class_balance(train, label).first()
     neg, pos = counts["negatives"], counts["positives"]
     if family == "random_forest":
@@ -257,6 +335,9 @@ def train_classifier(train: DataFrame, features: list[str], family: str = "boost
 
 def train_regressor(train: DataFrame, features: list[str], family: str = "boosted", params: dict | None = None, target: str = TARGET) -> Model:
     settings = _params(family, params)
+    if family == "boosted_wide":
+        return _fit_leafwise([_parts(train)], features, [settings], target, "squared")[0]
+    train = _spread(train)
     common = dict(labelCol=target, featuresCol="features", seed=42)
     if family == "random_forest":
         return RandomForestRegressor(**common, **settings).fit(_vectors(train, features))
@@ -271,56 +352,115 @@ def p_up() -> Column:
     return vector_to_array(F.col("probability"))[1]
 
 
-def walk_forward_validation(df: DataFrame, features: list[str], family: str = "boosted", n_splits: int = 3, params: dict | None = None) -> DataFrame:
-    """(fold, n, accuracy, precision, recall, f1): fit on each fold's past, score its future."""
-    base = cut_lineage(walk_forward(df.select("ticker", "date", LABEL, *features), n_splits))
+def fold_models(base: DataFrame, features: list[str], family: str, n_splits: int, params: dict | None = None) -> list[Model | LeafwiseModel]:
+    """One classifier per fold of a ``walk_forward`` table, fitted on the fold's past."""
+    parts = [base.where((F.col("fold") == fold) & (F.col("role") == "train")).drop("fold", "role") for fold in range(n_splits)]
+    if family == "boosted_wide":
+        return _fit_leafwise([_parts(p) for p in parts], features, [_params(family, params)] * n_splits, LABEL, "logistic")
+    return [train_classifier(p, features, family, params) for p in parts]
+
+
+def fold_scores(base: DataFrame, features: list[str], family: str, n_splits: int, params: dict | None = None) -> DataFrame:
+    """(ticker, date, label, fold, prediction, p_up) of the validation rows, each scored by a model of its past."""
     out = None
-    for fold in range(n_splits):
-        part = base.where(F.col("fold") == fold)
-        model = train_classifier(part.where("role = 'train'").drop("fold", "role"), features, family, params)
-        scored = model.transform(_vectors(part.where("role = 'validation'"), features))
-        m = classification_metrics(scored, LABEL, "prediction", ["fold"])
-        out = m if out is None else out.unionByName(m)
+    for fold, model in enumerate(fold_models(base, features, family, n_splits, params)):
+        held = base.where((F.col("fold") == fold) & (F.col("role") == "validation"))
+        one = model.transform(_vectors(held, features)).select("ticker", "date", LABEL, "fold", "prediction", p_up().alias("p_up"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def walk_forward_validation(df: DataFrame, features: list[str], family: str = "boosted", n_splits: int = 3, params: dict | None = None) -> DataFrame:
+    """(fold, accuracy, precision, recall, f1): fit on each fold's past, score its future."""
+    base = cut_lineage(_spread(walk_forward(df.select("ticker", "date", LABEL, *features), n_splits)))
+    return classification_metrics(fold_scores(base, features, family, n_splits, params), LABEL, "prediction", ["fold"])
+
+
 # What the search falls back to when most trials fail.
 TUNER_FALLBACK = {
     "boosted": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1},
-    "random_forest": {"numTrees": 100, "maxDepth": 6},
-    "boosted_wide": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1},
+    "boosted_wide": {"max_leaves": 31, "min_rows": 20},
+    "random_forest": {"numTrees": 100, "maxDepth": 10},
 }
 
 
+def _drawn(rng: random.Random, space: dict[str, tuple[float, float]]) -> dict:
+    whole = lambda k, lo, hi: float(lo).is_integer() and float(hi).is_integer() and k not in ("subsamplingRate", "l2")
+    return {k: rng.randint(int(lo), int(hi)) if whole(k, lo, hi) else rng.uniform(lo, hi) for k, (lo, hi) in space.items()}
+
+
+def _rung_leafwise(base: DataFrame, features: list[str], n_splits: int, trials: dict[int, dict], at_once: int) -> dict[int, float]:
+    """Mean fold accuracy per trial; folds and trials grow in step, ``at_once`` models at a time."""
+    keys = ["ticker", "date"]
+    roles = [F.max(F.when(F.col("fold") == f, F.when(F.col("role") == "train", 1).otherwise(2))).alias(f"_r{f}") for f in range(n_splits)]
+    wide = base.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in [*features, LABEL]], *roles).fillna(0, [f"_r{f}" for f in range(n_splits)])
+    edges = leafwise.bin_edges(wide, features)
+    step = max(1, at_once // n_splits)
+    numbers, out = list(trials), {}
+    packed = leafwise.blocks(wide, features, LABEL, [f"_r{f}" for f in range(n_splits)], edges, keys, step * n_splits)
+    for a in range(0, len(numbers), step):
+        some = numbers[a: a + step]
+        specs = [leafwise.Spec(role=f, **{**_params("boosted_wide", trials[n]), "patience": None}) for n in some for f in range(n_splits)]
+        models = leafwise.train(packed, specs, features, edges, n_roles=n_splits)
+        hits = leafwise.accuracies(packed, models, len(features), n_splits)
+        for i, n in enumerate(some):
+            out[n] = float(np.mean(hits[i * n_splits: (i + 1) * n_splits]))
+    return out
+
+
+def _rung_mllib(base: DataFrame, features: list[str], family: str, n_splits: int, trials: dict[int, dict], at_once: int) -> dict[int, float | str]:
+    """Mean fold accuracy per trial, or the message of its failure; at most ``at_once`` trials run at a time."""
+    def one(number: int):
+        try:
+            scored = fold_scores(base, features, family, n_splits, trials[number])
+            return float(classification_metrics(scored, LABEL, "prediction", ["fold"]).agg(F.avg("accuracy")).first()[0])
+        except Exception as exc:  # noqa: BLE001 - a failed trial is a result, with its message
+            return f"{type(exc).__name__}: {exc}"[:500]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(trials, pool.map(one, trials), strict=True))
+
+
 def tune(
     df: DataFrame, features: list[str], family: str = "boosted", n_trials: int = 50, n_splits: int = 5, seed: int = 42,
-    bounds: dict[str, tuple[float, float]] | None = None,
+    bounds: dict[str, tuple[float, float]] | None = None, rungs: tuple[float, ...] = (1 / 16, 1 / 4, 1.0), eta: int = 4, at_once: int | None = None, most_rounds: int | None = None,
 ) -> tuple[dict, DataFrame]:
-    """Seeded random search with time-ordered folds: (best parameters, trial table).
+    """Seeded search by successive halving over time-ordered folds: (best parameters, trial table).
 
-    A failing trial is a row with a null value; more than half failing gives the defaults.
-    The trial table has one row per trial.
+    All trials are drawn first and run on one shared fold table with a share ``rungs[0]`` of their
+    rounds (trees, at least one); the best of ``eta`` go on to the next share. A trial that stays behind is
+    PRUNED with its last value and share, one that reaches the last rung COMPLETE, one that fails
+    FAIL with its message; more than half failing gives the fallback. ``most_rounds`` bounds the rounds of
+    the last rung. The trial table has one row per trial; ties go to the earlier trial.
     """
-    space = bounds or SEARCH[family]
     rng = random.Random(seed)
-    rows = []
-    for number in range(n_trials):
-        params = {
-            k: rng.randint(int(lo), int(hi)) if float(lo).is_integer() and float(hi).is_integer() and k != "subsamplingRate" else rng.uniform(lo, hi)
-            for k, (lo, hi) in space.items()
-        }
-        try:
-            folds = walk_forward_validation(df, features, family, n_splits, params)
-            value, state = float(folds.agg(F.avg("accuracy")).first()[0]), "COMPLETE"
-            error = None
-        except Exception as exc:  # noqa: BLE001 - a failed trial is a result, with its message
-            value, state, error = None, "FAIL", f"{type(exc).__name__}: {exc}"[:500]
-        rows.append((number, json.dumps(params, sort_keys=True), value, state, error))
-    trials = df.sparkSession.createDataFrame(rows, "trial_number int, params string, value double, state string, error string")
-    done = [r for r in rows if r[2] is not None]
-    if len(done) * 2 < len(rows) or not done:
+    drawn = {n: _drawn(rng, bounds or SEARCH[family]) for n in range(n_trials)}
+    base = cut_lineage(_spread(walk_forward(df.select("ticker", "date", LABEL, *features), n_splits)))
+    key, rows, alive = ROUNDS[family], {}, list(drawn)
+    for i, share in enumerate(rungs):
+        full = lambda n: min(_params(family, drawn[n])[key], most_rounds or 10**9)
+        trials = {n: {**drawn[n], key: max(1, round(full(n) * share))} for n in alive}
+        if family == "boosted_wide":
+            try:
+                got: dict = _rung_leafwise(base, features, n_splits, trials, at_once or 40)
+            except Exception as exc:  # noqa: BLE001 - trials of a rung share their passes and so their failure
+                got = dict.fromkeys(trials, f"{type(exc).__name__}: {exc}"[:500])
+        else:
+            got = _rung_mllib(base, features, family, n_splits, trials, at_once or 4)
+        for n, value in got.items():
+            failed = isinstance(value, str)
+            rows[n] = (n, json.dumps(drawn[n], sort_keys=True), None if failed else value, "FAIL" if failed else "COMPLETE" if i + 1 == len(rungs) else "PRUNED", trials[n][key], value if failed else None)
+        ranked = sorted((n for n in alive if rows[n][3] != "FAIL"), key=lambda n: (-rows[n][2], n))
+        alive = ranked[: max(1, -(-len(ranked) // eta))]
+        if not alive:
+            break
+    table = [rows[n] for n in sorted(rows)]
+    trials = df.sparkSession.createDataFrame(table, "trial_number int, params string, value double, state string, rounds int, error string")
+    done = [r for r in table if r[3] != "FAIL"]
+    last = [r for r in done if r[3] == "COMPLETE"]
+    if len(done) * 2 < len(table) or not last:
         return dict(TUNER_FALLBACK[family]), trials
-    return json.loads(max(done, key=lambda r: r[2])[1]), trials
+    return json.loads(max(last, key=lambda r: (r[2], -r[0]))[1]), trials
 
 
 def predict(df: DataFrame, features: list[str], classifier: Model, regressor: Model, name: str) -> DataFrame:
@@ -363,8 +503,8 @@ def train_and_save(
     passed = [r["model"] for r in verdicts.where("passed").collect()]
     for family in passed:
         settings = (params or {}).get(family)
-        train_classifier(frame, features, family, settings).write().overwrite().save(f"{out_dir}/{family}/classifier")
-        train_regressor(frame, features, family, settings).write().overwrite().save(f"{out_dir}/{family}/regressor")
+        save_model(spark, train_classifier(frame, features, family, settings), f"{out_dir}/{family}/classifier")
+        save_model(spark, train_regressor(frame, features, family, settings), f"{out_dir}/{family}/regressor")
     if passed:
         kept = baseline.join(verdicts.where("passed").select("model"), "model", "left_anti")
         fresh = scores.where(F.col("model").isin(passed)).select("model", "accuracy")
@@ -373,26 +513,22 @@ def train_and_save(
 
 
 class Calibrator:
-    """Raw P(up) to calibrated P(up): isotonic, Platt, or identity when it cannot be fitted."""
+    """Raw P(up) to calibrated P(up): isotonic (exact, on all rows), Platt, or identity when it cannot be fitted."""
 
     def __init__(self, method: str = "isotonic"):
         self.method = method
-        self.model: Model | None = None
+        self.model: Model | DataFrame | None = None
 
     def fit(self, scored: DataFrame, probability: str = "p_up", label: str = LABEL) -> Calibrator:
-        """Probabilities are merged on a grid of ``GRID`` steps to weighted points first, so the
-        solver, which ends on one node, gets at most ``GRID`` + 1 of them per class."""
         counts = class_balance(scored, label).first()
         if counts["negatives"] + counts["positives"] < 100 or not counts["negatives"] or not counts["positives"]:
             self.model = None
             return self
         y = F.col(label).cast("double")
         if self.method == "isotonic":
-            points = scored.groupBy(F.round(F.col(probability) * GRID).alias("_g")).agg(F.avg(probability).alias("x"), F.avg(y).alias("y"), F.count("*").cast("double").alias("w"))
-            iso = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="_cal")
-            self.model = iso.fit(points)
+            self.model = isotonic.fit(scored.select(F.col(probability).alias("x"), y.alias("y")), "x", "y")
         else:
-            points = scored.groupBy(F.round(F.col(probability) * GRID).alias("_g"), y.alias("y")).agg(F.avg(probability).alias("x"), F.count("*").cast("double").alias("w"))
+            points = scored.groupBy(F.col(probability).alias("x"), y.alias("y")).agg(F.count("*").cast("double").alias("w"))
             lr = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", regParam=0.0, maxIter=1000)
             self.model = lr.fit(VectorAssembler(inputCols=["x"], outputCol="_x").transform(points))
         return self
@@ -404,8 +540,7 @@ class Calibrator:
         if self.model is None:
             return scored.withColumn(out, clip(F.col(probability)))
         if self.method == "isotonic":
-            res = self.model.transform(scored.withColumn("x", F.col(probability)))
-            return res.withColumn(out, clip(F.col("_cal"))).drop("x", "_cal")
+            return isotonic.predict(scored, probability, self.model, out).withColumn(out, clip(F.col(out)))
         keep = scored.columns
         res = self.model.transform(VectorAssembler(inputCols=[probability], outputCol="_x").transform(scored))
         return res.withColumn(out, clip(vector_to_array("probability")[1])).select(*keep, out)
@@ -413,15 +548,10 @@ class Calibrator:
 
 def out_of_fold(df: DataFrame, features: list[str], families: tuple[str, ...], n_splits: int = 5, params: dict[str, dict] | None = None) -> DataFrame:
     """(ticker, date, label, <family> P(up) per column): each row scored by models that only saw its past."""
-    base = cut_lineage(walk_forward(df.select("ticker", "date", LABEL, *features), n_splits))
+    base = cut_lineage(_spread(walk_forward(df.select("ticker", "date", LABEL, *features), n_splits)))
     per_family = None
     for family in families:
-        scored = None
-        for fold in range(n_splits):
-            part = base.where(F.col("fold") == fold)
-            model = train_classifier(part.where("role = 'train'").drop("fold", "role"), features, family, (params or {}).get(family))
-            one = model.transform(_vectors(part.where("role = 'validation'"), features)).select("ticker", "date", LABEL, p_up().alias(family))
-            scored = one if scored is None else scored.unionByName(one)
+        scored = fold_scores(base, features, family, n_splits, (params or {}).get(family)).select("ticker", "date", LABEL, F.col("p_up").alias(family))
         per_family = scored if per_family is None else per_family.join(scored.drop(LABEL), ["ticker", "date"])
     return per_family
 

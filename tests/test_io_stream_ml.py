@@ -172,7 +172,7 @@ def test_training_gate_and_prediction(spark, train_frame, tmp_path):
 
 
 def test_search_records_failures(train_frame):
-    best, trials = ml.tune(train_frame, F3, "random_forest", 2, 2, bounds={"numTrees": (2, 4), "maxDepth": (2, 3)})
+    best, trials = ml.tune(train_frame, F3, "random_forest", 2, 2, bounds={"numTrees": (2, 4), "maxDepth": (2, 3)}, rungs=(1.0,), eta=1)
     assert 2 <= best["numTrees"] <= 4 and trials.where("state = 'COMPLETE'").count() == 2
     best, trials = ml.tune(train_frame, F3, "random_forest", 1, 2, bounds={"maxDepth": (99, 99)})
     assert best == ml.TUNER_FALLBACK["random_forest"] and trials.first()["state"] == "FAIL"
