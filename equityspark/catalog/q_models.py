@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from equityspark.catalog import oracle
 from equityspark.catalog.q_features import model_frame
-from equityspark.catalog.registry import query
+from equityspark.catalog.registry import query, register
 from equityspark.catalog.util import keep, r, rounded
 from equityspark.functions import indicators as ind
-from equityspark.functions.core import ratio
+from equityspark.functions.core import latest_per
 from equityspark.operators import ensemble, features, labels, ml
 from equityspark.session import cut_lineage, scratch_folder
 from equityspark.sources import views
@@ -136,97 +136,241 @@ def f14(spark, d):
     return rounded(ml.best_model(ml.average_folds(fold_metrics(spark, d).drop("fold"), ["model"])))
 
 
-# Trained models: checked by rows only, small settings ------------------------------
+# Trained models: default settings, all families, held-out rows ----------------------
 FEATS = ["rsi_14", "macd_hist", "price_to_sma20", "price_to_sma50", "volume_ratio", "news_sentiment_score"]
-SMALL = {"boosted": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 10, "maxDepth": 5}, "boosted_wide": {"maxIter": 5, "maxDepth": 4}}
-FAMILIES = ("boosted", "random_forest")
+FAMILIES = tuple(ml.DEFAULTS)
+FOLDS = 5
+TRIALS, TRIAL_ROUNDS = 50, 16  # the search's trials, and the trees of its last rung
+_DONE: dict[tuple, object] = {}
+
+
+def _once(spark, d, name, make):
+    """Frames, fold tables and models that several queries of one application use are made once."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _DONE:
+        _DONE[key] = make()
+    return _DONE[key]
 
 
 def frame(spark, d):
-    return cut_lineage(model_frame(spark, d))
+    return _once(spark, d, "frame", lambda: cut_lineage(model_frame(spark, d)))
+
+
+def split(spark, d):
+    """(rows before, rows of) the latest fifth by date."""
+    flagged = _once(spark, d, "split", lambda: cut_lineage(ml.early_stop_flag(frame(spark, d), out="held_out")))
+    return flagged.where("NOT held_out").drop("held_out"), flagged.where("held_out").drop("held_out")
+
+
+def classifier(spark, d, family):
+    return _once(spark, d, f"classifier {family}", lambda: ml.train_classifier(split(spark, d)[0], FEATS, family))
+
+
+def fold_table(spark, d, family):
+    """Validation rows of five folds, each scored by a model of its past."""
+    def make():
+        base = cut_lineage(ml._spread(ml.walk_forward(frame(spark, d).select("ticker", "date", ml.LABEL, *FEATS), FOLDS)))
+        return cut_lineage(ml.fold_scores(base, FEATS, family, FOLDS))
+
+    return _once(spark, d, f"folds {family}", make)
+
+
+def union(parts):
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+oracle.define("model_days", """
+  SELECT date, coalesce(sum(c) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 0.8 * (SELECT count(*) FROM model_frame) AS held_out
+  FROM (SELECT date, count(*) AS c FROM model_frame GROUP BY date)""")
+oracle.define("held_out_rows", "SELECT m.* FROM model_frame m JOIN model_days f ON f.date = m.date WHERE f.held_out")
+oracle.define("model_folds", """
+  SELECT date, fold, CASE WHEN rk < s THEN 'train' WHEN rk < s + size THEN 'validation' END AS role FROM (
+    SELECT date, rk, unnest(range(5)) AS fold, n - (5 - unnest(range(5))) * (n // 6) AS s, n // 6 AS size FROM (
+      SELECT date, row_number() OVER (ORDER BY date) - 1 AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM model_frame))) WHERE rk < s + size""")
+MODELS = "(SELECT unnest(['" + "', '".join(FAMILIES) + "']) AS model)"
+
+
+def counts():
+    return [F.count("*").alias("n"), F.count_if(F.col(ml.LABEL) == 1).alias("positives")]
 
 
 @query("i01_direction_classifier")
 def i01(spark, d):
-    f = frame(spark, d)
-    out = None
-    for family in ml.DEFAULTS:
-        model = ml.train_classifier(f, FEATS, family, SMALL[family])
-        m = ml.classification_metrics(model.transform(ml._vectors(f, FEATS)), ml.LABEL, "prediction").withColumn("model", F.lit(family))
-        out = m if out is None else out.unionByName(m)
-    return rounded(out)
+    """Held-out metrics of the three families."""
+    held = split(spark, d)[1]
+    return rounded(union(ml.classification_metrics(classifier(spark, d, f).transform(ml._vectors(held, FEATS)), ml.LABEL, "prediction").withColumn("model", F.lit(f)) for f in FAMILIES))
+
+
+@query("i01_held_out_confusion", f"""SELECT model, n, positives, n AS counted, positives AS found_or_missed, true AS beats_coin FROM {MODELS},
+    (SELECT count(*) AS n, count(*) FILTER (direction_5d = 1) AS positives FROM held_out_rows)""")
+def i01_confusion(spark, d):
+    """The confusion counts of every family add up to the held-out rows, and it is better than chance there."""
+    held = split(spark, d)[1]
+
+    def one(f):
+        y, p = F.col(ml.LABEL) == 1, F.col("prediction") == 1
+        cells = [F.count_if(y & p).alias("tp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn")]
+        g = classifier(spark, d, f).transform(ml._vectors(held, FEATS)).agg(*counts(), *cells)
+        return g.select(F.lit(f).alias("model"), "n", "positives", (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("counted"),
+                        (F.col("tp") + F.col("fn")).alias("found_or_missed"), ((F.col("tp") + F.col("tn")) / F.col("n") > 0.5).alias("beats_coin"))
+
+    return union(one(f) for f in FAMILIES)
 
 
 @query("i02_return_regressor")
 def i02(spark, d):
-    f = frame(spark, d)
-    model = ml.train_regressor(f, FEATS, "random_forest", SMALL["random_forest"])
-    return rounded(ml.regression_metrics(model.transform(ml._vectors(f, FEATS)), ml.TARGET, "prediction"))
+    train, held = split(spark, d)
+    models = {f: _once(spark, d, f"regressor {f}", lambda f=f: ml.train_regressor(train, FEATS, f)) for f in FAMILIES}
+    return rounded(union(ml.regression_metrics(m.transform(ml._vectors(held, FEATS)), ml.TARGET, "prediction").withColumn("model", F.lit(f)) for f, m in models.items()))
+
+
+def fold_metrics_of(spark, d, family):
+    return ml.classification_metrics(fold_table(spark, d, family), ml.LABEL, "prediction", ["fold"]).withColumn("model", F.lit(family))
+
+
+for _family in FAMILIES:
+    register(f"i03_walk_forward_{_family}", lambda spark, d, f=_family: rounded(fold_metrics_of(spark, d, f)))
 
 
 @query("i03_walk_forward_validation")
 def i03(spark, d):
-    return rounded(ml.walk_forward_validation(frame(spark, d), FEATS, "random_forest", 3, SMALL["random_forest"]))
+    return rounded(union(fold_metrics_of(spark, d, f) for f in FAMILIES))
+
+
+@query("i03_fold_rows", f"""SELECT model, CAST(fold AS INTEGER) AS fold, n, positives FROM {MODELS}, (SELECT fold, count(*) AS n, count(*) FILTER (direction_5d = 1) AS positives
+    FROM model_frame m JOIN model_folds f ON f.date = m.date WHERE role = 'validation' GROUP BY fold)""")
+def i03_rows(spark, d):
+    """Every validation row is scored once per family, by a model that did not see it."""
+    return union(fold_table(spark, d, f).groupBy("fold").agg(*counts()).withColumn("model", F.lit(f)) for f in FAMILIES).select("model", "fold", "n", "positives")
+
+
+def search(spark, d):
+    return _once(spark, d, "search", lambda: ml.tune(frame(spark, d), FEATS, "boosted_wide", TRIALS, FOLDS, most_rounds=TRIAL_ROUNDS))
 
 
 @query("i04_hyperparameter_search")
 def i04(spark, d):
-    bounds = {"numTrees": (3, 8), "maxDepth": (2, 4), "minInstancesPerNode": (2, 20)}
-    return ml.tune(frame(spark, d), FEATS, "random_forest", n_trials=2, n_splits=2, bounds=bounds)[1]
+    return search(spark, d)[1]
+
+
+@query("i04_search_rungs", "SELECT * FROM (VALUES (1, 'PRUNED', 37), (4, 'PRUNED', 9), (16, 'COMPLETE', 4)) t(rounds, state, trials)")
+def i04_rungs(spark, d):
+    """Fifty trials, a quarter of which goes on at each rung."""
+    return search(spark, d)[1].groupBy("rounds", "state").agg(F.count("*").cast("int").alias("trials"))
 
 
 @query("i05_select_features")
 def i05(spark, d):
     f = select_frame(spark, d).join(labels.forward_labels(views.bars(spark, d)).select("ticker", "date", ml.LABEL), ["ticker", "date"])
-    names = ml.select_features(cut_lineage(f), SEL, top_n=5, rounds=3)
+    names = _once(spark, d, "selected", lambda: ml.select_features(cut_lineage(f), SEL, top_n=5))
     return spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "rank int, feature string")
 
 
+def importances(spark, d):
+    return union(ml.importance_table(spark, classifier(spark, d, f), FEATS).withColumn("model", F.lit(f)) for f in FAMILIES)
+
+
 @query("i06_feature_importances")
 def i06(spark, d):
-    model = ml.train_classifier(frame(spark, d), FEATS, "random_forest", SMALL["random_forest"])
-    return rounded(ml.importance_table(spark, model, FEATS))
+    return rounded(importances(spark, d))
+
+
+@query("i06_importance_sums", f"SELECT model, 6 AS features, 1.0::DOUBLE AS total, true AS all_positive FROM {MODELS}")
+def i06_sums(spark, d):
+    total = F.round(F.sum("importance"), 6).alias("total")
+    return importances(spark, d).groupBy("model").agg(F.count_distinct("feature").cast("int").alias("features"), total, F.min(F.col("importance") >= 0).alias("all_positive"))
 
 
 @query("f13_top_features")
 def f13(spark, d):
-    model = ml.train_classifier(frame(spark, d), FEATS, "random_forest", SMALL["random_forest"])
-    return rounded(spark.createDataFrame(ml.top_importances(model, FEATS, 3), "feature string, importance double"))
+    return rounded(spark.createDataFrame(ml.top_importances(classifier(spark, d, "random_forest"), FEATS, 3), "feature string, importance double"))
+
+
+def trained(spark, d):
+    """(verdicts, folder) of the training job over all families."""
+    def make():
+        out = scratch_folder(spark, "models")
+        folds = union(ml.average_folds(ml.classification_metrics(fold_table(spark, d, f), ml.LABEL, "prediction", ["fold"]).drop("fold"), []).withColumn("model", F.lit(f)) for f in FAMILIES)
+        return ml.train_and_save(frame(spark, d), FEATS, out, FAMILIES, FOLDS, validated=cut_lineage(folds)), out
+
+    return _once(spark, d, "trained", make)
 
 
 @query("i07_train_and_save")
 def i07(spark, d):
-    out = scratch_folder(spark, "models")
-    return rounded(ml.train_and_save(frame(spark, d), FEATS, out, FAMILIES, 2, SMALL))
+    return rounded(trained(spark, d)[0])
+
+
+def newest_rows(spark, d):
+    """Inference features of every ticker's newest row."""
+    b = views.bars(spark, d)
+    flat = ind.indicator_table(b)
+    last = latest_per(flat, ["ticker"], "date", [c for c in flat.columns if c != "ticker"]).withColumn("news_sentiment_score", F.lit(features.SENTIMENT_DEFAULTS["news_sentiment_score"]))
+    return features.inference_features(last, FEATS).join(last.select("ticker", "date"), "ticker")
 
 
 def model_predictions(spark, d):
+    """Predictions of the leaf-wise models, fitted on all labelled rows, for the newest rows."""
     f = frame(spark, d)
-    c = ml.train_classifier(f, FEATS, "random_forest", SMALL["random_forest"])
-    g = ml.train_regressor(f, FEATS, "random_forest", SMALL["random_forest"])
-    return ml.predict(f, FEATS, c, g, "random_forest"), f
+    c = _once(spark, d, "final classifier", lambda: ml.train_classifier(f, FEATS, "boosted_wide"))
+    g = _once(spark, d, "final regressor", lambda: ml.train_regressor(f, FEATS, "boosted_wide"))
+    return ml.predict(newest_rows(spark, d), FEATS, c, g, "boosted_wide")
 
 
 @query("i08_batch_predictions")
 def i08(spark, d):
-    return rounded(model_predictions(spark, d)[0])
+    return rounded(model_predictions(spark, d))
+
+
+@query("i08_newest_rows", "SELECT ticker, max(date) AS date, true AS consistent FROM bars GROUP BY ticker")
+def i08_rows(spark, d):
+    """One prediction per ticker, for its newest bar; class, confidence and probability agree."""
+    p = model_predictions(spark, d)
+    side = F.when(F.col("p_up") > 0.5, "bullish").otherwise("bearish")
+    agree = (F.col("direction") == side) & (F.abs(F.col("confidence") - 100 * F.greatest("p_up", 1 - F.col("p_up"))) < 1e-9) & F.col("expected_return").isNotNull()
+    return p.select("ticker", "date", agree.alias("consistent"))
 
 
 @query("i09_calibrated_probabilities")
 def i09(spark, d):
-    p, f = model_predictions(spark, d)
-    both = p.join(f.select("ticker", "date", ml.LABEL), ["ticker", "date"])
+    """Out-of-fold probabilities of the forest, calibrated both ways."""
+    both = fold_table(spark, d, "random_forest").select("ticker", "date", ml.LABEL, "p_up")
     iso = ml.Calibrator("isotonic").fit(both).transform(both, out="isotonic")
     return rounded(ml.Calibrator("platt").fit(both).transform(iso, out="platt").select("ticker", "date", "p_up", "isotonic", "platt"))
 
 
-@query("i13_stacking")
-def i13(spark, d):
-    f = frame(spark, d)
-    oof = cut_lineage(ml.out_of_fold(f, FEATS, FAMILIES, 3, SMALL))
-    meta = ml.fit_stacking(oof, FAMILIES)
+@query("i09_calibration_balance", """SELECT count(*) AS n, count(*) FILTER (direction_5d = 1) AS positives, count(*) FILTER (direction_5d = 1) AS expected
+    FROM model_frame m JOIN model_folds f ON f.date = m.date WHERE role = 'validation'""")
+def i09_balance(spark, d):
+    """Isotonic regression keeps the total: its probabilities add up to the number of positives."""
+    both = fold_table(spark, d, "random_forest").select("ticker", "date", ml.LABEL, "p_up")
+    iso = ml.Calibrator("isotonic").fit(both)
+    return iso.transform(both, out="isotonic").agg(*counts(), F.round(F.sum("isotonic")).cast("long").alias("expected"))
+
+
+def stacked(spark, d):
+    oof = None
+    for f in FAMILIES:
+        one = fold_table(spark, d, f).select("ticker", "date", ml.LABEL, F.col("p_up").alias(f))
+        oof = one if oof is None else oof.join(one.drop(ml.LABEL), ["ticker", "date"])
+    oof = cut_lineage(oof)
+    meta = _once(spark, d, "meta", lambda: ml.fit_stacking(oof, FAMILIES))
     long = oof.select("ticker", "date", F.explode(F.array(*[F.struct(F.lit(x).alias("model"), F.col(x).alias("p")) for x in FAMILIES])).alias("m")).select("ticker", "date", "m.*")
     up = F.col("p") > 0.5
     preds = long.select("ticker", "date", "model", F.when(up, "bullish").otherwise("bearish").alias("direction"),
                         (F.greatest("p", 1 - F.col("p")) * 100).alias("confidence"), ((F.col("p") - 0.5) * 10).alias("expected_return"))
-    return rounded(ensemble.stacked(preds, ml.stacking_probability(meta, oof, FAMILIES)))
+    return ensemble.stacked(preds, ml.stacking_probability(meta, oof, FAMILIES))
+
+
+@query("i13_stacking")
+def i13(spark, d):
+    return rounded(stacked(spark, d))
+
+
+@query("i13_stacked_rows", "SELECT m.ticker, m.date FROM model_frame m JOIN model_folds f ON f.date = m.date WHERE role = 'validation'")
+def i13_rows(spark, d):
+    """One stacked prediction for each row that all families scored out of fold."""
+    return stacked(spark, d).select("ticker", "date")

@@ -39,7 +39,7 @@ GATE_FLOOR = 0.526
 DEFAULTS: dict[str, dict] = {
     "boosted": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "validationTol": 0.0},
     "boosted_wide": {"n_trees": 200, "max_leaves": 31, "max_depth": 6, "learning_rate": 0.1, "min_rows": 20, "patience": 20},
-    "random_forest": {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5},
+    "random_forest": {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, "maxMemoryInMB": 1024},
 }
 # Search bounds (low, high) per tunable setting.
 SEARCH: dict[str, dict[str, tuple[float, float]]] = {
@@ -477,16 +477,17 @@ def predict(df: DataFrame, features: list[str], classifier: Model, regressor: Mo
 
 def train_and_save(
     df: DataFrame, features: list[str], out_dir: str, families: tuple[str, ...] = ("boosted", "random_forest", "boosted_wide"),
-    n_splits: int = 3, params: dict[str, dict] | None = None,
+    n_splits: int = 3, params: dict[str, dict] | None = None, validated: DataFrame | None = None,
 ) -> DataFrame:
     """Validate, gate against the stored metadata, retrain on everything, save.
 
-    A family that fails its gate saves nothing. Returns (model, accuracy, baseline, passed).
+    A family that fails its gate saves nothing. ``validated`` (model, accuracy, ...) takes the place of
+    the validation if it was done before. Returns (model, accuracy, baseline, passed).
     """
     spark = df.sparkSession
     frame = cut_lineage(df.select("ticker", "date", LABEL, TARGET, *features))
-    scores = None
-    for family in families:
+    scores = None if validated is None else validated.where(F.col("model").isin(*families))
+    for family in families if validated is None else ():
         folds = walk_forward_validation(frame, features, family, n_splits, (params or {}).get(family))
         one = average_folds(folds.drop("fold"), []).withColumn("model", F.lit(family))
         scores = one if scores is None else scores.unionByName(one)
