@@ -161,7 +161,15 @@ def h33(spark, d):
     return j.select("ticker", stock_record.summary_line("2024-01-31").alias("line"))
 
 
-@query("h28_record_text")
+_LINES = ", ".join(f"'- {label}: ' || coalesce(CAST({c} AS VARCHAR), 'N/A')" for label, c in (
+    ("P/E Ratio", "pe_ratio"), ("PEG Ratio", "peg_ratio"), ("Price to Book", "price_to_book"), ("Profit Margin", "profit_margin"),
+    ("ROE", "roe"), ("Debt to Equity", "debt_to_equity"), ("Current Ratio", "current_ratio")))
+
+
+@query("h28_record_text", f"""SELECT i.ticker, concat_ws(chr(10), 'Stock Analysis Data for ' || i.ticker, '- Name: ' || name, '- Sector: ' || sector, '- Industry: ' || industry, printf('- Price: $%.2f', p),
+    '- Market Cap: $' || format('{{:,}}', CAST(round(market_cap) AS BIGINT)), printf('- Period Change: %.2f%%', c), printf('- Period High: $%.2f', hi), printf('- Period Low: $%.2f', lo), {_LINES}) AS text
+  FROM instrument i JOIN (SELECT ticker, arg_max(close, date) AS p, (arg_max(close, date) - arg_min(close, date)) / arg_min(close, date) * 100 AS c, max(high) AS hi, min(low) AS lo FROM bars GROUP BY ticker) b ON b.ticker = i.ticker
+  LEFT JOIN fundamentals f ON f.ticker = i.ticker""")
 def h28_record(spark, d):
     j = views.instrument(spark, d).join(stock_record.period_summary(views.bars(spark, d)), "ticker").join(views.fundamentals(spark, d), "ticker", "left")
     return j.select("ticker", stock_record.record_text().alias("text"))
@@ -172,3 +180,18 @@ def h28_signal(spark, d):
     from equityspark.catalog.q_screens import technical
 
     return technical(spark, d).select("ticker", stock_record.indicator_text().alias("indicators"), stock_record.signal_text().alias("signal"))
+
+
+@query("h28_medium_text", """SELECT m.ticker, concat_ws(chr(10), m.ticker || ' Analysis Summary' || chr(10), printf('Price: $%.2f', price), 'Technical Signal: ' || upper(coalesce(t.direction, 'neutral')),
+    printf('Fundamental Score: %.0f/100', coalesce(m.fundamental_score, 50.0)), printf('RSI: %.1f', coalesce(m.rsi, 50.0)) || chr(10),
+    CASE WHEN lower(t.direction) = 'bullish' AND coalesce(m.fundamental_score, 50) > 60 THEN 'Strong buy candidate with positive technical and fundamental signals.'
+      WHEN lower(t.direction) = 'bearish' OR coalesce(m.fundamental_score, 50) < 40 THEN 'Caution advised. Weak technical or fundamental indicators.'
+      ELSE 'Mixed signals. Further analysis recommended.' END) AS text
+  FROM medium_scored m LEFT JOIN tech_signal t ON t.ticker = m.ticker""")
+def h28_medium(spark, d):
+    from equityspark.catalog.q_screens import metrics, technical
+    from equityspark.operators import scoring
+    from equityspark.plans import funnel
+
+    m = funnel.medium_scores(funnel.quick_scores(metrics(spark, d)), technical(spark, d), scoring.fundamental_table(views.fundamentals(spark, d)))
+    return m.select("ticker", stock_record.medium_text().alias("text"))

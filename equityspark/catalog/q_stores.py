@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from equityspark.catalog.q_backtest import ENS_COLS, drift_features, trades
+from equityspark.catalog.q_backtest import ENS_COLS, accuracy, drift_features, trades
 from equityspark.catalog.registry import ORACLE, query
 from equityspark.catalog.util import keep, rounded
 from equityspark.operators import drift, ensemble, memory, text
@@ -181,7 +181,7 @@ def a14_lines(spark, d):
 
 @query("l05_strategy_by_name", ORACLE["i10_voting"])
 def l05(spark, d):
-    """The strategy chosen by its name gives what the strategy itself gives."""
+    """The strategy chosen by its name gives what the strategy itself gives; so do the other names below."""
     return keep(ensemble.combine(views.predictions(spark, d), "voting"), *ENS_COLS, "n_agree", "bullish_pct")
 
 
@@ -216,3 +216,18 @@ def a17_versioned(spark, d):
     reports.append(a.where("doc_id % 3 = 0"))
     reports.append_new(spark.read.schema(a.schema).json(backup))
     return reports.read().select("doc_id", "ticker", "ts", "date", "summary")
+
+
+@query("l05_averaging_by_name", ORACLE["i11_averaging"])
+def l05_averaging(spark, d):
+    return keep(ensemble.combine(views.predictions(spark, d), "averaging"), *ENS_COLS)
+
+
+@query("l05_unanimous_by_name", ORACLE["i12_unanimous"])
+def l05_unanimous(spark, d):
+    return keep(ensemble.combine(views.predictions(spark, d), "unanimous"), *ENS_COLS, "unanimous")
+
+
+@query("l05_weighted_by_name", ORACLE["i14_dynamic_weighting"])
+def l05_weighted(spark, d):
+    return keep(ensemble.combine(views.predictions(spark, d), "dynamic_weighting", ensemble.rolling_weights(accuracy(spark, d))), *ENS_COLS)

@@ -55,10 +55,10 @@ def news_around(days: DataFrame, news: DataFrame, window_days: int = 3, n: int =
     near = near.withColumn("gap_seconds", gap).where(F.col("gap_seconds") <= window_days * 86400)
     keys = days.select("ticker", "date").distinct()
     inside = near.join(keys, ["ticker", "date"], "left_semi")
-    total = inside.groupBy("ticker", "date").agg(F.count("*").alias("n_articles"))
-    top = top_n(inside, ["ticker", "date"], [F.asc("gap_seconds"), F.asc("article_id")], n, "rank")
-    titles = news.select("ticker", "article_id", "title")
-    return top.join(total, ["ticker", "date"]).join(titles, ["ticker", "article_id"])
+    week = Window.partitionBy("ticker", "date")
+    rank = F.row_number().over(week.orderBy("gap_seconds", "article_id"))
+    top = inside.withColumns({"rank": rank, "n_articles": F.count("*").over(week)}).where(F.col("rank") <= n)
+    return top.join(news.select("ticker", "article_id", "title"), ["ticker", "article_id"])
 
 
 def news_on_trading_days(news: DataFrame, bars: DataFrame) -> DataFrame:
