@@ -44,16 +44,22 @@ def add_volatility(df: DataFrame) -> DataFrame:
     return out.withColumn("volatility_regime", regime).drop("_lr")
 
 
-def add_relative_strength(df: DataFrame, benchmark: str = "SPY", n: int = 20) -> DataFrame:
+def benchmark_returns(df: DataFrame, benchmark: str = "SPY", n: int = 20) -> DataFrame:
+    """(date, _bench): the benchmark's n-row return; one row per date."""
+    own = df.where(F.col("ticker") == benchmark)
+    return own.select("date", ind.lag_return(F.col("close"), n).alias("_bench"))
+
+
+def add_relative_strength(df: DataFrame, benchmark: str = "SPY", n: int = 20, bench: DataFrame | None = None) -> DataFrame:
     """n-row return over the benchmark's return on the same date.
 
-    The benchmark side has one row per date, so broadcasting it is bounded by the
-    calendar. Without a benchmark in the data the column is null.
+    The benchmark side (``bench`` if it is known from a narrower frame) has one row per date, so
+    broadcasting it is bounded by the calendar. Without a benchmark in the data the column is null.
     """
     out = df.withColumn("_ret", ind.lag_return(F.col("close"), n))
-    bench = out.where(F.col("ticker") == benchmark).select("date", F.col("_ret").alias("_bench"))
+    side = benchmark_returns(df, benchmark, n) if bench is None else bench
     return (
-        out.join(F.broadcast(bench), "date", "left")
+        out.join(F.broadcast(side), "date", "left")
         .withColumn("rs_vs_benchmark_20d", ratio(F.col("_ret"), F.col("_bench")))
         .drop("_ret", "_bench")
     )

@@ -19,26 +19,34 @@ def valid_bars(bars: DataFrame) -> DataFrame:
     return bars.where(is_valid_bar())
 
 
-def with_z_score(bars: DataFrame) -> DataFrame:
-    """Adds ``z_score`` of the per-ticker change against all changes of all tickers.
-
-    Mean and deviation are one aggregated row, broadcast; an unpartitioned window
-    would have pulled every bar to one task.
-    """
+def _with_change(bars: DataFrame) -> DataFrame:
     prev = F.lag("close").over(series())
-    changed = bars.withColumn("price_change", ratio(F.col("close") - prev, prev))
-    stats = changed.agg(
+    return bars.withColumn("price_change", ratio(F.col("close") - prev, prev))
+
+
+def change_stats(bars: DataFrame) -> DataFrame:
+    """One row: mean, deviation and number of the per-ticker changes of all tickers."""
+    return _with_change(bars).agg(
         F.avg("price_change").alias("_mean"), F.stddev_samp("price_change").alias("_std"), F.count("*").alias("_rows")
     )
+
+
+def with_z_score(bars: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Adds ``z_score`` of the per-ticker change against all changes of all tickers.
+
+    Mean and deviation are one aggregated row (``stats`` if they are known from a narrower
+    frame of the same rows), broadcast; an unpartitioned window would have pulled every bar to one task.
+    """
     usable = (F.col("_rows") > 10) & (F.col("_std") > 0)
     z = F.when(usable, ratio(F.col("price_change") - F.col("_mean"), F.col("_std")))
-    return attach_row(changed, stats).withColumn("z_score", z).drop("_mean", "_std", "_rows")
+    out = attach_row(_with_change(bars), change_stats(bars) if stats is None else stats)
+    return out.withColumn("z_score", z).drop("_mean", "_std", "_rows")
 
 
-def drop_outliers(bars: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
+def drop_outliers(bars: DataFrame, limit: float = Z_LIMIT, stats: DataFrame | None = None) -> DataFrame:
     """Rows with |z| above the limit are dropped, rows without a z-score are kept."""
     keep = F.coalesce(F.abs("z_score") <= limit, F.lit(True))
-    return with_z_score(bars).where(keep).drop("price_change", "z_score")
+    return with_z_score(bars, stats).where(keep).drop("price_change", "z_score")
 
 
 def quality_counters(bars: DataFrame, limit: float = Z_LIMIT) -> DataFrame:

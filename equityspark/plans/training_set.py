@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equityspark.functions import indicators as ind
+from equityspark.functions.core import series
 from equityspark.operators import features, labels, quality
-from equityspark.session import materialize
 from equityspark.sources import readers, sinks
 
 
@@ -18,27 +18,36 @@ def assemble(
     """Bars to the full training frame for all tickers.
 
     Indicators and labels are computed on the bars' own window, which equals joining the
-    stored indicator and label tables on (ticker, date) but needs no join: everything up
-    to the outlier filter runs on one exchange by ticker. Rows without a 20-row label are
-    dropped, then invalid and outlying rows; lag, volatility, strength, calendar and band
-    features look at the remaining rows.
+    stored indicator and label tables on (ticker, date) but needs no join: everything runs on
+    one exchange by ticker and nothing is written. Rows without a 20-row label are dropped,
+    then invalid and outlying rows; lag, volatility, strength, calendar and band features look
+    at the remaining rows. What the outlier filter and the relative strength must know
+    beforehand (one row of statistics, the benchmark's returns) comes from bars alone.
     """
+    price = ["ticker", "date", "open", "high", "low", "close", "volume"]
+    stats = quality.change_stats(_kept_bars(bars.select(*price), start, end))
+    own = quality.drop_outliers(_kept_bars(bars.select(*price).where(F.col("ticker") == benchmark), start, end), z_limit, stats)
     out = ind.indicator_table(labels.add_forward_labels(bars, drop_tail=False))
     out = out.where(F.col(f"forward_{max(labels.FORWARD_PERIODS)}d_return").isNotNull())
     out = out.join(info, "ticker", "left")
     if sentiment is not None:
         out = out.join(sentiment, ["ticker", "date"], "left")
     out = readers.date_range(out, start, end)
-    # three later passes read this frame: the z statistics, the rows and the benchmark's rows
-    out = materialize(quality.valid_bars(out), "training")
-    out = quality.drop_outliers(out, z_limit)
+    out = quality.drop_outliers(quality.valid_bars(out), z_limit, stats)
     out = features.add_lags(out)
     out = features.add_volatility(out)
-    out = features.add_relative_strength(out, benchmark)
+    out = features.add_relative_strength(out, benchmark, bench=features.benchmark_returns(own, benchmark))
     out = features.add_calendar(out)
     return features.add_bands(out)
 
 
+def _kept_bars(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Valid bars that have the longest forward label, inside the range: the rows the outlier filter sees."""
+    ahead = F.lead("close", max(labels.FORWARD_PERIODS)).over(series())
+    out = bars.withColumn("_ahead", ahead).where(F.col("_ahead").isNotNull()).drop("_ahead")
+    return quality.valid_bars(readers.date_range(out, start, end))
+
+
 def summary(bars: DataFrame) -> DataFrame:
     """Store summary: tickers, rows, first and last date."""
     return bars.agg(
