@@ -97,7 +97,7 @@ class VersionedTable:
         gone = self._union(state["deletes"], StructType([schema[c] for c in by]))
         gone = gone.groupBy(*by).agg(F.max("_seq").alias("_gone"))  # a delete acts on rows written before it
         return rows.join(gone.withColumnsRenamed({c: f"_d_{c}" for c in by}),
-                         [F.col(c) == F.col(f"_d_{c}") for c in by] + [F.col("_seq") < F.col("_gone")], "left_anti")
+                         [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in by] + [F.col("_seq") < F.col("_gone")], "left_anti")
 
     # Changes -----------------------------------------------------------------------
     def append(self, df: DataFrame) -> int:

@@ -116,18 +116,22 @@ def test_third_family_behind_the_common_interface(spark, frame, tmp_path):
 
 
 def test_successive_halving(frame):
-    best, trials = ml.tune(frame, F3, "boosted_wide", n_trials=9, n_splits=3, rungs=(0.1, 0.5, 1.0), eta=3, at_once=12, most_rounds=6)
+    run = lambda at_once: ml.tune(frame, F3, "boosted_wide", n_trials=6, n_splits=2, rungs=(0.25, 0.5, 1.0), eta=3, at_once=at_once, most_rounds=4)
+    best, trials = run(12)
     t = {r["trial_number"]: r for r in trials.collect()}
-    assert len(t) == 9 and sorted(r["rounds"] for r in t.values()) == [1] * 6 + [3] * 2 + [6]
-    assert [r["state"] for r in t.values()].count("PRUNED") == 8 and all(0 <= r["value"] <= 1 for r in t.values())
+    assert len(t) == 6 and sorted(r["rounds"] for r in t.values()) == [1] * 4 + [2] + [4]
+    assert [r["state"] for r in t.values()].count("PRUNED") == 5 and all(0 <= r["value"] <= 1 for r in t.values())
     assert set(best) == set(ml.SEARCH["boosted_wide"])
-    again = ml.tune(frame, F3, "boosted_wide", n_trials=9, n_splits=3, rungs=(0.1, 0.5, 1.0), eta=3, at_once=3, most_rounds=6)
+    again = run(4)
     assert again[0] == best and sorted(map(str, again[1].collect())) == sorted(map(str, t.values()))
-    _, trials = ml.tune(frame, F3, "random_forest", n_trials=4, n_splits=2, bounds={"numTrees": (4, 8), "maxDepth": (2, 3)}, rungs=(0.5, 1.0), eta=2)
-    assert sorted(r["state"] for r in trials.collect()) == ["COMPLETE", "COMPLETE", "PRUNED", "PRUNED"]
     assert ml.TUNER_FALLBACK["random_forest"]["maxDepth"] == 10
 
 
+def test_halving_of_an_mllib_family(frame):
+    _, trials = ml.tune(frame, F3, "random_forest", n_trials=2, n_splits=2, bounds={"numTrees": (2, 3), "maxDepth": (2, 2)}, rungs=(0.5, 1.0), eta=2)
+    assert sorted(r["state"] for r in trials.collect()) == ["COMPLETE", "PRUNED"]
+
+
 # ---- isotonic ------------------------------------------------------------
 def plain_pav(x, y):
     order = np.argsort(x, kind="stable")
