@@ -142,14 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Ru
 
     ``fit_rows`` bounds the labelled rows used, and so what is broadcast and collected. The
     labelled texts are written first: their statistics alone are computed, not the corpus's.
-    Of rows that repeat an id, and of labels that do, one stays (the smaller text, the worse label).
+    Of rows that repeat an id, and of labels that do, one stays (the smaller statistics, the worse label).
     """
     some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "bad").agg(F.min("text").alias("text"))
-    seen = counts(common.written(own, "labelled"))
+    seen = counts(common.written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "labelled"))
     named = rates()
-    got = seen.select("doc_id", "bad", base_failed().alias("failed"), *[c.alias(n) for n, c in named.items()]).toArrow().to_pylist()
+    stats = F.struct(base_failed().alias("failed"), *[c.alias(n) for n, c in named.items()])
+    got = seen.groupBy("doc_id", "bad").agg(F.min(stats).alias("s")).select("doc_id", "bad", "s.*").toArrow().to_pylist()
     rows = sorted((r for r in got if not r.pop("failed")), key=lambda r: (hash((r["doc_id"], 7)), r["doc_id"], r["bad"]))
     return learn(rows, list(named))
 
