@@ -235,13 +235,23 @@ def _gendered(lines: DataFrame) -> DataFrame:
     return both.withColumn("norm", norm).drop("_m", "_f")
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a lambda variable that holds ``value``: worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lone(piece: Column, names: Column) -> Column:
     """(text, hits) of a piece between mentions, its lone names replaced by what the text's name parts became."""
+    become = lambda w: F.element_at(names, F.lower(F.translate(w, "’", "'")))
+    shown = lambda w, n: F.when(n.isNull(), w).when((w == F.upper(w)) & (F.length(w) > 1), F.upper(n)).otherwise(F.initcap(n))
+
+    def rendered(words: Column, new: Column) -> Column:
+        found = F.size(F.filter(new, lambda n: n.isNotNull()))
+        between = F.zip_with(F.split(piece, LONE, -1), F.zip_with(words, new, shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.struct(F.when(found > 0, F.array_join(between, "")).otherwise(piece).alias("text"), found.alias("hits"))
+
     words = F.regexp_extract_all(piece, F.lit(LONE), F.lit(0))
-    new = F.transform(words, lambda w: F.element_at(names, F.lower(F.translate(w, "’", "'"))))
-    shown = F.zip_with(words, new, lambda w, n: F.when(n.isNull(), w).when((w == F.upper(w)) & (F.length(w) > 1), F.upper(n)).otherwise(F.initcap(n)))
-    text = F.array_join(F.zip_with(F.split(piece, LONE, -1), shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.struct(text.alias("text"), F.size(F.filter(new, lambda n: n.isNotNull())).alias("hits"))
+    return _bound(words, lambda w: _bound(F.transform(w, become), lambda n: rendered(w, n)))
 
 
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
