@@ -240,10 +240,18 @@ def _params(family: str, params: dict | None) -> dict:
     return {**DEFAULTS[family], **(params or {})}
 
 
+ROWS_EACH = 50_000
+FITS_AT_ONCE = 4  # models of the folds that are fitted at the same time
+
+
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores by key: a small frame is read as one partition, which one task would fit."""
+    """Rows dealt by key into partitions of about ``ROWS_EACH``, at most one per core: a forest's node statistics
+    are made once per partition, so few rows in many partitions cost more than they save."""
     keys = [c for c in ("ticker", "date") if c in df.columns]
-    return df.repartition(int(df.sparkSession.sparkContext.defaultParallelism), *keys) if keys else df
+    if not keys:
+        return df
+    parts = min(int(df.sparkSession.sparkContext.defaultParallelism), max(1, -(-df.count() // ROWS_EACH)))
+    return df.repartition(parts, *keys)
 
 
 class LeafwiseModel:
@@ -357,7 +365,8 @@ def fold_models(base: DataFrame, features: list[str], family: str, n_splits: int
     parts = [base.where((F.col("fold") == fold) & (F.col("role") == "train")).drop("fold", "role") for fold in range(n_splits)]
     if family == "boosted_wide":
         return _fit_leafwise([_parts(p) for p in parts], features, [_params(family, params)] * n_splits, LABEL, "logistic")
-    return [train_classifier(p, features, family, params) for p in parts]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda p: train_classifier(p, features, family, params), parts))
 
 
 def fold_scores(base: DataFrame, features: list[str], family: str, n_splits: int, params: dict | None = None) -> DataFrame:
