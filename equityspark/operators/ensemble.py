@@ -146,10 +146,13 @@ def normalised_weights(predictions: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def dynamic_weighting(predictions: DataFrame, weights: DataFrame) -> DataFrame:
-    """Means weighted by recent accuracy; unknown models weigh 1, all-zero weights are equal."""
+    """Means weighted by recent accuracy; unknown models weigh 1, all-zero weights are equal.
+
+    The weights have one row per model and are broadcast: a shuffle by model would give each model's rows to one task.
+    """
     c = F.col
     ok = c("direction").isNotNull()
-    p = predictions.join(weights, "model", "left").withColumn("w", F.when(ok, F.coalesce("weight", F.lit(1.0))))
+    p = predictions.join(F.broadcast(weights), "model", "left").withColumn("w", F.when(ok, F.coalesce("weight", F.lit(1.0))))
     bull, bear = F.lower("direction") == "bullish", F.lower("direction") == "bearish"
     one = F.when(ok, F.lit(1.0))
 

@@ -187,3 +187,57 @@ def test_quantiles_leave_nan_out(spark):
 
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", float("nan"))], "key string, value double")
     assert exact_quantiles(df, [0.0, 0.5, 1.0]).first()["quantiles"] == [1.0, 2.0, 3.0]
+
+
+def test_equity_curve_fills_calendar_days_after_the_product(spark):
+    import datetime as dt
+
+    from equityspark.operators import backtest
+
+    day = dt.date
+    rows = [("A", day(2024, 1, 3), 10.0), ("A", day(2024, 1, 3), -50.0), ("A", day(2024, 1, 1), 20.0), ("A", day(2024, 2, 1), 7.0),
+            ("B", day(2024, 1, 5), None), ("C", day(2023, 12, 1), 4.0), (None, day(2024, 1, 2), 9.0)]
+    trades = spark.createDataFrame(rows, "ticker string, exit_date date, net_return_pct double")
+
+    def curve(tickers=None):
+        out = backtest.equity_curve(trades, "2024-01-01", "2024-01-05", tickers)
+        return out, {(r["ticker"], r["date"].day): r["equity"] for r in out.collect()}
+
+    out, got = curve()
+    want = {"A": [120.0, 120.0, 66.0, 66.0, 66.0], "B": [100.0] * 5, "C": [100.0] * 5, None: [100.0] * 5}
+    assert set(got) == {(t, i) for t in want for i in range(1, 6)} and out.count() == 20
+    assert all(abs(got[t, i] - w[i - 1]) < 1e-9 for t, w in want.items() for i in range(1, 6))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate explode") < plan.index("Window")  # days come last
+    _, listed = curve(spark.createDataFrame([("A",), ("D",)], "ticker string"))
+    assert {t for t, _ in listed} == {"A", "D"} and listed["D", 3] == 100.0 and abs(listed["A", 5] - 66.0) < 1e-9
+
+
+def test_weights_are_sent_to_the_rows_and_regimes_read_the_series_once(spark):
+    from equityspark.operators import ensemble, features
+
+    p = spark.createDataFrame([("A", 1, "m", "bullish", 60.0, 1.0), ("A", 1, "n", "bearish", 70.0, -1.0)], "ticker string, date int, model string, direction string, confidence double, expected_return double")
+    w = spark.createDataFrame([("m", 0.7)], "model string, weight double")
+    out = ensemble.dynamic_weighting(p, w)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
+    assert out.first()["direction"] == "bearish"  # the unknown model weighs 1
+    bars = spark.createDataFrame([("A", i, 100.0 + i % 7) for i in range(80)] + [(None, 1, 1.0)], "ticker string, date int, close double")
+    g = features.regime_inputs(bars)
+    assert "Join" not in g._jdf.queryExecution().optimizedPlan().toString()
+    assert g.count() == 80 and g.select("med_vol", "med_dev").distinct().count() == 1
+
+
+def test_a_tier_reads_the_kept_tickers_only(spark):
+    from equityspark.plans import funnel
+
+    bars = spark.createDataFrame([(f"T{i}", d, float(i)) for i in range(40) for d in range(3)], "ticker string, date int, close double")
+    newest = bars.groupBy("ticker").agg(F.max_by("close", "date").alias("v"))
+    quick = newest.select("ticker", F.col("v").alias("score"), F.lit("neutral").alias("signal"))
+    technical = newest.select("ticker", F.lit("BULLISH").alias("direction"), F.lit(10).alias("signal_score"))
+    fundamental = newest.select("ticker", F.lit(50.0).alias("fundamental_score"))
+    sentiment = newest.select("ticker", F.lit(60.0).alias("news_sentiment_score"))
+    out = funnel.tiered(quick, technical, fundamental, sentiment, 4, 3, 2)
+    got = [(r["tier"], r["ticker"]) for r in out.collect()]
+    assert sorted(got) == sorted([("quick", f"T{i}") for i in (36, 37, 38, 39)] + [("medium", f"T{i}") for i in (37, 38, 39)] + [("deep", "T37"), ("deep", "T38")])
+    plan = funnel._only(technical, quick.where("ticker = 'T5'"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("T5")  # the names filter the rows below the aggregation
