@@ -170,19 +170,28 @@ def equity_curve(trades: DataFrame, start: str, end: str, tickers: DataFrame | N
 
     Exits are first reduced to one factor per (ticker, date); a ticker's curve has one
     row per calendar day. Tickers without trades stay flat when ``tickers`` lists them.
+    The product runs over the exit days and the first day only; the days up to the next
+    exit are filled in last, so no calendar row is shuffled or sorted.
     """
-    who = (tickers if tickers is not None else trades).select("ticker").distinct()
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    days = who.select("ticker", F.explode(F.sequence(first, last)).alias("date"))
-    factors = (
-        trades.where(F.col("exit_date").between(first, last))
-        .groupBy("ticker", F.col("exit_date").alias("date"))
-        .agg(F.product(1.0 + _r() / 100.0).alias("factor"))
-    )
+    sold = F.when(F.col("ticker").isNotNull() & F.col("exit_date").between(first, last), F.col("exit_date"))
+    begin = F.struct(first.alias("date"), F.lit(None).cast("double").alias("factor"))
+    point = F.struct(sold.alias("date"), (1.0 + _r() / 100.0).alias("factor"))
+    if tickers is None:
+        steps = trades.select("ticker", F.inline(F.array(begin, point)))  # the trades are read once
+    else:
+        who = tickers.select("ticker").distinct()
+        steps = trades.join(who, "ticker", "left_semi").select("ticker", F.inline(F.array(point)))
+        steps = steps.unionByName(who.select("ticker", F.inline(F.array(begin))))
+    steps = steps.where(F.col("date").isNotNull())
+    factors = steps.groupBy("ticker", "date").agg(F.product("factor").alias("factor"))
     run = series().rowsBetween(Window.unboundedPreceding, 0)
-    return days.join(factors, ["ticker", "date"], "left").select(
-        "ticker", "date", (F.product(F.coalesce("factor", F.lit(1.0))).over(run) * 100.0).alias("equity")
+    curve = factors.select(
+        "ticker", "date", (F.product(F.coalesce("factor", F.lit(1.0))).over(run) * 100.0).alias("equity"),
+        F.lead("date").over(series()).alias("_next"),
     )
+    days = F.sequence(F.col("date"), F.coalesce(F.date_sub("_next", 1), last))
+    return curve.select("ticker", F.explode(days).alias("date"), "equity")
 
 
 def equity_metrics(curve: DataFrame) -> DataFrame:
