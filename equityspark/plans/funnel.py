@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from equityspark.functions import rules
 from equityspark.functions.core import clamp
+from equityspark.session import cut_lineage
 
 
 def quick_scores(metrics: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -29,6 +30,11 @@ def medium_scores(quick: DataFrame, technical: DataFrame, fundamental: DataFrame
     )
 
 
+def _only(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of the tickers in ``kept``, which is a top-k."""
+    return df.where(F.col("ticker").isin([r["ticker"] for r in kept.select("ticker").collect()]))
+
+
 def tiered(
     quick: DataFrame, technical: DataFrame, fundamental: DataFrame, sentiment: DataFrame,
     quick_top: int = 20, medium_top: int = 10, deep_top: int = 5,
@@ -37,11 +43,13 @@ def tiered(
 
     Each tier only scores what the tier before it kept, and every cut is a top-k.
     The deep score joins the three signals: technical (rescaled to 0-100), fundamental
-    and news sentiment, equally weighted.
+    and news sentiment, equally weighted. The rows a tier keeps are written and their few
+    names become a filter, which Spark moves below the series windows of the next tier's inputs.
     """
-    ranked = quick.where(F.col("signal") != "error").orderBy(F.desc("score"), "ticker").limit(quick_top)
-    medium = medium_scores(ranked, technical, fundamental).orderBy(F.desc("medium_score"), "ticker").limit(medium_top)
-    s = sentiment.select("ticker", F.col("news_sentiment_score").alias("_sent"))
+    ranked = cut_lineage(quick.where(F.col("signal") != "error").orderBy(F.desc("score"), "ticker").limit(quick_top))
+    medium = medium_scores(ranked, _only(technical, ranked), _only(fundamental, ranked))
+    medium = cut_lineage(medium.orderBy(F.desc("medium_score"), "ticker").limit(medium_top))
+    s = _only(sentiment, medium).select("ticker", F.col("news_sentiment_score").alias("_sent"))
     deep = medium.join(s, "ticker", "left").withColumn(
         "deep_score",
         clamp(
