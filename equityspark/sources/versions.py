@@ -3,9 +3,12 @@
 A change writes new folders first (rows, or keys that are deleted) and then one small manifest
 file; readers follow the newest manifest, so a write that stops half-way leaves the old
 version readable, and of two writers that start from the same version one fails. A delete or
-a replacement writes the keys concerned, with the partition their rows lie in, and no data:
-rows are dropped on reading by an anti-join on partition and key, until ``compact`` folds
-the deletes in.
+a replacement writes the keys concerned and no data: rows are dropped on reading by an
+anti-join on the keys, until ``compact`` folds the deletes in.
+
+The rows of a folder are dealt by ranges of (partition, keys) and sorted, so a filter on the
+partition skips files and row groups by their statistics, and the number of files follows the
+bytes written and not the number of partition values.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 class VersionedTable:
-    """Rows of one schema under ``path``; ``keys`` identify what is deleted or replaced, ``partition`` prunes."""
+    """Rows of one schema under ``path``; ``keys`` identify what is deleted or replaced, ``partition`` orders the files and prunes."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], partition: str):
         self.spark, self.path, self.keys, self.partition = spark, path.rstrip("/"), keys, partition
@@ -66,11 +69,10 @@ class VersionedTable:
             raise VersionConflict(f"version {version} of {self.path} exists")
         return version
 
-    def _stage(self, df: DataFrame, sort: bool = True) -> str:
+    def _stage(self, df: DataFrame) -> str:
         folder = f"{DATA}/{uuid.uuid4().hex}"
-        rows = df.repartition(self.partition, *self.keys) if sort else df
-        rows = rows.sortWithinPartitions(self.partition, *self.keys) if sort else rows
-        rows.write.partitionBy(self.partition).parquet(f"{self.path}/{folder}")
+        by = [c for c in dict.fromkeys([self.partition, *self.keys]) if c in df.columns]
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{self.path}/{folder}")
         return folder
 
     # Reading -----------------------------------------------------------------------
@@ -93,11 +95,10 @@ class VersionedTable:
         rows = self._union(state["data"], schema)
         if not state["deletes"]:
             return rows
-        by = [self.partition, *[k for k in self.keys if k != self.partition]]
-        gone = self._union(state["deletes"], StructType([schema[c] for c in by]))
-        gone = gone.groupBy(*by).agg(F.max("_seq").alias("_gone"))  # a delete acts on rows written before it
-        return rows.join(gone.withColumnsRenamed({c: f"_d_{c}" for c in by}),
-                         [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in by] + [F.col("_seq") < F.col("_gone")], "left_anti")
+        gone = self._union(state["deletes"], StructType([schema[c] for c in self.keys]))
+        gone = gone.groupBy(*self.keys).agg(F.max("_seq").alias("_gone"))  # a delete acts on rows written before it
+        return rows.join(gone.withColumnsRenamed({c: f"_d_{c}" for c in self.keys}),
+                         [F.col(c) == F.col(f"_d_{c}") for c in self.keys] + [F.col("_seq") < F.col("_gone")], "left_anti")
 
     # Changes -----------------------------------------------------------------------
     def append(self, df: DataFrame) -> int:
@@ -108,10 +109,8 @@ class VersionedTable:
         return df if state["schema"] is None else df.select(*StructType.fromJson(state["schema"]).names)
 
     def _marks(self, state: dict, keys: DataFrame) -> str:
-        """Stage the (partition, key) pairs under which live rows have one of ``keys``."""
-        by = [self.partition, *[k for k in self.keys if k != self.partition]]
-        hit = self._live(state).select(*by).join(keys.select(*self.keys).distinct(), self.keys, "left_semi").distinct()
-        return self._stage(hit, sort=False)
+        """Stage those of ``keys`` that live rows have."""
+        return self._stage(self._live(state).select(*self.keys).join(keys.select(*self.keys).distinct(), self.keys, "left_semi").distinct())
 
     def delete(self, keys: DataFrame) -> int:
         """Delete all rows with one of ``keys``; writes no data file."""

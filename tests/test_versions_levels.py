@@ -82,6 +82,17 @@ def test_second_writer_from_the_same_version_fails(spark, table):
     assert ids(table.read()) == [*range(20), 30]
 
 
+def test_files_do_not_follow_the_partition_values(spark, tmp_path):
+    many = [(i, f"T{i % 3}", None if i == 7 else dt.date(2024, 1, 1) + dt.timedelta(days=i % 60), 1.0) for i in range(240)]
+    t = VersionedTable(spark, str(tmp_path / "t"), ["doc_id"], "date")
+    t.append(spark.createDataFrame(many, SCHEMA))
+    t.delete(spark.createDataFrame([(i,) for i in range(0, 240, 2)], "doc_id long"))
+    t.compact()
+    assert len(data_files(t.path)) <= 3 * 4  # three folders of the session's four partitions, not one file a date
+    got = {(r["doc_id"], r["ticker"], r["date"], r["x"]) for r in t.read().collect()}
+    assert got == {r for r in many if r[0] % 2} and t.read().columns == ["doc_id", "ticker", "date", "x"]
+
+
 # ---- levels --------------------------------------------------------------
 CHANGES = "ticker string, date date, v long, ts timestamp"
 
