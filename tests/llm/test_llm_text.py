@@ -290,3 +290,19 @@ def test_queries_digests(spark, corpus):
         ids = enc.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_survey_keeps_one_packed_text_per_set(spark):
+    import zstandard
+
+    from equityspark.llm import jaccard
+
+    long = "a b c d e f g h"
+    docs = spark.createDataFrame([(1, long), (2, long.upper()), (3, "x y"), (4, None), (5, " ")], "doc_id long, text string").coalesce(1)
+    rows = jaccard._survey(docs, 5).where("n <= 0").collect()
+    packed = [r for r in rows if r["body"] is not None]
+    assert [zstandard.ZstdDecompressor().decompress(bytes(r["body"])).decode() for r in sorted(packed, key=lambda r: r["doc_id"])] == [long, "x y"]
+    # whole sets are compared from the packed texts alone
+    pairs = spark.createDataFrame([(packed[0]["item"], packed[0]["item"]), (packed[0]["item"], packed[1]["item"])], "a long, b long")
+    sets = spark.createDataFrame([(r["item"], r["body"]) for r in packed], "item long, body binary")
+    assert [tuple(r) for r in jaccard.verify(pairs, sets, 5, 80).collect()] == [(packed[0]["item"], packed[0]["item"])]
