@@ -51,3 +51,17 @@ def test_keys_beyond_their_digits_are_an_error(spark):
         readers.packed_order([(F.col("id"), 18), (F.col("id"), 18), (F.col("id"), 3)])
     wide = spark.createDataFrame([(10**17, 10**17 + 1, 99)], "a long, b long, c long").select(readers.packed_order([(F.col(c), d) for c, d in (("a", 18), ("b", 18), ("c", 2))]).alias("o"))
     assert int(wide.first()["o"]) == (10**17 * 10**18 + 10**17 + 1) * 100 + 99
+
+
+def test_partitions_of_series_follow_the_trades(spark, tmp_path, monkeypatch):
+    rows = [(i % 20, f"2024-01-{1 + i % 9:02d}", 100.0 + i, 2.0, i, 1, i) for i in range(600)]
+    names = "l_suppkey long, l_shipdate string, l_extendedprice double, l_quantity double, l_orderkey long, l_linenumber int, l_partkey long"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = sorted(map(tuple, views.bars(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(views, "SERIES_ROWS", 50)
+    many = views.bars(spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 12  # 600 trades, 50 each; the session has four shuffle partitions
+    assert sorted(map(tuple, many.collect())) == few and few
+    # one ticker lies in one partition, so series windows need no exchange of their own
+    where = many.select("ticker", F.spark_partition_id().alias("p")).distinct()
+    assert where.count() == where.select("ticker").distinct().count()
