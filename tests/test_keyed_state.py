@@ -78,3 +78,44 @@ def test_reactions_fire_once_per_occasion(spark, tmp_path):
             q = keyed_state.reactions(s, "risk", dt.timedelta(hours=2)).writeStream.format("parquet").option("path", f"{root}/out")
             q.option("checkpointLocation", f"{root}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["ticker"], r["event_id"]) for r in spark.read.parquet(f"{root}/out").collect()) == [("A", 1), ("A", 5), ("B", 4)]
+
+
+def test_a_tickers_views_are_read_at_once():
+    import pandas as pd
+
+    class Views(dict):
+        calls: list = []
+
+        def __getattribute__(self, name):
+            if name in ("iterator", "getValue", "containsKey", "updateValue"):
+                Views.calls.append(name)
+            return super().__getattribute__(name)
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def containsKey(self, k):  # noqa: N802
+            return k in self
+
+        def getValue(self, k):  # noqa: N802
+            return self[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k] = v
+
+    class Open:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+    keeper = keyed_state.ConflictKeeper(None)
+    keeper.views, keeper.open = Views({("x",): ("buy", 10)}), Open()
+    news = pd.DataFrame({"source": ["x", "y", "y", "z"], "recommendation": ["sell", "buy", "sell", None], "ts": pd.to_datetime([5, 20, 20, 30], unit="ms")})
+    out = list(keeper.handleInputRows(("A",), iter([news]), None))
+    assert Views.calls == ["iterator", "updateValue", "updateValue"]
+    assert dict(keeper.views) == {("x",): ("buy", 10), ("y",): ("sell", 20), ("z",): (None, 30)}
+    assert [(f["kind"][0], f["n_sources"][0], json.loads(f["recommendations"][0])) for f in out] == [("conflict", 3, {"x": "buy", "y": "sell", "z": None})]
