@@ -167,6 +167,14 @@ def test_isotonic_equals_plain_pooling(spark, range_rows, shape):
     assert isotonic.predict(df, "x", blocks, "cal", range_rows).where("cal IS NULL").count() == 2
 
 
+def test_no_frame_of_the_isotonic_values_shrinks(spark):
+    """A range frame up to the last row is read again for every row: quadratic in the distinct x of a range."""
+    df = spark.createDataFrame([(i / 50, float(i % 3 == 0)) for i in range(50)], "x double, y double")
+    plan = isotonic.predict(df, "x", isotonic.fit(df, "x", "y"), "cal")._jdf.queryExecution().analyzed().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan
+    assert "specifiedwindowframe(RangeFrame, currentrow$()" not in plan
+
+
 # ---- passes of the leaf-wise trees ---------------------------------------
 @pytest.mark.parametrize("d, depth", [(1, 4), (5, 6), (6, 6), (4, 8)])
 def test_tables_of_a_tree_equal_the_walk(d, depth):
