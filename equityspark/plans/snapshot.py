@@ -44,9 +44,7 @@ def support_resistance(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def flat_snapshot(bars: DataFrame) -> DataFrame:
     """All indicators and labels at the newest row, one flat row per ticker."""
-    levels = {"support": F.min("close").over(trailing(20)), "resistance": F.max("close").over(trailing(20))}
-    table = ind.indicator_table(bars.withColumns(levels))  # date-ordered windows before the block sort of the EMAs
-    last = latest(table, ["date", *OHLCV, *ind.INDICATOR_COLUMNS, "support", "resistance"])
+    last = ind.latest_indicators(bars, ["date", *OHLCV])
     c = F.col
     return last.withColumns(
         {
