@@ -191,6 +191,28 @@ def test_jaccard_chain_of_near_copies_and_hot_passage(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()) == brute_join(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 3000, 400])
+def test_jaccard_counts_every_link(spark, corpus, block, monkeypatch):
+    """A group of near copies whose members do not all link with each other, copies of them and a chain, as one block and as many."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(11)
+    rows, w = list(corpus), [f"w{i}" for i in range(60)]
+    for i in range(300, 340):
+        near = w[: rng.randint(45, 60)]
+        for _ in range(rng.randint(0, 3)):
+            near[rng.randrange(len(near))] = f"z{rng.randrange(5)}"
+        rows += [(i, " ".join(near))] * rng.randint(1, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = []
+    for _, t in rows:
+        v = WORD.findall((t or "").translate(FOLD))
+        sets.append({tuple(v[j: j + 5]) for j in range(len(v) - 4)} if len(v) >= 5 else {tuple(v)} if v else set())
+    n = [sum(1 for j, b in enumerate(sets) if j != i and a and 5 * len(a & b) >= 4 * len(a | b)) for i, a in enumerate(sets)]
+    got = jaccard.join(df).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((r[0], x) for r, x in zip(rows, n, strict=True))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows)
+
+
 def test_jaccard_boundary_by_cost():
     assert jaccard.boundary({10: 100, 500: 10}, 0.0, 80) == 0  # lists without repetition are cheapest
     assert jaccard.boundary({10: 1000, 500: 10}, 50.0, 80) >= 10  # repetitive lists: subsets pay for small sets
