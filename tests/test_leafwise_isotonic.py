@@ -234,6 +234,10 @@ def test_blocks_hold_no_scores_before_the_first_refresh(frame):
     assert packed.agg(F.sum(F.length("scores"))).first()[0] == 0 and packed.agg(F.sum("n")).first()[0] == 900
 
 
+def test_tasks_follow_the_rows():
+    assert [leafwise._tasks(n, 8) for n in (0, 49_000, 120_000, 7_000_000, 8_000_001, 40_000_000)] == [1, 1, 3, 8, 16, 40]
+
+
 def test_training_writes_no_blocks_and_measures_the_smaller_child_only(spark, frame, monkeypatch):
     import os
 
